@@ -72,7 +72,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(dropped: np.ndarray) -> bytes:
-    keep = np.ones(int(dropped.max()) + 1, bool)
+    keep = np.ones(-(-(int(dropped.max()) + 1) // 8) * 8, bool)  # whole bytes: bits beyond the last line mean keep
     keep[dropped] = False
     return zlib.compress(np.packbits(keep).tobytes())
 

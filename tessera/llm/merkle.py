@@ -139,7 +139,7 @@ def with_next(docs: DataFrame, prepare: Callable, pair: Callable, schema: str) -
         values = ids.fillna(np.iinfo("i8").min).astype("i8") if ids.isna().any() else ids
         return pd.Series(np.searchsorted(bounds, values.to_numpy("i8"), side="right").astype("i4"))
 
-    starts = rows.select("doc_id", place("doc_id").alias("at")).groupBy("at").agg(F.min(F.coalesce("doc_id", F.lit(np.iinfo("i8").min.item()))).alias("low")).orderBy("at").collect()
+    starts = rows.select("doc_id", place("doc_id").alias("at")).groupBy("at").agg(F.min(F.coalesce("doc_id", F.lit(int(np.iinfo("i8").min)))).alias("low")).orderBy("at").collect()
     lows, order = {r["at"]: r["low"] for r in starts}, [r["at"] for r in starts]
     before = {at: order[i - 1] for i, at in enumerate(order)}
 

@@ -1,3 +1,53 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, len(string_split(text, chr(10))) AS n_lines FROM d),
+g AS (SELECT r, p, count(*) OVER (PARTITION BY r, gram) AS n
+      FROM (SELECT r, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS p FROM w))),
+c AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY r),
+b AS (SELECT doc_id, text, words, n_lines, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 2 * n_dup_lines > n_lines
+            OR 5 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{L}'))) > n_words
+            OR 2 * len(regexp_replace(text, '\P{Lu}+', '', 'g')) > word_chars
+            OR 5 * len(list_filter(words, lambda x: x LIKE '%!!')) > n_words
+            OR 10 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) > 9 * n_lines
+            OR 10 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) > 3 * n_lines) AS kept
+FROM f
+"""
+
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM h WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM h LEFT JOIN f USING (payload_digest)
+"""
+
+OP8 = rf"""
+WITH rules(action, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+u AS (SELECT page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+s AS (SELECT DISTINCT host, path FROM u),
+m AS (SELECT s.host, s.path, r.host || r.path AS rule, r.action, row_number() OVER (PARTITION BY s.host, s.path ORDER BY len(r.host || r.path) DESC, len(r.host) DESC, r.action DESC) AS k
+      FROM s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (host, path)
+"""
+
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, i, lines[i] AS line, {_LOWER.format(f"trim(lines[i], {_STRIP})")} AS key FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+f AS (SELECT key, min(doc_id) AS holder FROM l WHERE len(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+k AS (SELECT r, l.doc_id, i, line, coalesce(l.doc_id <> holder, false) AS gone FROM l LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY r
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_warc": OP5, "op8_url_filters": OP8, "op9_line_dedup": OP9}

@@ -43,35 +43,56 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with text (null: empty), words, n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words.
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where the optimizer moves the expression into a filter or a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def repeated_words(words: Column) -> Column:
+    """How many words lie in a 3-word window found twice or more in the array.
+
+    The windows' 64-bit hashes are sorted within the row, only where some hash repeats, so a row costs n log n of its own words and nothing is
+    exploded or shuffled."""
+
+    def windows(w: Column) -> Column:
+        return F.when(F.size(w) > 3, F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
+
+    def again(s: Column) -> Column:
+        """Positions of repeated windows in ascending order."""
+        same = lambda x, j: x["h"].eqNullSafe(F.get(s, j)["h"])
+        found = F.transform(s, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"]))
+        return F.sort_array(F.filter(found, lambda p: p.isNotNull()))
 
-    n_repeat_words counts the words that lie in a 3-word window found twice or more in the text. The windows' 64-bit hashes are sorted within
-    the row, only where some hash repeats, so a row costs n log n of its own words and nothing is exploded or shuffled."""
+    def covered(positions: Column) -> Column:
+        step = lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).cast("long").alias("n"), p.alias("last"))
+        return F.aggregate(positions, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), step, lambda s: s["n"])
+
+    numbered = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    count = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(_let(numbered(h), again)))
+    return F.coalesce(_let(words, lambda w: _let(windows(w), count)), F.lit(0)).cast("long")
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with text (null: empty), words, n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     made = {"text", "words", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"}
     kept = [c for c in docs.columns if c not in made]
     step = docs.select(*kept, F.coalesce(docs[text_col], F.lit("")).alias("text"))
     step = step.withColumn("words", words_of(F.col("text")))
-    step = step.withColumns({
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return step.withColumns({
         "n_words": F.size("words").cast("long"),
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long"),
-        "__lines": F.expr(r"filter(split(text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"),
         "n_lines": F.size(F.split("text", "\n")).cast("long"),
-        "__windows": F.expr("CASE WHEN size(words) > 3 THEN transform(slice(words, 1, size(words) - 2), (w, i) -> xxhash64(w, words[i + 1], words[i + 2])) END"),
-    })
-    step = step.withColumns({
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "__sorted": F.expr("CASE WHEN size(array_distinct(__windows)) < size(__windows) THEN array_sort(transform(__windows, (h, i) -> struct(h AS h, i AS i))) END"),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("words")),
     })
-    step = step.withColumn("__again", F.expr("array_sort(transform(filter(transform(__sorted, (x, i) -> IF(x.h <=> get(__sorted, i - 1).h OR x.h <=> get(__sorted, i + 1).h, x.i, -1)), p -> p >= 0), p -> p))"))
-    covered = F.expr("coalesce(aggregate(__again, struct(0L AS n, -3 AS last), (s, p) -> struct(s.n + least(3, p - s.last) AS n, p AS last), s -> s.n), 0L)")
-    return step.withColumn("n_repeat_words", covered).drop("__lines", "__windows", "__sorted", "__again")
 
 
 def cascade_order(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost on the first rows that pass the base test; only numbers reach the driver, at most `rows` of them a rule."""
-    seen = counted.select(*[F.expr(f"coalesce({r.rejects}, false)").alias(f"r{i}") for i, r in enumerate(rules)], *[F.expr(f"cast({r.cost} AS double)").alias(f"c{i}") for i, r in enumerate(rules)]).limit(rows).collect()
+    """Rules by rejection per cost, on those of the first `rows` rows that pass the base test; of a row only two numbers a rule reach the driver."""
+    seen = counted.select(*[F.expr(f"coalesce({r.rejects}, false)").alias(f"r{i}") for i, r in enumerate(rules)], *[F.expr(f"cast({r.cost} AS double)").alias(f"c{i}") for i, r in enumerate(rules)], F.expr(BASE_FAILS)).limit(rows).collect()
+    seen = [x for x in seen if not x[-1]]
     left, order = list(range(len(rules))), []
     while left:
         gain = {i: (sum(x[i] for x in seen) + 1e-3) / (sum(x[len(rules) + i] for x in seen) + 1.0) for i in left}
@@ -96,5 +117,5 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     Null and empty texts have no words, so they fail the base test; an empty table gives an empty table; repeated rows are judged alike.
     Columns of docs that bear the names of the counts are replaced."""
     counted = word_counts(docs)
-    order = cascade_order(counted.where(f"NOT ({BASE_FAILS})"), rules)
+    order = cascade_order(counted, rules)
     return counted.withColumn("base_failed", F.expr(BASE_FAILS)).withColumn("kept", verdict(order).isNull()).drop("words")
