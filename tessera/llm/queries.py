@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, merkle, quality_rules, url_filter, warc
+from tessera.llm import line_dedup, merkle, packing, quality_classifier, quality_rules, url_filter, warc
 from tessera.llm.common import new_path, table
 
 #: The rules of op8: action, host, path.
@@ -25,6 +25,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = quality_classifier.fit(docs, labels.where(~quality_classifier.held_out(F.col("doc_id")))).score(docs)
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality_classifier.KEEP_FROM, 1).otherwise(0).alias("predicted"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(warc.mark_revisits(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))), path)
@@ -40,6 +46,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -62,4 +78,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "text", "keep_bitmap").mapInArrow(_line_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op5_warc, op8_url_filters, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op4_quality_classifier, op5_warc, op6_best_fit_packing, op8_url_filters, op9_line_dedup)}
