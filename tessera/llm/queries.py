@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, merkle, packing, quality_classifier, quality_rules, url_filter, warc
+from tessera.llm import line_dedup, merkle, near_dedup, packing, quality_classifier, quality_rules, url_filter, warc
 from tessera.llm.common import new_path, table
 
 #: The rules of op8: action, host, path.
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=2)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     scored = quality_classifier.fit(docs, labels.where(~quality_classifier.held_out(F.col("doc_id")))).score(docs)
@@ -78,4 +82,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "text", "keep_bitmap").mapInArrow(_line_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op4_quality_classifier, op5_warc, op6_best_fit_packing, op8_url_filters, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_minhash_near_dedup, op4_quality_classifier, op5_warc, op6_best_fit_packing, op8_url_filters, op9_line_dedup)}
