@@ -95,7 +95,7 @@ def message_append(spark, d):
 def _quoted(spark, d):
     """(query_id, query, doc_id) of benchmark passages with the first document that holds them: documents' runs of eight words are met by hash."""
     start = lambda w: F.xxhash64(F.array_join(F.slice(w, 1, 8), " "))
-    q = R.queries(spark, d).select("query_id", "query", T.let(F.split("query", " "), start).alias("h"))
+    q = R.queries(spark, d).select("query_id", "query", T.let(F.split("query", "[ \n]"), start).alias("h"))
     runs = T.let(F.split("text", "[ \n]"), lambda w: F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))))
     docs = R.read(spark, d, "documents")
     at = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(q, "h").select("doc_id", "query_id", "query")
