@@ -1,7 +1,7 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 Every distinct shingle set branches, tree by tree, on some of its minwise tokens. Sets that share a token meet in a node. Small nodes are compared
-exhaustively on 1-bit minwise sketches. In large nodes all sets are compared with one pivot; those that are like it are settled with it, the others
+exhaustively on 1-bit minwise sketches. In large nodes all sets are compared with a few pivots; those that are like one are settled with it, the others
 branch again on tokens drawn for that node. What the trees join are families that hold every likely link; links are then decided exactly, on the
 full shingle sets of each family."""
 
@@ -21,12 +21,12 @@ from tessera.llm.components import components
 #: Links need so many hundredths of the union in common.
 PERCENT = 80
 #: Independent trees, each with one branch at its root. A pair of similarity 0.8 misses all their first nodes with probability 0.2 ** 20.
-TREES, BRANCHES, MAX_DEPTH = 20, 2, 8
+TREES, BRANCHES, MAX_DEPTH = 20, 2, 6
 #: Minwise tokens that branching draws from; bits of a sketch; sets in a small node.
-TOKENS, BITS, NODE_CAP = 64, 128, 64
+TOKENS, BITS, NODE_CAP = 64, 128, 256
 #: Bits in common from which two sets join a family (similarity 0.8 gives 115 on average, with deviation 3.4), and from which a set is settled
-#: with its pivot. Unrelated sets have 64, with deviation 5.7.
-LIKE_BITS, SETTLED_BITS = 101, 112
+#: with one of its node's pivots. Unrelated sets have 64, with deviation 5.7.
+LIKE_BITS, SETTLED_BITS, PIVOTS = 101, 104, 3
 #: Sets of a family that are compared in one task with as many others.
 BLOCK = 256
 #: Words whose hashes a worker keeps: a bound on its memory.
@@ -184,26 +184,34 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _family_edges(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) of the families. A level's large nodes go on to the next with the sets that their pivot didn't settle; at MAX_DEPTH what is left
+    """Edges (a, b) of the families. A level's large nodes go on to the next with the sets that none of their pivots settled; at MAX_DEPTH what is left
     is compared whole."""
     entries = classes.select("cid", "tokens", "b0", "b1").mapInArrow(_branch(True), "node long, cid long, b0 long, b1 long")
-    edges = None
+    levels = []
     for depth in range(1, MAX_DEPTH + 1):
         sizes = entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = written(entries.join(sizes, "node"), "nodes")
         small = met if depth == MAX_DEPTH else met.where(F.col("n") <= NODE_CAP)
-        found = small.select("node", "cid", "b0", "b1").repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes, "a long, b long")
+        levels.append(small.select("node", "cid", "b0", "b1").repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes, "a long, b long"))
         large = met.where(F.col("n") > NODE_CAP)
         if depth == MAX_DEPTH or large.isEmpty():
-            return found if edges is None else edges.unionAll(found)
-        pivot = large.groupBy("node").agg(F.min_by(F.struct("cid", "b0", "b1"), F.xxhash64("node", "cid")).alias("p"))
-        common = F.lit(BITS) - F.bit_count(F.col("b0").bitwiseXOR(F.col("p.b0"))) - F.bit_count(F.col("b1").bitwiseXOR(F.col("p.b1")))
-        beside = written(large.join(pivot, "node").select("node", "cid", "b0", "b1", F.col("p.cid").alias("pivot"), common.alias("common")), "pivots")
-        found = found.unionAll(beside.where((F.col("common") >= LIKE_BITS) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-        edges = written(found if edges is None else edges.unionAll(found), "family-edges")
-        onward = beside.where((F.col("common") < SETTLED_BITS) & (F.col("cid") != F.col("pivot"))).select("node", "cid", "b0", "b1")
+            break
+        pivots = large.groupBy("node").agg(*[F.min_by(F.struct("cid", "b0", "b1"), F.xxhash64(F.lit(i), "node", "cid")).alias(f"p{i}") for i in range(PIVOTS)])
+        common = [F.lit(BITS) - F.bit_count(F.col("b0").bitwiseXOR(F.col(f"p{i}.b0"))) - F.bit_count(F.col("b1").bitwiseXOR(F.col(f"p{i}.b1"))) for i in range(PIVOTS)]
+        pivot_ids = [F.col(f"p{i}.cid").alias(f"q{i}") for i in range(PIVOTS)]
+        beside = written(large.join(pivots, "node").select("node", "cid", "b0", "b1", *pivot_ids, *[(c >= LIKE_BITS).alias(f"l{i}") for i, c in enumerate(common)], F.greatest(*[F.when(F.col("cid") == F.col(f"p{i}.cid"), BITS).otherwise(c) for i, c in enumerate(common)]).alias("common")), "pivots")
+        first = F.coalesce(*[F.when(F.col(f"l{i}"), F.col(f"q{i}")) for i in range(PIVOTS)])
+        levels.append(beside.select(F.col("cid").alias("a"), first.alias("b")).where("b IS NOT NULL AND a <> b"))
+        # Pivots that some set is like at once are one family: an edge a node for each two of them.
+        twos = [(i, j) for i in range(PIVOTS) for j in range(i)]
+        shared = beside.groupBy("node").agg(*[F.max(F.when(F.col(f"l{i}") & F.col(f"l{j}"), F.struct(F.col(f"q{i}").alias("a"), F.col(f"q{j}").alias("b")))).alias(f"t{i}{j}") for i, j in twos])
+        levels.append(shared.select(F.explode(F.array(*[F.col(f"t{i}{j}") for i, j in twos])).alias("t")).where("t.a <> t.b").select("t.a", "t.b"))
+        onward = beside.where(F.col("common") < SETTLED_BITS).select("node", "cid", "b0", "b1")
         entries = onward.join(classes.select("cid", "tokens"), "cid").mapInArrow(_branch(False), "node long, cid long, b0 long, b1 long")
-    raise AssertionError("unreachable")
+    edges = levels[0]
+    for more in levels[1:]:
+        edges = edges.unionAll(more)
+    return edges
 
 
 def _full_sets(shingle_words: int):
@@ -262,7 +270,8 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = PERC
     family = components(_family_edges(classes)).select(F.col("node").alias("cid"), F.col("label").alias("family"))
     sizes = family.groupBy("family").agg(F.count("*").alias("n"))
     members = written(family.join(sizes, "family").join(classes.select("cid", "key", "rep"), "cid"), "members")
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("family", "n", "cid", "key", "text")
+    # A merge join at every size: the members grow with the corpus, so a broadcast that fits small inputs tells nothing about large ones.
+    texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("family", "n", "cid", "key", "text")
     sets = written(texts.mapInArrow(_full_sets(shingle_words), "family long, n long, cid long, hashes binary").dropDuplicates(["cid"]), "family-sets")
     blocks = sets.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
     pairs = blocks.select("family", "cid", "block", "hashes", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
