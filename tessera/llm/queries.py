@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, merkle, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, url_filter, warc
-from tessera.llm.common import new_path, table
+from tessera.llm.common import new_path, table, written
 
 #: The rules of op8: action, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -39,7 +39,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(warc.mark_revisits(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))), path)
-    captures = warc.assemble(warc.read_warc(spark, path, with_payload=False).select("record_id", "record_type", "concurrent_to", "refers_to", "header_digest", "block", "payload_bytes", "payload_digest"))
+    columns = ["record_id", "record_type", "concurrent_to", "refers_to", "header_digest", F.when(F.col("record_type") == "metadata", F.col("block")).alias("block"), "payload_bytes", "payload_digest"]
+    captures = warc.assemble(written(warc.read_warc(spark, path, with_payload=False).select(*columns), "records"))  # the archives are parsed once
     field = lambda name: F.regexp_extract("metadata.block", rf"(?m)^{name}: (-?\d+)", 1)
     is_revisit = F.col("response.record_type") == "revisit"
     return captures.select(
@@ -100,7 +101,8 @@ def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return sentencepiece_lattice.decode(encoded, path).mapInArrow(_id_digests, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    decode = sentencepiece_lattice.decode_batches(path)
+    return encoded.mapInArrow(lambda batches: _id_digests(decode(batches)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_minhash_near_dedup, op4_quality_classifier, op5_warc, op6_best_fit_packing, op7_secret_scans, op8_url_filters, op9_line_dedup, op10_sentencepiece)}
