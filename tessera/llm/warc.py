@@ -138,7 +138,7 @@ def assemble(records: DataFrame) -> DataFrame:
     """(capture_id, response, request, metadata): one nested row per response, revisit or resource record.
 
     Other records belong to the capture that their WARC-Concurrent-To names, that names them, or that a record they name belongs to. Where a capture
-    has several requests or metadata records, the smallest id stands; a record that leads to no capture is left out; a capture without them has nulls."""
+    has several requests or metadata records, the smallest id stands (records is read once for each side of the joins, so parsed archives are best written first); a record that leads to no capture is left out; a capture without them has nulls."""
     columns = F.struct(*[F.col(c) for c in records.columns])
     base = records.where(F.col("record_type").isin(*BASE_TYPES))
     rest = records.where(~F.col("record_type").isin(*BASE_TYPES)).select("record_id", "record_type", "concurrent_to", columns.alias("__r"))
