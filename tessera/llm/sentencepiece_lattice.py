@@ -7,12 +7,14 @@ a BPE model's scores, which are ranks of merges, gives other pieces than Sentenc
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from tessera.llm.common import shuffle_partitions
 SPACE_MARK = "▁"
 #: Words over so many characters don't fit the fold's 64-bit masks; a heap folds them with the same rule.
 MASK_CHARS = 60
+#: Words whose parts a worker keeps: a bound on its memory.
+SPLIT_WORDS = 100_000
 #: Cost of a character that has no piece.
 NO_PIECE = 1e9
 #: Bytes of text to a chunk: what a task holds is one chunk's dictionary.
@@ -42,6 +46,8 @@ class Model:
         plain = [i for i in every if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in plain}
         self.longest = max(map(len, self.pieces))
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.split: dict[str, list[str]] = {}
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in self.pieces):
             raise ValueError("pieces span words; the lattice is built word by word")
         self.merges = all(s <= 0 and float(s).is_integer() for _, s in self.pieces.values())  # BPE scores are the merges' ranks, unigram's are logarithms
@@ -63,6 +69,16 @@ class Model:
     def byte_ids(self, text: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in text.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
+    def parts(self, word: str) -> list[str]:
+        """The word, cut between characters that no piece has side by side: no path crosses such a place, so its parts are folded alone."""
+        found = self.split.get(word)
+        if found is None:
+            cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+            found = [word[a:b] for a, b in itertools.pairwise(cuts)]
+            if len(self.split) < SPLIT_WORDS:
+                self.split[word] = found
+        return found
+
     def fold_long(self, word: str) -> list[int]:
         """The path of one word that is too long for the fold's masks."""
         return self._merged(word) if self.merges else self._best(word)
@@ -102,33 +118,78 @@ class Model:
         return [x for p in parts if p for x in ([self.pieces[p][0]] if p in self.pieces else self.byte_ids(p))]
 
 
-def _lattice(words: DataFrame, keys: list[str], model: Model) -> DataFrame:
-    """(keys, word, n, edges) with edges (start, end, score, id) of all pieces in the word; single characters without a piece have a null id."""
-    starts = words.select(*keys, "word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select(*keys, "word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("start")))).alias("len"))
-    spans = spans.withColumn("piece", F.expr("substring(word, start + 1, len)"))
+_EDGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("id", pa.int32()), ("cost", pa.float64()), ("ends", pa.int64()), ("inner", pa.int64())])
+_STEP = pa.struct([("ends", pa.int64()), ("inner", pa.int64())])
+_GROUPED = "word string, chunks array<long>, n int, edges array<struct<start: int, end: int, id: int, cost: double, ends: long, inner: long>>, steps array<struct<ends: long, inner: long>>"
+
+
+def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges, which explode and a broadcast join leave word after word, as one row per word; the first edge has the word.
+
+    edges are in order of start. steps are the edges of several characters, the least cost first, then from the left. ends has the bits of both ends, inner
+    those strictly between."""
+    held: list[pa.RecordBatch] = []
+
+    def lists(no: np.ndarray, words: np.ndarray, columns: list, kind: pa.DataType) -> pa.ListArray:
+        offsets = np.append(np.searchsorted(no, words), len(no)).astype("i4")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        no, cost, start, end = (table[c].to_numpy() for c in ("no", "cost", "start", "end"))
+        at = np.flatnonzero(np.append(True, no[1:] != no[:-1]))
+        one = np.int64(1)
+        ends, inner = (one << start.astype("i8")) + (one << end.astype("i8")), (one << end.astype("i8")) - (one << (start.astype("i8") + 1))
+        edges = lists(no, no[at], [pa.array(start), pa.array(end), table["id"].combine_chunks(), pa.array(cost), pa.array(ends), pa.array(inner)], _EDGE)
+        several = np.flatnonzero(end - start > 1)
+        several = several[np.lexsort((start[several], cost[several], no[several]))]
+        steps = lists(no[several], no[at], [pa.array(ends[several]), pa.array(inner[several])], _STEP)
+        first = table.select(["word", "chunks", "n"]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*(first[c].combine_chunks() for c in ("word", "chunks", "n")), edges, steps], ["word", "chunks", "n", "edges", "steps"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        no = batch["no"].to_numpy()
+        cut = int(np.searchsorted(no, no[-1]))  # where the last word begins
+        if cut:
+            yield rows(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif held and held[-1]["no"][0].as_py() != no[0]:
+            yield rows(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield rows(pa.Table.from_batches(held))
+
+
+def _lattice(words: DataFrame, model: Model) -> DataFrame:
+    """(word, chunks, n, edges, steps) of words (word, chunks): an edge is a piece in the word; single characters without a piece have a null id."""
+    rows = words.select("word", "chunks", F.monotonically_increasing_id().alias("no"), F.length("word").alias("n"))
+    starts = rows.select("no", "word", "chunks", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    spans = starts.select("no", "word", F.when(F.col("start") == 0, F.col("chunks")).alias("chunks"), "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("start")))).alias("len"))
+    first = (F.col("start") == 0) & (F.col("len") == 1)
+    spans = spans.select("no", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("chunks")).alias("chunks"), "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece"))
     hits = spans.join(F.broadcast(model.table(words.sparkSession)), "piece", "left").where("id IS NOT NULL OR len = 1")  # the table is the vocabulary's size
-    edge = F.struct((-F.coalesce("score", F.lit(-NO_PIECE))).alias("cost"), F.col("start"), (F.col("start") + F.col("len")).alias("end"), F.col("id"))
-    return hits.groupBy(*keys, "word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    edges = hits.select("no", "word", "chunks", "n", (-F.coalesce("score", F.lit(-NO_PIECE))).alias("cost"), "start", (F.col("start") + F.col("len")).alias("end"), "id")
+    return edges.mapInArrow(_regroup, _GROUPED)
 
 
 def _bit(i: Column) -> Column:
     return F.expr("1L").cast("long") if i is None else F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _with_masks(edges: Column) -> Column:
-    """Edges with ends (bits of both ends) and inner (bits strictly between)."""
-    return F.transform(edges, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["id"].alias("id"), e["cost"].alias("cost"), (_bit(e["start"]) + _bit(e["end"])).alias("ends"), (_bit(e["end"]) - _bit(e["start"] + 1)).alias("inner")))
-
+def _merge_fold(steps: Column, n: Column) -> Column:
+    """Bits of the boundaries that stay when, again and again, the best-scored edge over exactly two neighbouring parts merges them; ties go left.
 
-def _merge_fold(edges: Column, n: Column) -> Column:
-    """Bits of the boundaries that stay when, again and again, the best-scored edge over exactly two neighbouring parts merges them; ties go left."""
+    A word takes no more merges than it has characters less one, nor than it has edges."""
 
     def step(mask: Column, _: Column) -> Column:
-        active = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
+        active = F.filter(steps, lambda e: (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"]))
         return F.coalesce(mask - mask.bitwiseAND(F.get(active, F.lit(0))["inner"]), mask)
 
-    return F.aggregate(F.sequence(F.lit(1), n), _bit(n + 1) - 1, step)
+    every = _bit(n + 1) - 1
+    return F.when(F.size(steps) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(steps))), every, step))
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
@@ -150,17 +211,17 @@ def _path_ids(edges: Column, mask: Column, word: Column, model: Model) -> Column
     on_path = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0))
     table = F.array(*[F.lit(model.bytes.get(b, model.unknown)) for b in range(256)])
     as_bytes = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.get(table, F.conv(F.substring(F.hex(c), 2 * k + 1, F.lit(2)), 16, 10).cast("int"))) if model.bytes else F.array(F.lit(model.unknown))
-    ordered = F.sort_array(F.transform(on_path, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
-    return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes(F.substring(word, e["start"] + 1, F.lit(1))))))
+    spelled = lambda path: F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes(F.substring(word, e["start"] + 1, F.lit(1))))))
+    plain = lambda path: F.when(F.exists(path, lambda e: e["id"].isNull()), spelled(path)).otherwise(F.transform(path, lambda e: e["id"]))
+    return F.element_at(F.transform(F.array(on_path), plain), 1)
 
 
-def encode_words(words: DataFrame, keys: list[str], model: Model) -> DataFrame:
-    """(keys, word, ids) of distinct words of 1 to MASK_CHARS characters. Rows stay in their partition if that holds all rows of their keys."""
+def encode_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, chunks, ids) of words (word, chunks) of 1 to MASK_CHARS characters."""
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    fold = _merge_fold if model.merges else _viterbi_fold
-    lattice = _lattice(words, keys, model)
-    ids = let(_with_masks(F.col("edges")), lambda edges: let(fold(edges, F.col("n")), lambda mask: _path_ids(edges, mask, F.col("word"), model)))
-    return lattice.select(*keys, "word", ids.alias("ids"))
+    lattice = _lattice(words, model)
+    mask = _merge_fold(F.col("steps"), F.col("n")) if model.merges else _viterbi_fold(F.col("edges"), F.col("n"))
+    return lattice.select("word", "chunks", let(mask, lambda m: _path_ids(F.col("edges"), m, F.col("word"), model)).alias("ids"))
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -170,8 +231,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
     for batch in batches:
         if number is None and batch.num_rows:
             number = batch["part"][0].as_py() << 32
-        for doc_id, row, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            held.append((doc_id, row, text))
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            held.append((doc_id, text))
             weight += len(text)
             if weight >= CHUNK_BYTES:
                 yield number, held
@@ -184,56 +245,174 @@ def _units(text: str) -> list[str]:
     return _UNIT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
 
-_PART = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("blob", pa.binary()), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
-_PART_SQL = "chunk long, kind int, doc_id long, row long, blob binary, sizes array<int>, ids array<int>"
+def _parts(text: str) -> list[list[str]] | None:
+    """The words of each line, between single blanks; None where blanks repeat, begin or end a line, or marks stand in the text."""
+    if SPACE_MARK in text:
+        return None
+    lines = [line.split(" ") for line in text.split("\n")]
+    return None if any("" in line for line in lines) else lines
+
+
+def _distinct_units(rows: list[tuple]) -> set[str]:
+    """Distinct units of the texts; where a line's words lie between single blanks, all but the first get their mark once, not each time."""
+    marked: set[str] = set()
+    found: set[str] = set()
+    for _, text in rows:
+        lines = _parts(text) if text else []
+        if lines is None:
+            found.update(_units(text))
+            continue
+        for i, line in enumerate(lines):
+            marked.update(line[1:])
+            (found if i else marked).add(line[0])
+    found.update([SPACE_MARK + w for w in marked])
+    return found
+
+
+_PART = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("blob", pa.binary())])
+_PART_SQL = "chunk long, kind int, doc_id long, blob binary"
+#: (word, chunk) pairs that a task holds at a time, and chunks to a row: a word that more chunks have is folded again for the next ones.
+HELD_PAIRS, ROW_CHUNKS = 100_000, 4096
+
+
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(data)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk, rows in _segments(batches):
         for at in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": 1, "doc_id": d, "row": r, "blob": zlib.compress(t.encode("utf-8", "surrogatepass"), 6)} for d, r, t in rows[at : at + 512]], _PART)
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": 1, "doc_id": d, "blob": _squeezed(t.encode("utf-8", "surrogatepass"))} for d, t in rows[at : at + 512]], _PART)
+
 
+def _dictionaries(buckets: int, path: str):
+    """Each chunk's distinct parts of words, dealt by hash."""
 
-def _dictionaries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model.of(path)
         for chunk, rows in _segments(batches):
-            seen: set[str] = set()
-            for _, _, text in rows:
-                seen.update(_units(text))
+            seen = _distinct_units(rows)
             dealt: list[list[str]] = [[] for _ in range(buckets)]
-            for word in seen:
-                if word != "\n":
+            for word in {part for word in seen for part in model.parts(word)}:
+                if word != "\n" and len(word) <= MASK_CHARS:  # longer ones are folded where they are used
                     dealt[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * buckets, pa.int64()), pa.array(list(range(buckets)), pa.int32()), pa.array(["\n".join(sorted(w)) for w in dealt])], ["chunk", "bucket", "words"])
+            full = [(i, _squeezed("\n".join(sorted(w)).encode("utf-8", "surrogatepass"))) for i, w in enumerate(dealt) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array([i for i, _ in full], pa.int32()), pa.array([w for _, w in full], pa.binary())], ["chunk", "bucket", "words"])
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with the chunks that have them; a word comes again where HELD_PAIRS or ROW_CHUNKS is reached."""
+    book: dict[str, list[int]] = {}
+    pairs = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        words = list(book)
+        for at in range(0, len(words), 4096):
+            part = [(w, book[w][i : i + ROW_CHUNKS]) for w in words[at : at + 4096] for i in range(0, len(book[w]), ROW_CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part]), pa.array([c for _, c in part], pa.list_(pa.int64()))], ["word", "chunks"])
+
+    for batch in batches:
+        for chunk, blob in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            for word in _unsqueezed(blob).decode("utf-8", "surrogatepass").split("\n"):
+                book.setdefault(word, []).append(chunk)
+                pairs += 1
+            if pairs > HELD_PAIRS:
+                yield from rows()
+                book.clear()
+                pairs = 0
+    yield from rows()
+
+
+def _books(small: str):
+    """(word, chunks, ids) to a dictionary per chunk: words by line, an empty line, each word's number of ids as 16 bits, and its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _as_books(batches, small)
+
+    return run
+
+
+def _as_books(batches: Iterator[pa.RecordBatch], small: str) -> Iterator[pa.RecordBatch]:
+    width = np.dtype(small).itemsize
+    held: dict[int, tuple[list[str], list[bytes]]] = {}
+    pairs = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        out = []
+        for chunk, (words, ids) in held.items():
+            numbers = np.array([len(i) // width for i in ids], "<u2").tobytes() + b"".join(ids)
+            out.append({"chunk": chunk, "kind": 0, "doc_id": None, "blob": _squeezed("\n".join(words).encode("utf-8", "surrogatepass") + b"\n\n" + numbers)})
+        yield pa.RecordBatch.from_pylist(out, _PART)
+
+    for batch in batches:
+        ids = batch["ids"]
+        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(small)
+        for i, (word, chunks) in enumerate(zip(batch["word"].to_pylist(), batch["chunks"].to_pylist(), strict=True)):
+            data = flat[offsets[i] : offsets[i + 1]].tobytes()
+            for chunk in chunks:
+                words, numbers = held.setdefault(chunk, ([], []))
+                words.append(word)
+                numbers.append(data)
+            pairs += len(chunks)
+        if pairs > HELD_PAIRS:
+            yield from rows()
+            held.clear()
+            pairs = 0
+    yield from rows()
+
+
 def _apply(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
+        small = "<u2" if len(model.surface) < 1 << 16 else "<u4"
         line = np.array(model.byte_ids("\n") if "\n" not in model.pieces else [model.pieces["\n"][0]], "<i4").tobytes()
-        chunk, book = None, {}
+        chunk, book, marked = None, {}, {}
 
         class Book(dict):
             def __missing__(self, word: str) -> bytes:
-                self[word] = found = np.array(model.fold_long(word), "<i4").tobytes()
+                parts = model.parts(word)
+                found = np.array(model.fold_long(word), "<i4").tobytes() if len(parts) == 1 else b"".join([self[p] for p in parts])
+                self[word] = found
                 return found
 
-        for batch in batches:
+        class Marked(dict):
+            """The book by the word without its mark."""
+
+            def __missing__(self, word: str) -> bytes:
+                self[word] = found = book[SPACE_MARK + word]
+                return found
+
+        def ids_of(text: str) -> bytes:
+            lines = _parts(text) if text else []
+            if lines is None:
+                return b"".join(map(book.__getitem__, _units(text)))
             out = []
-            for c, kind, doc_id, blob, sizes, ids in zip(*(batch[x] for x in ("chunk", "kind", "doc_id", "blob", "sizes", "ids")), strict=True):
-                if c.as_py() != chunk:
-                    chunk, book = c.as_py(), Book({"\n": line})
-                data = blob.as_py()
-                if kind.as_py() == 0:
-                    flat, at = ids.values.to_numpy().astype("<i4").tobytes(), 0
-                    for word, size in zip(data.decode("utf-8", "surrogatepass").split("\n"), sizes.values.to_numpy().tolist(), strict=True):
-                        book[word] = flat[4 * at : 4 * (at + size)]
-                        at += size
+            for i, words in enumerate(lines):
+                out.append(b"".join(map(marked.__getitem__, words[1:] if i else words)) if not i else line + book[words[0]] + b"".join(map(marked.__getitem__, words[1:])))
+            return b"".join(out)
+
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # what is decoded at a time stays small
+            out = []
+            for c, kind, doc_id, blob in zip(*(batch[x].to_pylist() for x in ("chunk", "kind", "doc_id", "blob")), strict=True):
+                if c != chunk:
+                    chunk, book, marked = c, Book({"\n": line}), Marked()
+                data = _unsqueezed(blob)
+                if kind == 0:
+                    listed, _, numbers = data.partition(b"\n\n")
+                    words = listed.decode("utf-8", "surrogatepass").split("\n")
+                    ends = np.cumsum(np.frombuffer(numbers, "<u2", len(words)), dtype="i8").tolist()
+                    flat, at = np.frombuffer(numbers, small, offset=2 * len(words)).astype("<i4").tobytes(), 0
+                    for word, end in zip(words, ends, strict=True):
+                        book[word] = flat[4 * at : 4 * end]
+                        at = end
                 else:
-                    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
-                    out.append((doc_id.as_py(), np.frombuffer(b"".join(map(book.__getitem__, _units(text))), "<i4")))
+                    out.append((doc_id, np.frombuffer(ids_of(data.decode("utf-8", "surrogatepass")), "<i4")))
             for at in range(0, len(out), 256):
                 part = out[at : at + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([i for _, i in part], pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -247,22 +426,19 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     Chunks of documents send their distinct words, dealt by hash, to the lattice; a word is folded once for the corpus. The ids go back by chunk as
     a dictionary, which one task reads just before that chunk's texts, so neither words nor texts of the corpus gather anywhere."""
     model, n = Model.of(model_path), shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", F.lit(0).cast("long").alias("row"), F.spark_partition_id().cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = rows.mapInArrow(_dictionaries(n), "chunk long, bucket int, words string").where("words <> ''").repartition(n, "bucket")
-    said = sent.select("bucket", "chunk", F.explode(F.split("words", "\n")).alias("word"))
-    said = said.where(F.length("word") <= MASK_CHARS)  # the others are folded where they are used
-    words = said.groupBy("bucket", "word").agg(F.min("chunk").alias("first")).where("first >= 0").select("bucket", "word")  # with the chunk, both sides below read one exchange
-    known = encode_words(words, ["bucket"], model)
-    paired = said.join(known, ["bucket", "word"]).groupBy("bucket", "chunk").agg(F.collect_list(F.struct("word", "ids")).alias("w"))
-    books = paired.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.encode(F.array_join(F.col("w.word"), "\n"), "UTF-8").alias("blob"), F.transform("w.ids", F.size).alias("sizes"), F.flatten("w.ids").alias("ids"))
-    both = books.unionByName(rows.mapInArrow(_texts, _PART_SQL))
+    rows = docs.select("doc_id", F.spark_partition_id().cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    sent = rows.mapInArrow(_dictionaries(n, model_path), "chunk long, bucket int, words binary").repartition(n, "bucket")
+    known = encode_words(sent.mapInArrow(_gather, "word string, chunks array<long>"), model)
+    both = known.mapInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL).unionByName(rows.mapInArrow(_texts, _PART_SQL))
     return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_apply(model_path), "doc_id long, ids array<int>")
 
 
-def _decode(path: str):
+def decode_batches(path: str):
+    """mapInArrow function from (doc_id, ids) to (doc_id, ids, decoded)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = [b"".join(model.surface[x.values.to_numpy()].tolist()).decode("utf-8", "replace")[1:] if x.is_valid and len(x) else "" for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(texts)], ["doc_id", "ids", "decoded"])
 
@@ -271,4 +447,4 @@ def _decode(path: str):
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, decoded): pieces joined, bytes put together, marks turned to blanks and the first blank, which encoding adds, taken off."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(model_path), "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(decode_batches(model_path), "doc_id long, ids array<int>, decoded string")
