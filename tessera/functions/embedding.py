@@ -70,24 +70,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot / length).otherwise(F.lit(0.0))
 
 
-def top_of_batches(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.ndarray, query_ids: list, id_col: str, k: int, least: float | None):
+def top_of_batches(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.ndarray, query_ids: list, id_col: str, k: int | None, least: float | None):
     """mapInArrow function: each batch's scores with all queries as one matrix product, of which each query's k best and their ties come out.
 
-    No pair of query and row is ever a row of its own but those."""
+    No pair of query and row is ever a row of its own but those. With k=None all pairs come out, from fewer rows at a time."""
+    size = 2048 if k else 256
     norms = np.sqrt((queries * queries).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 m = vector(part)
                 length = norms[:, None] * np.sqrt((m * m).sum(axis=1))[None, :]
                 scores = np.round(np.divide(queries @ m.T, length, out=np.zeros(length.shape), where=length > 0), 6)
-                cut = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)][:, None]
-                keep = scores >= cut
+                keep = np.ones(scores.shape, bool)
+                if k:
+                    keep = scores >= np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)][:, None]
                 if least is not None:
                     keep &= scores >= least
                 q, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array([query_ids[i] for i in q], pa.int64()), part[id_col].take(pa.array(c)), pa.array(scores[q, c])], ["query_id", id_col, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, "i8")[q]), part[id_col].take(pa.array(c)), pa.array(scores[q, c])], ["query_id", id_col, "score"])
 
     return run

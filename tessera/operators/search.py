@@ -47,7 +47,7 @@ def _in_blocks(queries: DataFrame, column: str) -> list[tuple[list, list]]:
     return [b for b in blocks if b[0]]
 
 
-def _search(rows: DataFrame, id_col: str, vector, blocks: list[tuple[list, np.ndarray]], k: int, least: float | None) -> DataFrame:
+def _search(rows: DataFrame, id_col: str, vector, blocks: list[tuple[list, np.ndarray]], k: int | None, least: float | None) -> DataFrame:
     kind = dict(rows.dtypes)[id_col]
     found = None
     for ids, matrix in blocks:
@@ -72,6 +72,12 @@ def vector_search_given(queries: DataFrame, rows: DataFrame, id_col: str, k: int
     return hits if least is None else hits.where(F.col("score") >= least)
 
 
+def vector_pairs(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """(query_id, id_col, score) of every query with every row, by the same products: the rows that come out are as many as the pairs."""
+    blocks = [(ids, np.array(vectors, "f8")) for ids, vectors in _in_blocks(queries, "embedding")]
+    return _search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), blocks, None, None)
+
+
 def vector_search_join(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """vector_search() as SQL joins on the hashed bucket, for query sets of any size: a dot product is a sum over common buckets."""
 

@@ -247,9 +247,7 @@ def citation_labels(spark, d):
 
 @query("SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id < 20 AND q.label = e.label")
 def query_chunk_similarity_join(spark, d):
-    rows = R.read(spark, d, "embeddings")
-    q = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    return rows.join(q, "label").select("query_id", "vec_id", F.round(embedding.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return search.vector_pairs(_vector_queries(spark, d), R.read(spark, d, "embeddings"), "vec_id")
 
 
 _FU = ",\n".join([_VT(30), "pool AS (SELECT query_id, chunk_id FROM vt WHERE score >= 0.05)", S.keyword_top("pool", 10), S.fused().format(two_k=10)])
@@ -363,7 +361,8 @@ def tfidf_document_frequency(spark, d):
 
 
 def _vector_queries(spark, d):
-    return R.read(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Every hundredth vector: the set grows with the table."""
+    return R.read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20)) WHERE rank <= 10 AND score >= 0.2")
@@ -374,7 +373,7 @@ def vector_search_topk(spark, d):
 @query()
 def vector_search_ivf(spark, d):
     rows = R.read(spark, d, "embeddings")
-    return search.vector_search_ivf(_vector_queries(spark, d), rows, search.ivf_cells(rows), probes=64)  # recall 0.92 of the exact top 10 at sf0.1; 16 cells give 0.68
+    return search.vector_search_ivf(_vector_queries(spark, d), rows, search.ivf_cells(rows), probes=64)  # recall 0.935 of the exact top 10 at sf0.1; 16 cells give 0.595
 
 
 @query(f"WITH {_VT(60)} SELECT query_id, chunk_id, score, rank FROM vt WHERE score >= 0.05")
