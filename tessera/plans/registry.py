@@ -103,10 +103,10 @@ def _quoted(spark, d):
 
 
 def _responses(spark, d, nested: str):
-    """Stored search replies: the pages of each tenth id as one JSON text."""
-    pages = R.web_pages(spark, d).where("page_id % 10 < 3")
-    item = F.struct("page_id", "title", "url", F.when(F.col("page_id") % 2 == 0, F.col("content")).alias("raw_content"), F.substring("content", 1, 80).alias("content"), F.when(F.col("page_id") % 3 == 0, 0.9).alias("score"))
-    item = item if nested == "results" else F.struct("page_id", "title", F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, F.substring("content", 1, 80)).alias("snippet"))
+    """Stored search replies: all pages, ten ids to one JSON text."""
+    pages = R.web_pages(spark, d)
+    item = F.struct("page_id", "title", "url", F.when(F.col("page_id") % 2 == 0, F.col("content")).alias("raw_content"), "content", F.when(F.col("page_id") % 3 == 0, 0.9).alias("score"))
+    item = item if nested == "results" else F.struct("page_id", "title", F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, F.col("content")).alias("snippet"))
     return pages.groupBy(F.floor(F.col("page_id") / 10).alias("query_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias(nested))).alias("raw"))
 
 

@@ -1,6 +1,7 @@
 """Registered queries over the whole of their inputs: the results are held against SQL of their own, as the registry's SQL has the older, smaller sets."""
 
 from tessera.plans import registry as Q
+from tessera.plans import sql as S
 from tests.compare import check
 
 DATA = "/root/testdata/sf0.001"
@@ -12,3 +13,11 @@ def test_every_hundredth_vector_is_a_query_and_meets_all(spark):
     top = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({PAIRS})) WHERE rank <= 10 AND score >= 0.2"
     check(spark, "vector_search_topk", Q.vector_search_topk, top, DATA)
     assert {r[0] for r in Q.vector_search_ivf(spark, DATA).select("query_id").distinct().collect()} == {0, 100, 200, 300, 400}
+
+
+def test_replies_hold_all_pages_with_whole_contents(spark):
+    rank = "row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) AS rank"
+    tavily = f"WITH {S.WEB} SELECT page_id // 10 AS query_id, {rank}, title, url, content, CASE WHEN page_id % 3 = 0 THEN 0.9 ELSE 0.5 END AS score FROM web"
+    check(spark, "search_hits_tavily", Q.search_hits_tavily, tavily, DATA)
+    serper = f"WITH {S.WEB} SELECT page_id // 10 AS query_id, {rank}, title, url, CASE WHEN page_id % 2 = 0 THEN content ELSE '' END AS content, 0.5 AS score FROM web"
+    check(spark, "search_hits_serper", Q.search_hits_serper, serper, DATA)
