@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding
@@ -487,10 +488,11 @@ def grade_heuristic(spark, d):
 
 
 def _asked(spark, d):
-    """Turns of users with the text of the turn before, as query and context."""
-    t = R.turns(spark, d)
-    before = t.select("conversation_id", (F.col("turn") + 1).alias("turn"), F.col("content").alias("context"))
-    return t.join(before, ["conversation_id", "turn"]).select((F.col("conversation_id") * 1000 + F.col("turn")).alias("query_id"), F.col("content").alias("query"), "context")
+    """Assistant turns as answers, with the last user turn before as query and all earlier turns, line by line, as context; '' for what isn't there."""
+    earlier = W.partitionBy("conversation_id").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    asked = F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(earlier)
+    t = R.turns(spark, d).withColumn("query", F.coalesce(asked, F.lit(""))).withColumn("earlier", F.collect_list("content").over(earlier))
+    return t.where("role = 'assistant'").select((F.col("conversation_id") * 1000 + F.col("turn")).alias("query_id"), "query", F.col("content").alias("answer"), F.array_join("earlier", "\n").alias("context"))
 
 
 _QC = f"{S.TURNS}, qc AS (SELECT a.conversation_id * 1000 + a.turn AS query_id, a.content AS query, b.content AS context FROM turns a JOIN turns b ON a.conversation_id = b.conversation_id AND a.turn = b.turn + 1)"
@@ -503,7 +505,7 @@ def answer_template(spark, d):
 
 @query(f"WITH {_QC} SELECT query_id, {S.hallucination('query', 'context')} AS hallucination_score FROM qc")
 def hallucination_heuristic(spark, d):
-    return _asked(spark, d).select("query_id", answers.hallucination(F.col("query"), F.col("context")).alias("hallucination_score"))
+    return _asked(spark, d).select("query_id", answers.hallucination(F.col("answer"), F.col("context")).alias("hallucination_score"))
 
 
 def _replies(spark, d):
@@ -532,7 +534,7 @@ def parse_hallucination_response(spark, d):
 'Is the document relevant to the query? Reply in JSON.' || chr(10) || 'Query: ' || query || chr(10) || 'Document: ' || substr(context, 1, 1000) || '...' AS grade_prompt,
 'How much of the answer lacks support, 0 to 1?' || chr(10) || 'Context: ' || context || chr(10) || 'Answer: ' || query AS groundedness_prompt FROM qc""")
 def prompt_assembly(spark, d):
-    rows = _asked(spark, d).select("query_id", F.col("query_id").alias("chunk_id"), "query", "context", F.col("context").alias("content"), F.col("query").alias("answer"))
+    rows = _asked(spark, d).select("query_id", F.col("query_id").alias("chunk_id"), "query", "context", F.col("context").alias("content"), "answer")
     return answers.prompts(rows)
 
 
@@ -709,7 +711,7 @@ def hit_rate_at_k(spark, d):
 
 @query(f"WITH {_QC} SELECT round(avg(CASE WHEN {S.hallucination('query', 'context')} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate, count(*) AS n_answers FROM qc")
 def hallucination_rate(spark, d):
-    scored = _asked(spark, d).select(answers.hallucination(F.col("query"), F.col("context")).alias("score"))
+    scored = _asked(spark, d).select(answers.hallucination(F.col("answer"), F.col("context")).alias("score"))
     return scored.agg(F.round(F.avg((F.col("score") > 0.5).cast("double")), 6).alias("hallucination_rate"), F.count("*").alias("n_answers"))
 
 

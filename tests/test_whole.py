@@ -21,3 +21,24 @@ def test_replies_hold_all_pages_with_whole_contents(spark):
     check(spark, "search_hits_tavily", Q.search_hits_tavily, tavily, DATA)
     serper = f"WITH {S.WEB} SELECT page_id // 10 AS query_id, {rank}, title, url, CASE WHEN page_id % 2 = 0 THEN content ELSE '' END AS content, 0.5 AS score FROM web"
     check(spark, "search_hits_serper", Q.search_hits_serper, serper, DATA)
+
+
+ASKED = f"""{S.TURNS}, qc AS (SELECT a.conversation_id * 1000 + a.turn AS query_id, a.content AS answer, coalesce(arg_max(b.content, b.turn) FILTER (b.role = 'user'), '') AS query, coalesce(string_agg(b.content, chr(10) ORDER BY b.turn), '') AS context
+FROM turns a LEFT JOIN turns b ON a.conversation_id = b.conversation_id AND b.turn < a.turn WHERE a.role = 'assistant' GROUP BY a.conversation_id, a.turn, a.content)"""
+
+
+def test_assistant_turns_are_scored_against_all_earlier_turns(spark):
+    score = S.hallucination("answer", "context")
+    check(spark, "hallucination_heuristic", Q.hallucination_heuristic, f"WITH {ASKED} SELECT query_id, {score} AS hallucination_score FROM qc", DATA)
+    check(spark, "hallucination_rate", Q.hallucination_rate, f"WITH {ASKED} SELECT round(avg(CASE WHEN {score} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate, count(*) AS n_answers FROM qc", DATA)
+    check(spark, "answer_template", Q.answer_template, f"WITH {ASKED}, {S.answers()} SELECT query_id, answer FROM an", DATA)
+    prompts = f"""WITH {ASKED} SELECT query_id, query_id AS chunk_id, 'Answer from the context alone.' || chr(10) || 'Context:' || chr(10) || context || chr(10) || 'Question: ' || query AS answer_prompt,
+    'Is the document relevant to the query? Reply in JSON.' || chr(10) || 'Query: ' || query || chr(10) || 'Document: ' || substr(context, 1, 1000) || '...' AS grade_prompt,
+    'How much of the answer lacks support, 0 to 1?' || chr(10) || 'Context: ' || context || chr(10) || 'Answer: ' || answer AS groundedness_prompt FROM qc"""
+    check(spark, "prompt_assembly", Q.prompt_assembly, prompts, DATA)
+
+
+def test_gaps_between_turns_drop_nothing(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 3, "assistant", "b"), (1, 7, "assistant", "c"), (2, 1, "assistant", "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, Q._asked(spark, str(tmp_path)).collect())) == [(1003, "a", "b", "a"), (1007, "a", "c", "a\nb"), (2001, "", "d", "")]
