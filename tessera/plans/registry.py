@@ -131,7 +131,7 @@ def web_corpus_search(spark, d):
 
 def _layouts(spark, d):
     """Stored layout replies: a page's elements as JSON; every fifth reply has none, every sixth isn't JSON."""
-    parts = R.elements(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("element_no", F.col("element_type").alias("type"), F.array(F.lit(0), F.col("element_no"), F.lit(100), F.col("element_no") + 1).alias("bbox"), F.substring("content", 1, 20).alias("description")))).alias("elements"))
+    parts = R.elements(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("element_no", F.col("element_type").alias("type"), F.array(F.lit(0), F.col("element_no"), F.lit(100), F.col("element_no") + 1).alias("bbox"), F.col("content").alias("description")))).alias("elements"))
     return parts.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 6 == 0, F.lit("no layout here")).when(F.col("doc_id") % 5 == 0, F.lit("{}")).otherwise(F.to_json(F.struct("elements"))).alias("raw"))
 
 
@@ -161,7 +161,7 @@ def element_to_chunk(spark, d):
 
 def _attempts(spark, d):
     """Extraction attempts of each document: as its id leaves on division by 4, all well, one page by the fallback, none by vision, nothing."""
-    docs = R.read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("m"), F.substring("text", 1, 40).alias("content"))
+    docs = R.read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("m"), F.col("text").alias("content"))
     pages = docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_number"), )
     rows = pages.select("*", F.explode(F.array(*map(F.lit, ("vision", "vision_fallback", "text_extraction")))).alias("method"))
     bad = ((F.col("m") == 1) & (F.col("page_number") == 2) & (F.col("method") == "vision")) | ((F.col("m") == 2) & F.col("method").isin("vision", "vision_fallback")) | (F.col("m") == 3)

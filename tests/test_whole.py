@@ -42,3 +42,13 @@ def test_gaps_between_turns_drop_nothing(spark, tmp_path):
     rows = [(1, 0, "user", "a"), (1, 3, "assistant", "b"), (1, 7, "assistant", "c"), (2, 1, "assistant", "d")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert sorted(map(tuple, Q._asked(spark, str(tmp_path)).collect())) == [(1003, "a", "b", "a"), (1007, "a", "c", "a\nb"), (2001, "", "d", "")]
+
+
+def test_attempts_and_layouts_hold_whole_texts(spark):
+    attempts = """WITH p AS (SELECT doc_id, doc_id % 4 AS m, text AS content, unnest([1, 2]) AS page_number FROM documents)
+    SELECT doc_id, page_number, CASE WHEN m = 2 THEN 'text_extraction' WHEN m = 1 AND page_number = 2 THEN 'vision_fallback' ELSE 'vision' END AS method, 'ok' AS status, content FROM p WHERE m <> 3"""
+    check(spark, "extraction_fallback", Q.extraction_fallback, attempts, DATA)
+    layout = f"""WITH {S.ELEMENTS}, lay AS (SELECT doc_id AS page_id, element_no, element_type AS type, [0, element_no, 100, element_no + 1] AS bbox, content AS description FROM el WHERE doc_id % 6 <> 0 AND doc_id % 5 <> 0
+    UNION ALL SELECT DISTINCT doc_id, 0, 'text', [0, 0, 0, 0], 'Full page text' FROM el WHERE doc_id % 6 = 0) SELECT page_id, element_no, type, array_to_string(bbox, ',') AS bbox, description FROM lay"""
+    check(spark, "layout_elements", Q.layout_elements, layout, DATA)
+    check(spark, "element_type_dispatch", Q.element_type_dispatch, f"{layout} WHERE type IN ('table', 'text', 'figure')", DATA)
