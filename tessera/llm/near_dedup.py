@@ -169,9 +169,9 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every pair of a node's sets on their sketches; what comes out are edges that connect the like ones."""
+    """Every pair between the blocks i and j of a node on their sketches; what comes out are edges that connect the like ones."""
     found: list[tuple[int, int]] = []
-    for node in _runs(batches, ["node"]):
+    for node in _runs(batches, ["node", "i", "j"]):
         cid, b0, b1 = (node[c].to_numpy() for c in ("cid", "b0", "b1"))
         b0, b1 = b0.view("u8"), b1.view("u8")
         like = np.bitwise_count(b0[:, None] ^ b0) + np.bitwise_count(b1[:, None] ^ b1) <= BITS - LIKE_BITS
@@ -183,16 +183,23 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _edges(found)
 
 
+def _node_blocks(met: DataFrame) -> DataFrame:
+    """Rows (node, i, j, cid, b0, b1) of each two blocks of a node; nodes of up to NODE_CAP sets are one block. No group holds more than two blocks."""
+    blocks = met.withColumn("of", F.ceil(F.col("n") / NODE_CAP).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid", "node"), F.col("of")).cast("int"))
+    pairs = blocks.select("node", "cid", "b0", "b1", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    return pairs.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "b0", "b1")
+
+
 def _family_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) of the families. A level's large nodes go on to the next with the sets that none of their pivots settled; at MAX_DEPTH what is left
-    is compared whole."""
+    is compared whole, in pairs of blocks."""
     entries = classes.select("cid", "tokens", "b0", "b1").mapInArrow(_branch(True), "node long, cid long, b0 long, b1 long")
     levels = []
     for depth in range(1, MAX_DEPTH + 1):
         sizes = entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = written(entries.join(sizes, "node"), "nodes")
         small = met if depth == MAX_DEPTH else met.where(F.col("n") <= NODE_CAP)
-        levels.append(small.select("node", "cid", "b0", "b1").repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes, "a long, b long"))
+        levels.append(_node_blocks(small).repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_compare_nodes, "a long, b long"))
         large = met.where(F.col("n") > NODE_CAP)
         if depth == MAX_DEPTH or large.isEmpty():
             break
