@@ -13,8 +13,8 @@ PATTERNS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # runs of [0-9a-f]+ are taken whole, so this finds those of 24 or more
 )
-#: Runs that the battery tests. A key has a letter and a digit; shorter runs leave the tests without power.
-CANDIDATE, LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
+#: Runs that the battery tests; = only pads their end, so a name and its value are two runs. A key has a letter and a digit; shorter runs leave the tests without power.
+CANDIDATE, LEAST = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?", 20
 _DIGITS, _UP, _LOW = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings in the order they are inferred: name, what the run looks like, alphabet.
 ENCODINGS = (

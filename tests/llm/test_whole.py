@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dedup
+from tessera.llm import near_dedup, secret_scan
 
 
 def test_large_nodes_are_compared_in_pairs_of_blocks(spark):
@@ -16,3 +16,10 @@ def test_large_nodes_are_compared_in_pairs_of_blocks(spark):
         for c in g:
             at.setdefault(c, set()).add(k)
     assert all(at[a] & at[b] for a in range(0, 2000, 97) for b in range(2000))
+
+
+def test_a_key_after_its_name_is_found(spark):
+    key = "k9Xq2LmP7vRt4ZwB8nYc3HdJ6sFgA1eU"
+    rows = spark.createDataFrame([(1, f"AUTH={key}"), (2, f"?a=b&sig={key}== c"), (3, f"{key} d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secret_scan.secrets(rows).select("doc_id", secret_scan.spans_text(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "random:5:37", 2: "random:9:43", 3: "random:0:32"}
