@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 The distinct words' bounded-length substrings are exploded, joined to the piece table and grouped by word again; a fold with Spark's higher-order
-aggregate picks the path. Unigram models take Viterbi's. BPE models take the path that their merges give, the best score first: Viterbi over
+aggregate picks the path, for words of every length up to LONGEST. Unigram models take Viterbi's. BPE models take the path that their merges give, the best score first: Viterbi over
 a BPE model's scores, which are ranks of merges, gives other pieces than SentencePiece does."""
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import shuffle_partitions, written
 
 SPACE_MARK = "▁"
-#: Words over so many characters don't fit the fold's 64-bit masks; a heap folds them with the same rule.
+#: Words over so many characters don't fit the fold's 64-bit masks; their state is an array of boundaries.
 MASK_CHARS = 60
+#: The fold's work grows with a word's length squared, so words over so many characters are folded by a heap with the same rule where they are used.
+LONGEST = 1024
 #: Words whose parts a worker keeps: a bound on its memory.
 SPLIT_WORDS = 100_000
 #: Cost of a character that has no piece.
 NO_PIECE = 1e9
-#: Bytes of text to a chunk: what a task holds is one chunk's dictionary.
-CHUNK_BYTES = 8_000_000
+#: Characters of text to a chunk, which ends with its input partition too: what a task holds is one chunk's texts or dictionary.
+CHUNK_CHARS = 32_000_000
 _UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
 _MODELS: dict[str, "Model"] = {}
 
@@ -48,6 +50,7 @@ class Model:
         self.longest = max(map(len, self.pieces))
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.split: dict[str, list[str]] = {}
+        self.beside = None
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in self.pieces):
             raise ValueError("pieces span words; the lattice is built word by word")
         self.merges = all(s <= 0 and float(s).is_integer() for _, s in self.pieces.values())  # BPE scores are the merges' ranks, unigram's are logarithms
@@ -79,8 +82,30 @@ class Model:
                 self.split[word] = found
         return found
 
+    def all_parts(self, words: list[str]) -> set[str]:
+        """The distinct parts of all words. Neighbouring characters are looked up by their numbers in one table, for all words at once."""
+        if not words:
+            return set()
+        if self.beside is None:
+            chars = sorted({c for pair in self.pairs for c in pair})
+            self.number = np.zeros(0x110000, "u2")
+            self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+            self.beside = np.zeros((len(chars) + 1) ** 2 // 8 + 1, "u1")
+            at = np.array([int(self.number[ord(a)]) * (len(chars) + 1) + int(self.number[ord(b)]) for a, b in self.pairs], "i8")
+            np.bitwise_or.at(self.beside, at >> 3, (1 << (at & 7)).astype("u1"))
+            self.width = len(chars) + 1
+        found: set[str] = set()
+        for low in range(0, len(words), 100_000):
+            codes = np.frombuffer("\n".join(words[low : low + 100_000]).encode("utf-32-le", "surrogatepass"), "<u4")
+            numbers = self.number[codes].astype("i8")
+            at = numbers[:-1] * self.width + numbers[1:]
+            joined = (self.beside[at >> 3] >> (at & 7).astype("u1")) & 1
+            cuts = np.flatnonzero((joined == 0) & (codes[:-1] != 10) & (codes[1:] != 10)) + 1
+            found.update(np.insert(codes, cuts, 10).tobytes().decode("utf-32-le", "surrogatepass").split("\n"))
+        return found
+
     def fold_long(self, word: str) -> list[int]:
-        """The path of one word that is too long for the fold's masks."""
+        """The path of one word by plain Python: for words over LONGEST."""
         return self._merged(word) if self.merges else self._best(word)
 
     def _best(self, word: str) -> list[int]:
@@ -118,115 +143,100 @@ class Model:
         return [x for p in parts if p for x in ([self.pieces[p][0]] if p in self.pieces else self.byte_ids(p))]
 
 
-_EDGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("id", pa.int32()), ("cost", pa.float64()), ("ends", pa.int64()), ("inner", pa.int64())])
-_STEP = pa.struct([("ends", pa.int64()), ("inner", pa.int64())])
-_GROUPED = "word string, chunks array<long>, n int, edges array<struct<start: int, end: int, id: int, cost: double, ends: long, inner: long>>, steps array<struct<ends: long, inner: long>>"
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges, which explode and a broadcast join leave word after word, as one row per word; the first edge has the word.
+def _lattice(words: DataFrame, model: Model) -> DataFrame:
+    """(bucket, word, edges) of distinct words (bucket, word): an edge is a piece in the word; single characters without a piece have a null id.
 
-    edges are in order of start. steps are the edges of several characters, the least cost first, then from the left. ends has the bits of both ends, inner
-    those strictly between."""
-    held: list[pa.RecordBatch] = []
+    Substrings meet the piece table on 64-bit hashes, and what meets is compared as text. edges are in order of cost, then from the left. The rows are
+    dealt by bucket already, so grouping them by word again moves nothing."""
+    starts = words.select("bucket", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    spans = starts.select("bucket", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("start")))).alias("len"))
+    spans = spans.withColumn("hash", F.xxhash64(F.expr("substring(word, start + 1, len)")))
+    pieces = model.table(words.sparkSession).withColumn("hash", F.xxhash64("piece"))
+    met = spans.join(F.broadcast(pieces), "hash", "left")  # the table is the vocabulary's size
+    same = F.expr("substring(word, start + 1, length(piece)) = piece AND length(piece) = len")
+    hits = met.select("bucket", "word", "start", "len", F.when(same, F.col("id")).alias("id"), F.when(same, -F.col("score")).otherwise(F.lit(NO_PIECE)).alias("cost")).where("id IS NOT NULL OR len = 1")
+    edge = F.struct("cost", "start", (F.col("start") + F.col("len")).alias("end"), "id")
+    return hits.groupBy("bucket", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
-    def lists(no: np.ndarray, words: np.ndarray, columns: list, kind: pa.DataType) -> pa.ListArray:
-        offsets = np.append(np.searchsorted(no, words), len(no)).astype("i4")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(kind)))
 
-    def rows(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        no, cost, start, end = (table[c].to_numpy() for c in ("no", "cost", "start", "end"))
-        at = np.flatnonzero(np.append(True, no[1:] != no[:-1]))
-        one = np.int64(1)
-        ends, inner = (one << start.astype("i8")) + (one << end.astype("i8")), (one << end.astype("i8")) - (one << (start.astype("i8") + 1))
-        edges = lists(no, no[at], [pa.array(start), pa.array(end), table["id"].combine_chunks(), pa.array(cost), pa.array(ends), pa.array(inner)], _EDGE)
-        several = np.flatnonzero(end - start > 1)
-        several = several[np.lexsort((start[several], cost[several], no[several]))]
-        steps = lists(no[several], no[at], [pa.array(ends[several]), pa.array(inner[several])], _STEP)
-        first = table.select(["word", "chunks", "n"]).take(pa.array(at))
-        return pa.RecordBatch.from_arrays([*(first[c].combine_chunks() for c in ("word", "chunks", "n")), edges, steps], ["word", "chunks", "n", "edges", "steps"])
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        no = batch["no"].to_numpy()
-        cut = int(np.searchsorted(no, no[-1]))  # where the last word begins
-        if cut:
-            yield rows(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        elif held and held[-1]["no"][0].as_py() != no[0]:
-            yield rows(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield rows(pa.Table.from_batches(held))
 
+def _merge_fold(edges: Column, n: Column) -> Column:
+    """Edges left when, again and again, the best-scored edge over exactly two neighbouring parts merges them; ties go left.
 
-def _lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, chunks, n, edges, steps) of words (word, chunks): an edge is a piece in the word; single characters without a piece have a null id."""
-    rows = words.select("word", "chunks", F.monotonically_increasing_id().alias("no"), F.length("word").alias("n"))
-    starts = rows.select("no", "word", "chunks", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = starts.select("no", "word", F.when(F.col("start") == 0, F.col("chunks")).alias("chunks"), "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("start")))).alias("len"))
-    first = (F.col("start") == 0) & (F.col("len") == 1)
-    spans = spans.select("no", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("chunks")).alias("chunks"), "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece"))
-    hits = spans.join(F.broadcast(model.table(words.sparkSession)), "piece", "left").where("id IS NOT NULL OR len = 1")  # the table is the vocabulary's size
-    edges = hits.select("no", "word", "chunks", "n", (-F.coalesce("score", F.lit(-NO_PIECE))).alias("cost"), "start", (F.col("start") + F.col("len")).alias("end"), "id")
-    return edges.mapInArrow(_regroup, _GROUPED)
+    The state has a bit per boundary in words of up to MASK_CHARS characters, else it's the boundaries' array. A word takes no more merges than it
+    has characters less one, nor than it has edges of several characters."""
+    several = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+    rounds = lambda steps: F.sequence(F.lit(1), F.least(n - 1, F.size(steps)))
 
+    def by_mask(steps: Column) -> Column:
+        def step(mask: Column, _: Column) -> Column:
+            active = F.filter(steps, lambda e: (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"]))
+            return F.coalesce(mask - mask.bitwiseAND(F.get(active, F.lit(0))["inner"]), mask)
 
-def _bit(i: Column) -> Column:
-    return F.expr("1L").cast("long") if i is None else F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        every = _bit(n + 1) - 1
+        return F.when(F.size(steps) == 0, every).otherwise(F.aggregate(rounds(steps), every, step))
+
+    def by_array(steps: Column) -> Column:
+        at = lambda bounds, e: F.array_position(bounds, e["start"]).cast("int")
 
+        def step(bounds: Column, _: Column) -> Column:
+            active = F.get(F.filter(steps, lambda e: (at(bounds, e) > 0) & (F.get(bounds, at(bounds, e) + 1) == e["end"])), F.lit(0))
+            return F.coalesce(F.array_remove(bounds, F.get(bounds, at(bounds, active))), bounds)
 
-def _merge_fold(steps: Column, n: Column) -> Column:
-    """Bits of the boundaries that stay when, again and again, the best-scored edge over exactly two neighbouring parts merges them; ties go left.
+        every = F.sequence(F.lit(0), n)
+        return F.when(F.size(steps) == 0, every).otherwise(F.aggregate(rounds(steps), every, step))
 
-    A word takes no more merges than it has characters less one, nor than it has edges."""
+    masks = F.transform(several, lambda e: F.struct((_bit(e["start"]) + _bit(e["end"])).alias("ends"), (_bit(e["end"]) - _bit(e["start"] + 1)).alias("inner")))
+    inside = lambda mask: F.filter(edges, lambda e: (mask.bitwiseAND(_bit(e["start"])) != 0) & (mask.bitwiseAND(_bit(e["end"]) * 2 - _bit(e["start"] + 1)) == _bit(e["end"])))
+    return F.when(n <= MASK_CHARS, _let(_let(masks, by_mask), inside)).otherwise(_let(_let(several, by_array), lambda bounds: _between(edges, bounds)))
 
-    def step(mask: Column, _: Column) -> Column:
-        active = F.filter(steps, lambda e: (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"]))
-        return F.coalesce(mask - mask.bitwiseAND(F.get(active, F.lit(0))["inner"]), mask)
 
-    every = _bit(n + 1) - 1
-    return F.when(F.size(steps) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(n - 1, F.size(steps))), every, step))
+def _between(edges: Column, bounds: Column) -> Column:
+    """The edges whose ends are neighbours in the ascending array bounds."""
+    return F.filter(edges, lambda e: (F.array_position(bounds, e["start"]) > 0) & (F.get(bounds, F.array_position(bounds, e["start"]).cast("int")) == e["end"]))
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
-    """Bits of the boundaries of the path with the least cost; ties take the longest last piece. The state has the best cost and path to each place."""
-    none = F.struct(F.lit(float("inf")).alias("cost"), F.lit(0).cast("long").alias("path"))
-    begin = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("path")))
+    """Edges of the path with the least cost; ties take the longest last piece. The state has the best cost and the boundaries to each place."""
+    kind = "struct<cost: double, path: array<int>>"
+    none = F.struct(F.lit(float("inf")), F.lit(None)).cast(kind)
+    begin = F.array(F.struct(F.lit(0.0), F.array(F.lit(0))).cast(kind))
 
     def step(best: Column, end: Column) -> Column:
         ways = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: F.struct((F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start")))
         way = F.array_min(ways)
-        made = F.struct(way["cost"].alias("cost"), (F.get(best, way["start"])["path"] + _bit(end)).alias("path"))
+        made = F.struct(way["cost"], F.concat(F.get(best, way["start"])["path"], F.array(end))).cast(kind)
         return F.concat(best, F.array(F.coalesce(made, none)))
 
-    return F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda s: F.get(s, n)["path"])
+    return _let(F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda s: F.get(s, n)["path"]), lambda bounds: _between(edges, bounds))
 
 
-def _path_ids(edges: Column, mask: Column, word: Column, model: Model) -> Column:
-    """Ids of the edges whose ends are boundaries with none between; characters without a piece become their bytes' ids."""
-    on_path = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0))
+def _path_ids(path: Column, word: Column, model: Model) -> Column:
+    """Ids of the path's edges from the left; characters without a piece become their bytes' ids."""
     table = F.array(*[F.lit(model.bytes.get(b, model.unknown)) for b in range(256)])
     as_bytes = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.get(table, F.conv(F.substring(F.hex(c), 2 * k + 1, F.lit(2)), 16, 10).cast("int"))) if model.bytes else F.array(F.lit(model.unknown))
-    spelled = lambda path: F.flatten(F.transform(path, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes(F.substring(word, e["start"] + 1, F.lit(1))))))
-    plain = lambda path: F.when(F.exists(path, lambda e: e["id"].isNull()), spelled(path)).otherwise(F.transform(path, lambda e: e["id"]))
-    return F.element_at(F.transform(F.array(on_path), plain), 1)
+    spelled = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes(F.substring(word, e["start"] + 1, F.lit(1))))))
+    plain = lambda found: F.when(F.exists(found, lambda e: e["id"].isNull()), spelled(found)).otherwise(F.transform(found, lambda e: e["id"]))
+    return _let(F.array_sort(F.transform(path, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), plain)
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, chunks, ids) of words (word, chunks) of 1 to MASK_CHARS characters."""
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    lattice = _lattice(words, model)
-    mask = _merge_fold(F.col("steps"), F.col("n")) if model.merges else _viterbi_fold(F.col("edges"), F.col("n"))
-    return lattice.select("word", "chunks", let(mask, lambda m: _path_ids(F.col("edges"), m, F.col("word"), model)).alias("ids"))
+    """(bucket, word, ids) of distinct words (bucket, word) of 1 to LONGEST characters."""
+    n = F.length("word")
+    fold = _merge_fold if model.merges else _viterbi_fold
+    return _lattice(words, model).select("bucket", "word", _path_ids(fold(F.col("edges"), n), F.col("word"), model).alias("ids"))
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Chunks of a partition's rows, numbered by partition and place, so that two passes over the same input see the same chunks. Where a recomputed
-    input is dealt otherwise, a chunk's dictionary lacks words; those are then folded where they are used, by the same rule."""
+    """Chunks of a partition's rows, numbered by partition and place, so that two passes over the same files see the same chunks."""
     number, held, weight = None, [], 0
     for batch in batches:
         if number is None and batch.num_rows:
@@ -234,7 +244,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             held.append((doc_id, text))
             weight += len(text)
-            if weight >= CHUNK_BYTES:
+            if weight >= CHUNK_CHARS:
                 yield number, held
                 number, held, weight = number + 1, [], 0
     if held:
@@ -269,14 +279,16 @@ def _distinct_units(rows: list[tuple]) -> set[str]:
     return found
 
 
-_PART = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("blob", pa.binary())])
-_PART_SQL = "chunk long, kind int, doc_id long, blob binary"
-#: (word, chunk) pairs that a task holds at a time, and chunks to a row: a word that more chunks have is folded again for the next ones.
-HELD_PAIRS, ROW_CHUNKS = 100_000, 4096
+_PART = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("blob", pa.binary())])
+_PART_SQL = "chunk long, kind int, doc_ids array<long>, blob binary"
+#: Kinds of those rows: a part of a chunk's dictionary, texts.
+BOOK, TEXTS = 0, 1
+#: Bytes of text to a row of texts.
+TEXT_BYTES = 1_000_000
 
 
 def _squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(data)
+    return zstandard.ZstdCompressor(level=4).compress(data)
 
 
 def _unsqueezed(data: bytes) -> bytes:
@@ -284,87 +296,65 @@ def _unsqueezed(data: bytes) -> bytes:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks' texts, some at a time: their lengths as 32 bits, then their bytes."""
+
+    def row(chunk: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        blob = _squeezed(np.array([len(t) for t in texts], "<u4").tobytes() + b"".join(texts))
+        return pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": TEXTS, "doc_ids": ids, "blob": blob}], _PART)
+
     for chunk, rows in _segments(batches):
-        for at in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": 1, "doc_id": d, "blob": _squeezed(t.encode("utf-8", "surrogatepass"))} for d, t in rows[at : at + 512]], _PART)
+        ids, texts, weight = [], [], 0
+        for doc_id, text in rows:
+            data = text.encode("utf-8", "surrogatepass")
+            ids.append(doc_id)
+            texts.append(data)
+            weight += len(data)
+            if weight >= TEXT_BYTES:
+                yield row(chunk, ids, texts)
+                ids, texts, weight = [], [], 0
+        if ids:
+            yield row(chunk, ids, texts)
 
 
 def _dictionaries(buckets: int, path: str):
-    """Each chunk's distinct parts of words, dealt by hash."""
+    """Each chunk's distinct parts of words, dealt by hash, in order and by line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
         for chunk, rows in _segments(batches):
-            seen = _distinct_units(rows)
+            units = [u for u in _distinct_units(rows) if u != "\n"]
+            rows.clear()
             dealt: list[list[str]] = [[] for _ in range(buckets)]
-            for word in {part for word in seen for part in model.parts(word)}:
-                if word != "\n" and len(word) <= MASK_CHARS:  # longer ones are folded where they are used
+            for word in model.all_parts(units):
+                if len(word) <= LONGEST:  # longer ones are folded where they are used
                     dealt[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
-            full = [(i, _squeezed("\n".join(sorted(w)).encode("utf-8", "surrogatepass"))) for i, w in enumerate(dealt) if w]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array([i for i, _ in full], pa.int32()), pa.array([w for _, w in full], pa.binary())], ["chunk", "bucket", "words"])
+            del units
+            full = [(i, "\n".join(sorted(w))) for i, w in enumerate(dealt) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array([i for i, _ in full], pa.int32()), pa.array([w for _, w in full], pa.string())], ["chunk", "bucket", "words"])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with the chunks that have them; a word comes again where HELD_PAIRS or ROW_CHUNKS is reached."""
-    book: dict[str, list[int]] = {}
-    pairs = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        words = list(book)
-        for at in range(0, len(words), 4096):
-            part = [(w, book[w][i : i + ROW_CHUNKS]) for w in words[at : at + 4096] for i in range(0, len(book[w]), ROW_CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part]), pa.array([c for _, c in part], pa.list_(pa.int64()))], ["word", "chunks"])
-
-    for batch in batches:
-        for chunk, blob in zip(batch["chunk"].to_pylist(), batch["words"].to_pylist(), strict=True):
-            for word in _unsqueezed(blob).decode("utf-8", "surrogatepass").split("\n"):
-                book.setdefault(word, []).append(chunk)
-                pairs += 1
-            if pairs > HELD_PAIRS:
-                yield from rows()
-                book.clear()
-                pairs = 0
-    yield from rows()
-
-
 def _books(small: str):
-    """(word, chunks, ids) to a dictionary per chunk: words by line, an empty line, each word's number of ids as 16 bits, and its ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _as_books(batches, small)
-
-    return run
-
+    """For one bucket: its words' ids, and each chunk's words, to the parts of the chunks' dictionaries: words by line, an empty line, each word's
+    number of ids as 16 bits, and its ids. What a task holds is one bucket's distinct words and lines."""
 
-def _as_books(batches: Iterator[pa.RecordBatch], small: str) -> Iterator[pa.RecordBatch]:
-    width = np.dtype(small).itemsize
-    held: dict[int, tuple[list[str], list[bytes]]] = {}
-    pairs = 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
+    def run(known: pa.Table, asked: pa.Table) -> pa.Table:
+        known = known.combine_chunks()
+        words, ids = known["word"].to_pylist(), known["ids"].combine_chunks()
+        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(small)
+        data = flat.tobytes()
+        width = flat.itemsize
+        at = (offsets.astype("i8") * width).tolist()
+        book = {w: (data[at[i] : at[i + 1]], (at[i + 1] - at[i]) // width) for i, w in enumerate(words)}
         out = []
-        for chunk, (words, ids) in held.items():
-            numbers = np.array([len(i) // width for i in ids], "<u2").tobytes() + b"".join(ids)
-            out.append({"chunk": chunk, "kind": 0, "doc_id": None, "blob": _squeezed("\n".join(words).encode("utf-8", "surrogatepass") + b"\n\n" + numbers)})
-        yield pa.RecordBatch.from_pylist(out, _PART)
+        for chunk, listed in zip(asked["chunk"].to_pylist(), asked["words"].to_pylist(), strict=True):
+            found = [book[w] for w in listed.split("\n")]
+            blob = listed.encode("utf-8", "surrogatepass") + b"\n\n" + np.array([k for _, k in found], "<u2").tobytes() + b"".join([d for d, _ in found])
+            out.append({"chunk": chunk, "kind": BOOK, "doc_ids": None, "blob": _squeezed(blob)})
+        return pa.Table.from_pylist(out, _PART)
 
-    for batch in batches:
-        ids = batch["ids"]
-        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(small)
-        for i, (word, chunks) in enumerate(zip(batch["word"].to_pylist(), batch["chunks"].to_pylist(), strict=True)):
-            data = flat[offsets[i] : offsets[i + 1]].tobytes()
-            for chunk in chunks:
-                words, numbers = held.setdefault(chunk, ([], []))
-                words.append(word)
-                numbers.append(data)
-            pairs += len(chunks)
-        if pairs > HELD_PAIRS:
-            yield from rows()
-            held.clear()
-            pairs = 0
-    yield from rows()
+    return run
 
 
 def _apply(path: str):
@@ -377,7 +367,12 @@ def _apply(path: str):
         class Book(dict):
             def __missing__(self, word: str) -> bytes:
                 parts = model.parts(word)
-                found = np.array(model.fold_long(word), "<i4").tobytes() if len(parts) == 1 else b"".join([self[p] for p in parts])
+                if len(parts) > 1:
+                    found = b"".join([self[p] for p in parts])
+                elif len(word) > LONGEST:
+                    found = np.array(model.fold_long(word), "<i4").tobytes()
+                else:
+                    raise LookupError(f"chunk {chunk} has no ids of {word!r}: its texts came in another order when they were read again; write them to a table first")
                 self[word] = found
                 return found
 
@@ -397,39 +392,46 @@ def _apply(path: str):
                 out.append(b"".join(map(marked.__getitem__, words[1:] if i else words)) if not i else line + book[words[0]] + b"".join(map(marked.__getitem__, words[1:])))
             return b"".join(out)
 
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # what is decoded at a time stays small
-            out = []
-            for c, kind, doc_id, blob in zip(*(batch[x].to_pylist() for x in ("chunk", "kind", "doc_id", "blob")), strict=True):
-                if c != chunk:
-                    chunk, book, marked = c, Book({"\n": line}), Marked()
-                data = _unsqueezed(blob)
-                if kind == 0:
-                    listed, _, numbers = data.partition(b"\n\n")
-                    words = listed.decode("utf-8", "surrogatepass").split("\n")
-                    ends = np.cumsum(np.frombuffer(numbers, "<u2", len(words)), dtype="i8").tolist()
-                    flat, at = np.frombuffer(numbers, small, offset=2 * len(words)).astype("<i4").tobytes(), 0
-                    for word, end in zip(words, ends, strict=True):
-                        book[word] = flat[4 * at : 4 * end]
-                        at = end
-                else:
-                    out.append((doc_id, np.frombuffer(ids_of(data.decode("utf-8", "surrogatepass")), "<i4")))
-            for at in range(0, len(out), 256):
-                part = out[at : at + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([i for _, i in part], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):  # what is decoded at a time stays small
+            c, kind, doc_ids, blob = (batch[x][0].as_py() for x in ("chunk", "kind", "doc_ids", "blob"))
+            if c != chunk:
+                chunk, book, marked = c, Book({"\n": line}), Marked()
+            data = _unsqueezed(blob)
+            if kind == BOOK:
+                listed, _, numbers = data.partition(b"\n\n")
+                words = listed.decode("utf-8", "surrogatepass").split("\n")
+                ends = np.cumsum(np.frombuffer(numbers, "<u2", len(words)), dtype="i8").tolist()
+                flat, at = np.frombuffer(numbers, small, offset=2 * len(words)).astype("<i4").tobytes(), 0
+                for word, end in zip(words, ends, strict=True):
+                    book[word] = flat[4 * at : 4 * end]
+                    at = end
+                continue
+            sizes = np.frombuffer(data, "<u4", len(doc_ids)).tolist()
+            at, out = 4 * len(doc_ids), []
+            for size in sizes:
+                out.append(ids_of(data[at : at + size].decode("utf-8", "surrogatepass")))
+                at += size
+            offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype("i4")
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], ["doc_id", "ids"])
 
     return run
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, ids) of every row's whole text; null and empty texts have no ids, repeated rows are encoded each.
+    """(doc_id, ids) of every row's whole text; null and empty texts have no ids, repeated rows are encoded each, an empty table gives an empty table.
 
     Chunks of documents send their distinct words, dealt by hash, to the lattice; a word is folded once for the corpus. The ids go back by chunk as
-    a dictionary, which one task reads just before that chunk's texts, so neither words nor texts of the corpus gather anywhere."""
+    a dictionary, which one task reads just before that chunk's texts, so neither words nor texts of the corpus gather anywhere. docs is read
+    twice and should come in the same order each time, as files and written tables do; else a missing word is an error, never a wrong result.
+    Texts may be as long as a cell can be; columns but doc_id and text aren't read, so their names don't matter."""
     model, n = Model.of(model_path), shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", F.spark_partition_id().cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = rows.mapInArrow(_dictionaries(n, model_path), "chunk long, bucket int, words binary").repartition(n, "bucket")
-    known = encode_words(sent.mapInArrow(_gather, "word string, chunks array<long>"), model)
-    both = known.mapInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL).unionByName(rows.mapInArrow(_texts, _PART_SQL))
+    sent = written(rows.mapInArrow(_dictionaries(n, model_path), "chunk long, bucket int, words string"), "words", compression="zstd")
+    words = sent.select("bucket", "words").repartition(n, "bucket").select("bucket", F.explode(F.split("words", "\n")).alias("word")).distinct()
+    known = encode_words(words, model)
+    books = known.groupBy("bucket").cogroup(sent.select((F.col("bucket") + 0).alias("of"), "chunk", "words").groupBy("of")).applyInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL)
+    both = books.unionByName(rows.mapInArrow(_texts, _PART_SQL))
     return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_apply(model_path), "doc_id long, ids array<int>")
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -217,6 +218,30 @@ def test_pieces(spark, odd, none):
     assert sorted(r["decoded"] for r in got) == sorted(r["text"] or "" for r in docs.collect())
 
 
+def test_lattice_alone_equals_the_model(spark):
+    """The fold's ids of words of all lengths, without the dictionaries and the heap beside it."""
+    plain = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    model = sentencepiece_lattice.Model.of(PIECES)
+    rng = random.Random(11)
+    letters = "etaoinshrdlu" * 3 + "cmfwypvbgkjqxz0123456789éüß日本"
+    words = {"".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 5, 9, 14, 30, 59, 60, 61, 62, 63, 64, 65, 90, 200)))) for _ in range(800)} | {"x" * 300, "the" * 40, "ab" * 31, "▁" * 70}
+    got = sentencepiece_lattice.encode_words(spark.createDataFrame([(len(w) % 5, f"▁{w}") for w in words], "bucket int, word string").repartition(4, "bucket"), model).collect()
+    assert len(got) == len(words) and [r["word"] for r in got if r["ids"] != plain.encode(r["word"][1:])] == []
+
+
+def test_parts_of_all_words_are_those_of_each(spark):
+    model = sentencepiece_lattice.Model.of(PIECES)
+    words = ["▁a", "x.y,z", "😀é\u0000", "▁" * 5, "日本q語", "28bca0e1aeaae1e7f9"]
+    assert model.all_parts(words) == {p for w in words for p in model.parts(w)}
+
+
+def test_a_word_that_the_lattice_lost_is_an_error():
+    part = sentencepiece_lattice._PART
+    texts = next(iter(sentencepiece_lattice._texts(iter([pa.RecordBatch.from_pydict({"part": [0], "doc_id": [1], "text": ["lost"]})]))))
+    with pytest.raises(LookupError, match="lost"):
+        list(sentencepiece_lattice._apply(PIECES)(iter([texts.cast(part)])))
+
+
 def test_viterbi_fold_of_unigram_scores(spark):
     """A small vocabulary with log scores: the fold's path costs no more than any other."""
     scores = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.0, "bc": -4.0, "abc": -6.5, "ca": -3.5}
@@ -224,7 +249,7 @@ def test_viterbi_fold_of_unigram_scores(spark):
     model.pieces = {p: (i, s) for i, (p, s) in enumerate(scores.items())}
     model.longest, model.merges, model.bytes, model.unknown = 3, False, {}, 99
     words = ["".join(w) for n in (1, 3, 5) for w in itertools.product("abc", repeat=n)][:150]
-    got = sentencepiece_lattice.encode_words(spark.createDataFrame([(w, [1]) for w in words], "word string, chunks array<long>").repartition(3), model)
+    got = sentencepiece_lattice.encode_words(spark.createDataFrame([(len(w), w) for w in words], "bucket int, word string").repartition(3, "bucket"), model)
     names = list(scores)
     for r in got.collect():
         path = [names[i] for i in r["ids"]]
