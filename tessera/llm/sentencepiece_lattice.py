@@ -29,8 +29,8 @@ LONGEST = 1024
 SPLIT_WORDS = 100_000
 #: Cost of a character that has no piece.
 NO_PIECE = 1e9
-#: Characters of text to a chunk, which ends with its input partition too: what a task holds is one chunk's texts or dictionary.
-CHUNK_CHARS = 32_000_000
+#: Characters of text to a chunk, which ends with its input partition too: what a task holds is one chunk's dictionary.
+CHUNK_CHARS = 14_000_000
 _UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
 _MODELS: dict[str, "Model"] = {}
 
@@ -149,19 +149,26 @@ def _let(value: Column, body) -> Column:
 
 
 def _lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(bucket, word, edges) of distinct words (bucket, word): an edge is a piece in the word; single characters without a piece have a null id.
-
-    Substrings meet the piece table on 64-bit hashes, and what meets is compared as text. edges are in order of cost, then from the left. The rows are
-    dealt by bucket already, so grouping them by word again moves nothing."""
-    starts = words.select("bucket", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("bucket", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("word") - F.col("start")))).alias("len"))
+    """(bucket, word, edges) of distinct words (bucket, word): an edge is a piece in the word. A first edge of no length keeps words without pieces.
+
+    Substrings meet the piece table on 64-bit hashes, and what meets is compared as text. edges are in order of cost, then from the left; ends has the
+    bits of both ends, inner those strictly between. The rows are dealt by bucket already, so grouping them by word again moves nothing; the
+    word's hash comes first among the keys, as what spills is sorted by it."""
+    rows = words.select("bucket", F.xxhash64("word").alias("key"), "word", F.length("word").alias("n"))
+    starts = rows.select("bucket", "key", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    lengths = F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(model.longest), F.col("n") - F.col("start")))
+    spans = starts.select("bucket", "key", "word", "start", F.explode(lengths).alias("len"))
     spans = spans.withColumn("hash", F.xxhash64(F.expr("substring(word, start + 1, len)")))
-    pieces = model.table(words.sparkSession).withColumn("hash", F.xxhash64("piece"))
-    met = spans.join(F.broadcast(pieces), "hash", "left")  # the table is the vocabulary's size
-    same = F.expr("substring(word, start + 1, length(piece)) = piece AND length(piece) = len")
-    hits = met.select("bucket", "word", "start", "len", F.when(same, F.col("id")).alias("id"), F.when(same, -F.col("score")).otherwise(F.lit(NO_PIECE)).alias("cost")).where("id IS NOT NULL OR len = 1")
-    edge = F.struct("cost", "start", (F.col("start") + F.col("len")).alias("end"), "id")
-    return hits.groupBy("bucket", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    none = words.sparkSession.createDataFrame([("", None, NO_PIECE)], "piece string, id int, score double")
+    pieces = model.table(words.sparkSession).unionByName(none).withColumn("hash", F.xxhash64("piece"))
+    hits = spans.join(F.broadcast(pieces), "hash")  # the table is the vocabulary's size
+    hits = hits.where(F.expr("substring(word, start + 1, len) = piece AND length(piece) = len"))
+    start, end = F.col("start"), F.col("start") + F.col("len")
+    fits = end <= MASK_CHARS
+    ends, inner = F.when(fits, _bit(start) + _bit(end)), F.when(fits, _bit(end) - _bit(start + 1))
+    edge = F.struct((-F.col("score")).alias("cost"), start, end.alias("end"), "id", ends.alias("ends"), inner.alias("inner"))
+    made = hits.select("key", "bucket", "word", edge.alias("edge"))
+    return made.groupBy("key", "bucket", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges")).select("bucket", "word", F.slice("edges", 2, F.size("edges")).alias("edges"))
 
 
 def _bit(i: Column) -> Column:
@@ -173,7 +180,6 @@ def _merge_fold(edges: Column, n: Column) -> Column:
 
     The state has a bit per boundary in words of up to MASK_CHARS characters, else it's the boundaries' array. A word takes no more merges than it
     has characters less one, nor than it has edges of several characters."""
-    several = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
     rounds = lambda steps: F.sequence(F.lit(1), F.least(n - 1, F.size(steps)))
 
     def by_mask(steps: Column) -> Column:
@@ -182,7 +188,8 @@ def _merge_fold(edges: Column, n: Column) -> Column:
             return F.coalesce(mask - mask.bitwiseAND(F.get(active, F.lit(0))["inner"]), mask)
 
         every = _bit(n + 1) - 1
-        return F.when(F.size(steps) == 0, every).otherwise(F.aggregate(rounds(steps), every, step))
+        mask = F.when(F.size(steps) == 0, every).otherwise(F.aggregate(rounds(steps), every, step))
+        return _let(mask, lambda m: F.filter(edges, lambda e: (m.bitwiseAND(e["inner"]) == 0) & (m.bitwiseAND(e["ends"]) == e["ends"])))
 
     def by_array(steps: Column) -> Column:
         at = lambda bounds, e: F.array_position(bounds, e["start"]).cast("int")
@@ -192,11 +199,10 @@ def _merge_fold(edges: Column, n: Column) -> Column:
             return F.coalesce(F.array_remove(bounds, F.get(bounds, at(bounds, active))), bounds)
 
         every = F.sequence(F.lit(0), n)
-        return F.when(F.size(steps) == 0, every).otherwise(F.aggregate(rounds(steps), every, step))
+        bounds = F.when(F.size(steps) == 0, every).otherwise(F.aggregate(rounds(steps), every, step))
+        return _let(bounds, lambda b: _between(edges, b))
 
-    masks = F.transform(several, lambda e: F.struct((_bit(e["start"]) + _bit(e["end"])).alias("ends"), (_bit(e["end"]) - _bit(e["start"] + 1)).alias("inner")))
-    inside = lambda mask: F.filter(edges, lambda e: (mask.bitwiseAND(_bit(e["start"])) != 0) & (mask.bitwiseAND(_bit(e["end"]) * 2 - _bit(e["start"] + 1)) == _bit(e["end"])))
-    return F.when(n <= MASK_CHARS, _let(_let(masks, by_mask), inside)).otherwise(_let(_let(several, by_array), lambda bounds: _between(edges, bounds)))
+    return _let(F.filter(edges, lambda e: e["end"] - e["start"] > 1), lambda steps: F.when(n <= MASK_CHARS, by_mask(steps)).otherwise(by_array(steps)))
 
 
 def _between(edges: Column, bounds: Column) -> Column:
@@ -205,50 +211,59 @@ def _between(edges: Column, bounds: Column) -> Column:
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
-    """Edges of the path with the least cost; ties take the longest last piece. The state has the best cost and the boundaries to each place."""
+    """Edges of the path with the least cost; ties take the longest last piece. The state has the best cost and the boundaries to each place.
+
+    A character without a piece costs NO_PIECE."""
     kind = "struct<cost: double, path: array<int>>"
-    none = F.struct(F.lit(float("inf")), F.lit(None)).cast(kind)
     begin = F.array(F.struct(F.lit(0.0), F.array(F.lit(0))).cast(kind))
 
     def step(best: Column, end: Column) -> Column:
-        ways = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: F.struct((F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start")))
-        way = F.array_min(ways)
-        made = F.struct(way["cost"], F.concat(F.get(best, way["start"])["path"], F.array(end))).cast(kind)
-        return F.concat(best, F.array(F.coalesce(made, none)))
+        way = lambda start, cost: F.struct((F.get(best, start)["cost"] + cost).alias("cost"), start.alias("start"))
+        ways = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: way(e["start"], e["cost"]))
+        least = F.array_min(F.concat(ways, F.array(way(end - 1, F.lit(NO_PIECE)))))
+        return F.concat(best, F.array(F.struct(least["cost"], F.concat(F.get(best, least["start"])["path"], F.array(end))).cast(kind)))
 
     return _let(F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda s: F.get(s, n)["path"]), lambda bounds: _between(edges, bounds))
 
 
 def _path_ids(path: Column, word: Column, model: Model) -> Column:
-    """Ids of the path's edges from the left; characters without a piece become their bytes' ids."""
+    """Ids of the path's edges from the left; characters that no edge covers have no piece and become their bytes' ids."""
     table = F.array(*[F.lit(model.bytes.get(b, model.unknown)) for b in range(256)])
     as_bytes = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.get(table, F.conv(F.substring(F.hex(c), 2 * k + 1, F.lit(2)), 16, 10).cast("int"))) if model.bytes else F.array(F.lit(model.unknown))
-    spelled = lambda found: F.flatten(F.transform(found, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes(F.substring(word, e["start"] + 1, F.lit(1))))))
-    plain = lambda found: F.when(F.exists(found, lambda e: e["id"].isNull()), spelled(found)).otherwise(F.transform(found, lambda e: e["id"]))
-    return _let(F.array_sort(F.transform(path, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), plain)
+
+    def spelled(found: Column) -> Column:
+        begins = lambda i: F.get(F.filter(found, lambda e: e["start"] == i), F.lit(0))["id"]
+        free = lambda i: ~F.exists(found, lambda e: (e["start"] <= i) & (i < e["end"]))
+        places = F.transform(F.sequence(F.lit(0), F.length(word) - 1), lambda i: F.when(free(i), as_bytes(F.substring(word, i + 1, F.lit(1)))).when(begins(i).isNotNull(), F.array(begins(i))).otherwise(F.array().cast("array<int>")))
+        return F.flatten(places)
+
+    whole = lambda found: F.aggregate(found, F.lit(0), lambda s, e: s + e["end"] - e["start"]) == F.length(word)
+    ordered = F.sort_array(F.transform(path, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["id"].alias("id"))))
+    return _let(ordered, lambda found: F.when(whole(found), F.transform(found, lambda e: e["id"])).otherwise(spelled(found)))
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(bucket, word, ids) of distinct words (bucket, word) of 1 to LONGEST characters."""
-    n = F.length("word")
     fold = _merge_fold if model.merges else _viterbi_fold
-    return _lattice(words, model).select("bucket", "word", _path_ids(fold(F.col("edges"), n), F.col("word"), model).alias("ids"))
+    ids = _let(F.col("edges"), lambda edges: _path_ids(fold(edges, F.length("word")), F.col("word"), model))
+    return _lattice(words, model).select("bucket", "word", ids.alias("ids"))
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Chunks of a partition's rows, numbered by partition and place, so that two passes over the same files see the same chunks."""
-    number, held, weight = None, [], 0
-    for batch in batches:
-        if number is None and batch.num_rows:
-            number = batch["part"][0].as_py() << 32
+    """A partition's rows, some at a time, with their chunk. Chunks are numbered by partition and place, so that two passes over the same files see the
+    same chunks."""
+    number, weight = None, 0
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        number = batch["part"][0].as_py() << 32 if number is None else number
+        held = []
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             held.append((doc_id, text))
             weight += len(text)
             if weight >= CHUNK_CHARS:
                 yield number, held
                 number, held, weight = number + 1, [], 0
-    if held:
-        yield number, held
+        if held:
+            yield number, held
 
 
 def _units(text: str) -> list[str]:
@@ -263,10 +278,8 @@ def _parts(text: str) -> list[list[str]] | None:
     return None if any("" in line for line in lines) else lines
 
 
-def _distinct_units(rows: list[tuple]) -> set[str]:
-    """Distinct units of the texts; where a line's words lie between single blanks, all but the first get their mark once, not each time."""
-    marked: set[str] = set()
-    found: set[str] = set()
+def _add_units(rows: list[tuple], found: set[str], marked: set[str]) -> None:
+    """Adds the texts' distinct units to found; where a line's words lie between single blanks, all but the first go to marked, without their mark."""
     for _, text in rows:
         lines = _parts(text) if text else []
         if lines is None:
@@ -275,8 +288,6 @@ def _distinct_units(rows: list[tuple]) -> set[str]:
         for i, line in enumerate(lines):
             marked.update(line[1:])
             (found if i else marked).add(line[0])
-    found.update([SPACE_MARK + w for w in marked])
-    return found
 
 
 _PART = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("blob", pa.binary())])
@@ -302,18 +313,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob = _squeezed(np.array([len(t) for t in texts], "<u4").tobytes() + b"".join(texts))
         return pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": TEXTS, "doc_ids": ids, "blob": blob}], _PART)
 
+    last, ids, texts, weight = None, [], [], 0
     for chunk, rows in _segments(batches):
-        ids, texts, weight = [], [], 0
+        if ids and (chunk != last or weight >= TEXT_BYTES):
+            yield row(last, ids, texts)
+            ids, texts, weight = [], [], 0
+        last = chunk
         for doc_id, text in rows:
-            data = text.encode("utf-8", "surrogatepass")
+            texts.append(text.encode("utf-8", "surrogatepass"))
             ids.append(doc_id)
-            texts.append(data)
-            weight += len(data)
-            if weight >= TEXT_BYTES:
-                yield row(chunk, ids, texts)
-                ids, texts, weight = [], [], 0
-        if ids:
-            yield row(chunk, ids, texts)
+            weight += len(texts[-1])
+    if ids:
+        yield row(last, ids, texts)
 
 
 def _dictionaries(buckets: int, path: str):
@@ -321,16 +332,28 @@ def _dictionaries(buckets: int, path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
-        for chunk, rows in _segments(batches):
-            units = [u for u in _distinct_units(rows) if u != "\n"]
-            rows.clear()
-            dealt: list[list[str]] = [[] for _ in range(buckets)]
-            for word in model.all_parts(units):
+        last, found, marked = None, set(), set()
+
+        def dealt() -> pa.RecordBatch:
+            found.update([SPACE_MARK + w for w in marked])
+            marked.clear()
+            found.discard("\n")
+            parts = model.all_parts(list(found))
+            found.clear()
+            lists: list[list[str]] = [[] for _ in range(buckets)]
+            for word in parts:
                 if len(word) <= LONGEST:  # longer ones are folded where they are used
-                    dealt[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
-            del units
-            full = [(i, "\n".join(sorted(w))) for i, w in enumerate(dealt) if w]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(full), pa.int64()), pa.array([i for i, _ in full], pa.int32()), pa.array([w for _, w in full], pa.string())], ["chunk", "bucket", "words"])
+                    lists[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
+            full = [(i, "\n".join(sorted(w))) for i, w in enumerate(lists) if w]
+            return pa.RecordBatch.from_arrays([pa.array([last] * len(full), pa.int64()), pa.array([i for i, _ in full], pa.int32()), pa.array([w for _, w in full], pa.string())], ["chunk", "bucket", "words"])
+
+        for chunk, rows in _segments(batches):
+            if chunk != last and last is not None:
+                yield dealt()
+            last = chunk
+            _add_units(rows, found, marked)
+        if last is not None:
+            yield dealt()
 
     return run
 
