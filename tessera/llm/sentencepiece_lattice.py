@@ -31,6 +31,8 @@ SPLIT_WORDS = 100_000
 NO_PIECE = 1e9
 #: Characters of text to a chunk, which ends with its input partition too: what a task holds is one chunk's dictionary.
 CHUNK_CHARS = 14_000_000
+#: Buckets of words to a shuffle partition: a word has dozens of edges, so the tasks that fold words take fewer rows than others.
+BUCKETS = 4
 _UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
 _MODELS: dict[str, "Model"] = {}
 
@@ -95,8 +97,8 @@ class Model:
             np.bitwise_or.at(self.beside, at >> 3, (1 << (at & 7)).astype("u1"))
             self.width = len(chars) + 1
         found: set[str] = set()
-        for low in range(0, len(words), 100_000):
-            codes = np.frombuffer("\n".join(words[low : low + 100_000]).encode("utf-32-le", "surrogatepass"), "<u4")
+        for low in range(0, len(words), 50_000):
+            codes = np.frombuffer("\n".join(words[low : low + 50_000]).encode("utf-32-le", "surrogatepass"), "<u4")
             numbers = self.number[codes].astype("i8")
             at = numbers[:-1] * self.width + numbers[1:]
             joined = (self.beside[at >> 3] >> (at & 7).astype("u1")) & 1
@@ -449,9 +451,10 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     twice and should come in the same order each time, as files and written tables do; else a missing word is an error, never a wrong result.
     Texts may be as long as a cell can be; columns but doc_id and text aren't read, so their names don't matter."""
     model, n = Model.of(model_path), shuffle_partitions(docs.sparkSession)
+    buckets = BUCKETS * n
     rows = docs.select("doc_id", F.spark_partition_id().cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = written(rows.mapInArrow(_dictionaries(n, model_path), "chunk long, bucket int, words string"), "words", compression="zstd")
-    words = sent.select("bucket", "words").repartition(n, "bucket").select("bucket", F.explode(F.split("words", "\n")).alias("word")).distinct()
+    sent = written(rows.mapInArrow(_dictionaries(buckets, model_path), "chunk long, bucket int, words string"), "words", compression="zstd")
+    words = sent.select("bucket", "words").repartition(buckets, "bucket").select("bucket", F.explode(F.split("words", "\n")).alias("word")).distinct()
     known = encode_words(words, model)
     books = known.groupBy("bucket").cogroup(sent.select((F.col("bucket") + 0).alias("of"), "chunk", "words").groupBy("of")).applyInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL)
     both = books.unionByName(rows.mapInArrow(_texts, _PART_SQL))
