@@ -100,9 +100,8 @@ def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     decode = sentencepiece_lattice.decode_batches(path)
-    return encoded.mapInArrow(lambda batches: _id_digests(decode(batches)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, lambda batches: _id_digests(decode(batches)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_minhash_near_dedup, op4_quality_classifier, op5_warc, op6_best_fit_packing, op7_secret_scans, op8_url_filters, op9_line_dedup, op10_sentencepiece)}

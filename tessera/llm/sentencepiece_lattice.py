@@ -10,7 +10,7 @@ import heapq
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -443,13 +443,13 @@ def _apply(path: str):
     return run
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, then: Callable | None = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """(doc_id, ids) of every row's whole text; null and empty texts have no ids, repeated rows are encoded each, an empty table gives an empty table.
 
     Chunks of documents send their distinct words, dealt by hash, to the lattice; a word is folded once for the corpus. The ids go back by chunk as
     a dictionary, which one task reads just before that chunk's texts, so neither words nor texts of the corpus gather anywhere. docs is read
     twice and should come in the same order each time, as files and written tables do; else a missing word is an error, never a wrong result.
-    Texts may be as long as a cell can be; columns but doc_id and text aren't read, so their names don't matter."""
+    then, with its schema, is a mapInArrow function that gets those rows in the same worker, so that no second one holds them. Texts may be as long as a cell can be; columns but doc_id and text aren't read, so their names don't matter."""
     model, n = Model.of(model_path), shuffle_partitions(docs.sparkSession)
     buckets = BUCKETS * n
     rows = docs.select("doc_id", F.spark_partition_id().cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
@@ -457,8 +457,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     words = sent.select("bucket", "words").repartition(buckets, "bucket").select("bucket", F.explode(F.split("words", "\n")).alias("word")).distinct()
     known = encode_words(words, model)
     books = known.groupBy("bucket").cogroup(sent.select((F.col("bucket") + 0).alias("of"), "chunk", "words").groupBy("of")).applyInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL)
+    run = _apply(model_path)
     both = books.unionByName(rows.mapInArrow(_texts, _PART_SQL))
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_apply(model_path), "doc_id long, ids array<int>")
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 def decode_batches(path: str):
