@@ -30,7 +30,7 @@ SPLIT_WORDS = 100_000
 #: Cost of a character that has no piece.
 NO_PIECE = 1e9
 #: Characters of text to a chunk, which ends with its input partition too: what a task holds is one chunk's dictionary.
-CHUNK_CHARS = 14_000_000
+CHUNK_CHARS = 8_000_000
 #: Buckets of words to a shuffle partition: a word has dozens of edges, so the tasks that fold words take fewer rows than others.
 BUCKETS = 4
 _UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
@@ -266,6 +266,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
                 number, held, weight = number + 1, [], 0
         if held:
             yield number, held
+        if batch.num_rows < 256:
+            pa.default_memory_pool().release_unused()
 
 
 def _units(text: str) -> list[str]:
@@ -300,8 +302,8 @@ BOOK, TEXTS = 0, 1
 TEXT_BYTES = 1_000_000
 
 
-def _squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=4).compress(data)
+def _squeezed(data: bytes, level: int = 4) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unsqueezed(data: bytes) -> bytes:
@@ -312,7 +314,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks' texts, some at a time: their lengths as 32 bits, then their bytes."""
 
     def row(chunk: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        blob = _squeezed(np.array([len(t) for t in texts], "<u4").tobytes() + b"".join(texts))
+        blob = _squeezed(np.array([len(t) for t in texts], "<u4").tobytes() + b"".join(texts), 8)
         return pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": TEXTS, "doc_ids": ids, "blob": blob}], _PART)
 
     last, ids, texts, weight = None, [], [], 0
@@ -454,9 +456,10 @@ def encode(docs: DataFrame, model_path: str, then: Callable | None = None, schem
     buckets = BUCKETS * n
     rows = docs.select("doc_id", F.spark_partition_id().cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     sent = written(rows.mapInArrow(_dictionaries(buckets, model_path), "chunk long, bucket int, words string"), "words", compression="zstd")
-    words = sent.select("bucket", "words").repartition(buckets, "bucket").select("bucket", F.explode(F.split("words", "\n")).alias("word")).distinct()
-    known = encode_words(words, model)
-    books = known.groupBy("bucket").cogroup(sent.select((F.col("bucket") + 0).alias("of"), "chunk", "words").groupBy("of")).applyInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL)
+    sent = sent.repartition(buckets, "bucket")
+    words = sent.select("bucket", "chunk", F.explode(F.split("words", "\n")).alias("word")).groupBy("bucket", "word").agg(F.min("chunk").alias("first"))
+    known = encode_words(words.where("first IS NOT NULL"), model)  # both sides read all columns of sent, so that it's dealt once
+    books = known.groupBy("bucket").cogroup(sent.select(F.col("bucket").alias("of"), "chunk", "words").groupBy("of")).applyInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL)
     run = _apply(model_path)
     both = books.unionByName(rows.mapInArrow(_texts, _PART_SQL))
     return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
