@@ -70,26 +70,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot / length).otherwise(F.lit(0.0))
 
 
-def top_of_batches(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.ndarray, query_ids: list, id_col: str, k: int | None, least: float | None):
+def _best(scores: np.ndarray, k: int | None) -> np.ndarray:
+    """Which scores are among their row's k best or tie with these; -inf never is."""
+    keep = scores > -np.inf
+    if k and scores.shape[1] > k:
+        keep &= scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k][:, None]
+    return keep
+
+
+def _cosines(queries: np.ndarray, norms: np.ndarray, m: np.ndarray) -> np.ndarray:
+    length = norms[:, None] * np.sqrt((m * m).sum(axis=1))[None, :]
+    return np.round(np.divide(queries @ m.T, length, out=np.zeros(length.shape), where=length > 0), 6)
+
+
+def _hits(part: pa.RecordBatch, scores: np.ndarray, keep: np.ndarray, query_ids: list, id_col: str) -> pa.RecordBatch:
+    q, c = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, "i8")[q]), part[id_col].take(pa.array(c)), pa.array(scores[q, c])], ["query_id", id_col, "score"])
+
+
+def top_of_batches(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.ndarray, query_ids: list, id_col: str, k: int | None, allow: Callable | None = None):
     """mapInArrow function: each batch's scores with all queries as one matrix product, of which each query's k best and their ties come out.
 
-    No pair of query and row is ever a row of its own but those. With k=None all pairs come out, from fewer rows at a time."""
+    No pair of query and row is ever a row of its own but those. With k=None all pairs come out, from fewer rows at a time. allow gives a boolean
+    matrix of the pairs that count."""
     size = 2048 if k else 256
     norms = np.sqrt((queries * queries).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                m = vector(part)
-                length = norms[:, None] * np.sqrt((m * m).sum(axis=1))[None, :]
-                scores = np.round(np.divide(queries @ m.T, length, out=np.zeros(length.shape), where=length > 0), 6)
-                keep = np.ones(scores.shape, bool)
-                if k:
-                    keep = scores >= np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)][:, None]
-                if least is not None:
-                    keep &= scores >= least
-                q, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, "i8")[q]), part[id_col].take(pa.array(c)), pa.array(scores[q, c])], ["query_id", id_col, "score"])
+        for part in (b.slice(at, size) for b in batches for at in range(0, b.num_rows, size)):
+            m = vector(part)
+            scores = _cosines(queries, norms, m)
+            if allow is not None:
+                scores[~allow(part, m)] = -np.inf
+            yield _hits(part, scores, _best(scores, k), query_ids, id_col)
+
+    return run
+
+
+def top_of_cells(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.ndarray, query_ids: list, id_col: str, k: int, centres: np.ndarray, lookers: list[np.ndarray]):
+    """mapInArrow function: rows meet only the queries that look into the cell of their nearest centre; lookers has these per cell."""
+    norms = np.sqrt((queries * queries).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+            m = vector(part)
+            cell = np.argmax(m @ centres.T, axis=1)
+            scores = np.full((len(queries), len(m)), -np.inf)
+            for c in np.unique(cell).tolist():
+                inside = np.flatnonzero(cell == c)
+                if len(lookers[c]):
+                    scores[np.ix_(lookers[c], inside)] = _cosines(queries[lookers[c]], norms[lookers[c]], m[inside])
+            yield _hits(part, scores, _best(scores, k), query_ids, id_col)
 
     return run

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-# The texts of extractive answers.
+# The texts of extractive answers and of grades.
 ANSWER_START = "Based on the provided context: "
 ANSWER_MORE = " These sentences seem most relevant to your question."
 ANSWER_NONE = "I couldn't find relevant information in the provided context to answer your question."
+GRADE_OVERLAP = "Query-document word overlap: %d/%d (%.2f%%)"
+GRADE_NO_REASON = "No reasoning provided"
+GRADE_FROM_TEXT = "Parsed from text response"
+GRADE_FAILED = "Grading failed, assuming relevant"
 
 
 def grade(hits: DataFrame, over: float = 0.3) -> DataFrame:
@@ -18,7 +22,7 @@ def grade(hits: DataFrame, over: float = 0.3) -> DataFrame:
 
     def graded(q: Column, c: Column) -> Column:
         common, share = F.size(F.array_intersect(q, c)), T.overlap_share(q, c)
-        reasoning = F.format_string("Query-document word overlap: %d/%d (%.2f%%)", common, F.size(q), 100 * share)
+        reasoning = F.format_string(GRADE_OVERLAP, common, F.size(q), 100 * share)
         return F.struct((share > over).alias("is_relevant"), F.least(share * 2, F.lit(1.0)).alias("confidence"), reasoning.alias("reasoning"))
 
     g = T.let(T.word_set(F.col("query")), lambda q: T.let(T.word_set(F.col("content")), lambda c: graded(q, c)))
@@ -104,7 +108,7 @@ def parse_grades(replies: DataFrame) -> DataFrame:
         *replies.columns,
         pick(F.coalesce("__o.is_relevant", F.lit(False)), by_text, F.lit(True)).alias("is_relevant"),
         pick(F.coalesce("__o.confidence", F.lit(0.5)), F.when(by_text, 0.6).otherwise(0.4), F.lit(0.5)).alias("confidence"),
-        pick(F.coalesce("__o.reasoning", F.lit("No reasoning provided")), F.lit("Parsed from text response"), F.lit("Grading failed, assuming relevant")).alias("reasoning"),
+        pick(F.coalesce("__o.reasoning", F.lit(GRADE_NO_REASON)), F.lit(GRADE_FROM_TEXT), F.lit(GRADE_FAILED)).alias("reasoning"),
     )
 
 

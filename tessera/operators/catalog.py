@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def utc_now() -> Column:
+    """The time of the query in UTC, as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def accepted_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files whose name ends in .pdf, in that case; with max_bytes also no larger than that."""
     out = files.where(F.col("filename").endswith(".pdf"))
@@ -42,9 +47,9 @@ def document_status(registry: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def outcomes(attempts: DataFrame) -> DataFrame:
-    """Attempts (doc_id, error) to their final status; the error goes to the metadata."""
+    """Attempts (doc_id, error) to their final status and, where they ended well, when; the error goes to the metadata."""
     failed = F.col("error").isNotNull()
-    return attempts.select("doc_id", F.when(failed, "failed").otherwise("completed").alias("processing_status"), F.when(failed, F.to_json(F.struct("error"))).alias("metadata"))
+    return attempts.select("doc_id", F.when(failed, "failed").otherwise("completed").alias("processing_status"), F.when(~failed, utc_now()).alias("processed_at"), F.when(failed, F.to_json(F.struct("error"))).alias("metadata"))
 
 
 def collection_stats(chunks: DataFrame, dim: int, metric: str = "COSINE") -> DataFrame:
@@ -91,18 +96,17 @@ def only(rows: DataFrame, wanted: DataFrame, key: str | list[str]) -> DataFrame:
     return rows.join(wanted, key, "left_semi")
 
 
-def for_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits allowed by each query's document_ids; queries with null or empty lists have no filter."""
-    lists = queries.where(F.size(F.coalesce("document_ids", F.array().cast("array<long>"))) > 0).select("query_id", F.explode("document_ids").alias("doc_id"))
-    free = queries.where(F.size(F.coalesce("document_ids", F.array().cast("array<long>"))) == 0).select("query_id")
-    return hits.join(lists, ["query_id", "doc_id"], "left_semi").unionByName(hits.join(free, "query_id", "left_semi"))
+def of_documents(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Chunks of the documents in wanted (doc_id); an empty list means all."""
+    return chunks if wanted.isEmpty() else only(chunks, wanted.select("doc_id"), "doc_id")
 
 
-def token_usage(turns: DataFrame) -> DataFrame:
-    """Words by role, and over all roles (null)."""
+def token_usage(turns: DataFrame, *by: str) -> DataFrame:
+    """Words by role, or by the columns named, with their subtotals (null)."""
     from tessera.functions.text import words
 
-    return turns.select("role", F.size(words(F.col("content"))).cast("long").alias("n")).rollup("role").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_messages"))
+    by = by or ("role",)
+    return turns.select(*by, F.size(words(F.col("content"))).cast("long").alias("n")).rollup(*by).agg(F.sum("n").alias("n_words"), F.count("*").alias("n_messages"))
 
 
 def hot_terms(turns: DataFrame, most: int = 20) -> DataFrame:

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding as E
 from tessera.functions import text as T
+from tessera.sources.scratch import written
 
-#: Queries whose vectors are put into one matrix that every task holds: a bound on what is broadcast. More queries go in blocks of so many.
+#: Queries whose vectors are put into one matrix that every task holds: a bound on what is collected and broadcast. Beyond it text queries are
+#: joined, and given vectors go in blocks of so many.
 QUERY_BLOCK = 2048
 #: Terms that a query's keyword pool keeps, n-gram length, least documents, largest share of documents.
 MAX_TERMS, NGRAM, MIN_DF, MAX_DF = 10_000, 3, 2, 0.8
@@ -36,49 +38,81 @@ def _given_vectors(column: str) -> Callable[[pa.RecordBatch], np.ndarray]:
     return lambda batch: np.array(batch[column].to_pylist(), "f8")
 
 
-def _in_blocks(queries: DataFrame, column: str) -> list[tuple[list, list]]:
-    """Ids and values of the queries, QUERY_BLOCK at a time. Queries are a stated set, each block's matrix is bounded."""
-    rows = queries.select("query_id", column).where("query_id IS NOT NULL")
-    n = max(1, -(-rows.count() // QUERY_BLOCK))
-    blocks = []
-    for i in range(n):
-        got = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).collect()
-        blocks.append(([r[0] for r in got], [r[1] for r in got]))
-    return [b for b in blocks if b[0]]
-
-
-def _search(rows: DataFrame, id_col: str, vector, blocks: list[tuple[list, np.ndarray]], k: int | None, least: float | None) -> DataFrame:
+def _search(rows: DataFrame, id_col: str, vector, blocks: list[tuple[list, np.ndarray]], k: int | None, allow=None) -> DataFrame:
     kind = dict(rows.dtypes)[id_col]
     found = None
     for ids, matrix in blocks:
-        part = rows.mapInArrow(E.top_of_batches(vector, matrix, ids, id_col, k, least), f"query_id long, {id_col} {kind}, score double")
+        part = rows.mapInArrow(E.top_of_batches(vector, matrix, ids, id_col, k, allow), f"query_id long, {id_col} {kind}, score double")
         found = part if found is None else found.unionAll(part)
     return found if found is not None else rows.sparkSession.createDataFrame([], f"query_id long, {id_col} {kind}, score double")
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, least: float | None = None, keep: str = "chunk_id") -> DataFrame:
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, least: float | None = None, keep: str = "chunk_id", allowed: DataFrame | None = None, most_queries: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k chunks of the default embedder's largest cosine per query; the limit comes first, then the least score.
 
-    Scores are rounded to 6 places before ranking; ties go by id. Counts are whole numbers, so a score doesn't depend on the order of summing."""
-    blocks = [(ids, np.array([E.count_vector(t) for t in texts])) for ids, texts in _in_blocks(queries, "query")]
-    hits = top(_search(chunks.select(keep, "content"), keep, _text_vectors("content"), blocks, k, None), k, tie=keep)
-    return hits if least is None else hits.where(F.col("score") >= least)
+    allowed (query_id, doc_id) holds the documents that a query may find, before the limit; queries that it doesn't name may find all. Scores are
+    rounded to 6 places before ranking; ties go by id. Counts are whole numbers, so a score doesn't depend on the order of summing. Up to
+    most_queries queries are one matrix that meets each batch of chunks; more are joined on common buckets. Only chunks with a score over 0 are hits."""
+    least_score = F.col("score") > 0 if least is None else (F.col("score") > 0) & (F.col("score") >= least)
+    asked = queries.select("query_id", "query").where("query_id IS NOT NULL")
+    got = asked.limit(most_queries + 1).collect()
+    if len(got) > most_queries:
+        return vector_search_join(asked, chunks, k, keep, allowed).where(least_score)
+    rows, allow = chunks.select(keep, "content"), None
+    if allowed is not None:
+        # Each document's row names the queries that have it in their list: as many as the matrix has at most.
+        named = allowed.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
+        limited = {r[0] for r in named.select("query_id").distinct().collect()}
+        rows = chunks.select(keep, "content", "doc_id").join(named.groupBy("doc_id").agg(F.collect_set("query_id").alias("for_queries")), "doc_id", "left").select(keep, "content", "for_queries")
+        allow = _allow([r[0] for r in got], limited)
+    blocks = [([r[0] for r in got], np.array([E.count_vector(r[1]) for r in got]))] if got else []
+    return top(_search(rows, keep, _text_vectors("content"), blocks, k, allow), k, tie=keep).where(least_score)
+
+
+def _allow(ids: list, limited: set):
+    """Function from a batch to the boolean matrix of the queries that may find each of its rows."""
+    free = np.array([i not in limited for i in ids])
+    place = {i: n for n, i in enumerate(ids)}
+
+    def matrix(batch: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
+        out = np.repeat(free[:, None], batch.num_rows, axis=1)
+        for row, named in enumerate(batch["for_queries"].to_pylist()):
+            if named:
+                out[[place[i] for i in named], row] = True
+        return out
+
+    return matrix
+
+
+def _vector_blocks(queries: DataFrame) -> list[tuple[list, np.ndarray]]:
+    """Ids and vectors of the queries (query_id, embedding), QUERY_BLOCK at a time. Queries are a stated set; each block is one more pass over the rows."""
+    rows = queries.select("query_id", "embedding").where("query_id IS NOT NULL")
+    n = max(1, -(-rows.count() // QUERY_BLOCK))
+    blocks = []
+    for i in range(n):
+        got = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).collect()
+        blocks.append(([r[0] for r in got], np.array([r[1] for r in got], "f8")))
+    return [b for b in blocks if b[0]]
 
 
 def vector_search_given(queries: DataFrame, rows: DataFrame, id_col: str, k: int, least: float | None = None) -> DataFrame:
     """The same for vectors that are there already: queries (query_id, embedding), rows (id_col, embedding)."""
-    blocks = [(ids, np.array(vectors, "f8")) for ids, vectors in _in_blocks(queries, "embedding")]
-    hits = top(_search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), blocks, k, None), k, tie=id_col)
+    hits = top(_search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), _vector_blocks(queries), k), k, tie=id_col)
     return hits if least is None else hits.where(F.col("score") >= least)
 
 
 def vector_pairs(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     """(query_id, id_col, score) of every query with every row, by the same products: the rows that come out are as many as the pairs."""
-    blocks = [(ids, np.array(vectors, "f8")) for ids, vectors in _in_blocks(queries, "embedding")]
-    return _search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), blocks, None, None)
+    return _search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), _vector_blocks(queries), None)
+
+
+def _only_allowed(hits: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Hits (query_id, doc_id, ...) that allowed (query_id, doc_id) lets through; queries that it doesn't name have no filter."""
+    free = hits.join(allowed.select("query_id").distinct(), "query_id", "left_anti")
+    return hits.join(allowed, ["query_id", "doc_id"], "left_semi").unionByName(free)
 
 
-def vector_search_join(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def vector_search_join(queries: DataFrame, chunks: DataFrame, k: int, keep: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
     """vector_search() as SQL joins on the hashed bucket, for query sets of any size: a dot product is a sum over common buckets."""
 
     def sparse(df: DataFrame, key: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -86,10 +120,12 @@ def vector_search_join(queries: DataFrame, chunks: DataFrame, k: int) -> DataFra
         return cells, cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
 
     q, qn = sparse(queries, "query_id", "query")
-    c, cn = sparse(chunks, "chunk_id", "content")
-    dots = q.withColumnRenamed("v", "qv").join(c, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qv") * F.col("v")).alias("dot"))
-    scored = dots.join(qn.withColumnRenamed("norm", "qn"), "query_id").join(cn, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("qn") * F.col("norm")), 6).alias("score"))
-    return top(scored, k)
+    c, cn = sparse(chunks, keep, "content")
+    dots = q.withColumnRenamed("v", "qv").join(c, "bucket").groupBy("query_id", keep).agg(F.sum(F.col("qv") * F.col("v")).alias("dot"))
+    if allowed is not None:
+        dots = _only_allowed(dots.join(chunks.select(keep, "doc_id"), keep), allowed).drop("doc_id")
+    scored = dots.join(qn.withColumnRenamed("norm", "qn"), "query_id").join(cn, keep).select("query_id", keep, F.round(F.col("dot") / (F.col("qn") * F.col("norm")), 6).alias("score"))
+    return top(scored, k, tie=keep)
 
 
 def ivf_cells(rows: DataFrame, cells: int = 128, fit_rows: int = 20_000, seed: int = 7):
@@ -104,54 +140,81 @@ def ivf_cells(rows: DataFrame, cells: int = 128, fit_rows: int = 20_000, seed: i
 def vector_search_ivf(queries: DataFrame, rows: DataFrame, centres: np.ndarray, probes: int = 16, k: int = 10) -> DataFrame:
     """Approximate search: a row is in its nearest cell, a query looks into its `probes` nearest ones; exact cosine inside. All cells give the exact result.
 
-    Cells of every row and query come from one matrix product per batch; the join is on the cell."""
+    Each batch of rows is dealt to cells by one product with the centres, and each cell meets the queries that look into it, so a query costs the
+    rows of its cells alone, and no vector is shuffled or joined."""
     unit = centres / np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-12)
+    found = None
+    for ids, matrix in _vector_blocks(queries):
+        near = np.argsort(-(matrix @ unit.T), axis=1, kind="stable")[:, :probes]
+        lookers = [np.flatnonzero((near == c).any(axis=1)) for c in range(len(unit))]
+        part = rows.select("vec_id", "embedding").mapInArrow(E.top_of_cells(_given_vectors("embedding"), matrix, ids, "vec_id", k, unit, lookers), "query_id long, vec_id long, score double")
+        found = part if found is None else found.unionAll(part)
+    return top(found if found is not None else rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double"), k, tie="vec_id")
+
 
-    def place(n: int, id_col: str):
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    near = np.argsort(-(np.array(batch["embedding"].to_pylist(), "f8") @ unit.T), axis=1, kind="stable")[:, :n]
-                    yield pa.RecordBatch.from_arrays([batch[id_col].take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))), pa.array(near.ravel().astype("i4")), batch["embedding"].take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))], [id_col, "cell", "embedding"])
+def pool_chunks(pool: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks that some pool holds, written: keyword search and what follows read them more than once."""
+    return written(chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi"), "pool")
 
-        return run
 
-    kind = "cell int, embedding array<double>"
-    cast = lambda df, c: df.select(F.col(c).cast("long").alias(c), F.col("embedding").cast("array<double>").alias("embedding"))
-    q = cast(queries, "query_id").mapInArrow(place(min(probes, len(unit)), "query_id"), f"query_id long, {kind}").withColumnRenamed("embedding", "q")
-    r = cast(rows, "vec_id").mapInArrow(place(1, "vec_id"), f"vec_id long, {kind}")
-    return top(r.join(q, "cell").select("query_id", "vec_id", F.round(E.cosine(F.col("q"), F.col("embedding")), 6).alias("score")), k, tie="vec_id")
+def gram_hashes(of: Column) -> Column:
+    """64-bit hashes of the n-grams of 1 to NGRAM neighbours, without building their texts."""
 
+    def of_size(a: Column, n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.xxhash64(*[F.get(a, i + j) for j in range(n)]))
+        return F.when(F.size(a) >= n, grams).otherwise(F.array().cast("array<bigint>"))
 
-def pool_terms(pool: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, term, tf) of each query's candidates. A chunk's n-grams are counted once, however many pools it is in."""
-    wanted = pool.select("chunk_id").distinct()
-    counts = chunks.select("chunk_id", "content").join(wanted, "chunk_id", "left_semi").select("chunk_id", F.explode(T.ngrams(T.tokens(F.col("content")), NGRAM)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return pool.select("query_id", "chunk_id").join(counts, "chunk_id").select("query_id", "chunk_id", "term", "tf")
+    return T.let(of, lambda a: F.concat(*[of_size(a, n) for n in range(1, NGRAM + 1)]))
 
 
-def vocabulary(pool: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, term, df, n, total) of the terms that each pool keeps: MIN_DF <= df <= MAX_DF * n, of more than MAX_TERMS the most frequent, ties by term."""
+def _counted(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h, tf): how often each n-gram is in a text. Rows are dealt by key first, so texts move and not their n-grams."""
+    return rows.repartition(key).select(key, F.explode(gram_hashes(T.tokens(F.col(text)))).alias("h")).groupBy("h", key).agg(F.count("*").alias("tf"))
+
+
+def vocabulary(pool: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, h, df, n, total, held) of the terms that each pool keeps: MIN_DF <= df <= MAX_DF * n, of more than MAX_TERMS the most frequent, ties by
+    the term's text. h is the term's hash, held the (chunk_id, tf) of the pool's chunks that have it: a pool's size at most.
+
+    A chunk's n-grams are counted once, however many pools it is in, and move once for the pools: document frequency, total and what the weights
+    need come from one grouping. Texts of terms are only looked up where a pool's last places are tied."""
+    counts = _counted(chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "content")
     sizes = pool.groupBy("query_id").agg(F.count("*").alias("n"))
-    by_term = terms.groupBy("query_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(sizes, "query_id")
-    kept = by_term.where((F.col("df") >= MIN_DF) & (F.col("df") <= MAX_DF * F.col("n")))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("total"), "term"))
-    return kept.withColumn("r", rank).where(F.col("r") <= MAX_TERMS).drop("r")
+    by_term = pool.select("query_id", "chunk_id").join(counts, "chunk_id").groupBy("h", "query_id").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.collect_list(F.struct("chunk_id", "tf")).alias("held"))
+    kept = written(by_term.where(F.col("df") >= MIN_DF).join(sizes, "query_id").where(F.col("df") <= MAX_DF * F.col("n")), "terms")
+    over = kept.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") > MAX_TERMS)
+    if over.isEmpty():
+        return kept
+    # The total of each such pool's last place: terms above it stay, those at it are ranked by text.
+    totals = kept.join(over, "query_id", "left_semi").groupBy("query_id", "total").agg(F.count("*").alias("c"))
+    upto = totals.withColumn("s", F.sum("c").over(W.partitionBy("query_id").orderBy(F.desc("total"))))
+    last = upto.where(F.col("s") >= MAX_TERMS).groupBy("query_id").agg(F.max(F.struct("total", (F.lit(MAX_TERMS) - F.col("s") + F.col("c")).alias("places"))).alias("last")).select("query_id", "last.*").withColumnsRenamed({"total": "least"})
+    marked = kept.join(last, "query_id", "left")
+    tied = marked.where("total = least").select("query_id", "h", "places")
+    texts = terms_of(tied.select("h").distinct(), pool, chunks)
+    chosen = tied.join(texts, "h").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("term"))).where("r <= places").select("query_id", "h")
+    above = marked.where("least IS NULL OR total > least").select(*kept.columns)
+    return above.unionByName(kept.join(chosen, ["query_id", "h"], "left_semi"))
+
+
+def terms_of(hashes: DataFrame, pool: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(h, term): the texts of these n-grams, from the pool's chunks."""
+    near = chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select(T.tokens(F.col("content")).alias("t"))
+    named = near.select(F.explode(F.arrays_zip(gram_hashes(F.col("t")).alias("h"), T.ngrams(F.col("t"), NGRAM).alias("term"))).alias("g")).select("g.h", "g.term")
+    return named.join(hashes, "h", "left_semi").groupBy("h").agg(F.min("term").alias("term"))
 
 
 def keyword_search(queries: DataFrame, pool: DataFrame, chunks: DataFrame, k: int, least: float = 0.1) -> DataFrame:
     """(query_id, chunk_id, score, rank) by TF-IDF cosine inside each query's pool; only scores over `least` count.
 
-    Pools without a term that stays have no hits."""
-    terms = pool_terms(pool, chunks)
-    idf = vocabulary(pool, terms).select("query_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = terms.join(idf, ["query_id", "term"]).select("query_id", "chunk_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("query_id", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = queries.select("query_id", F.explode(T.ngrams(T.tokens(F.col("query")), NGRAM)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    qw = q.join(idf, ["query_id", "term"]).select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = qw.join(weights, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, ["query_id", "chunk_id"]).join(qn, "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
+    Pools without a term that stays have no hits. A pool holds what its query may find, so a filter on documents belongs to the search that makes it."""
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    asked = _counted(queries, "query_id", "query").withColumnRenamed("tf", "q_tf")
+    terms = vocabulary(pool, chunks).join(asked, ["query_id", "h"], "left").select("query_id", idf.alias("idf"), (F.col("q_tf") * idf).alias("qw"), "held")
+    qn = terms.where("qw IS NOT NULL").groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    w = F.col("c.tf") * F.col("idf")
+    both = terms.select("query_id", "idf", "qw", F.explode("held").alias("c")).groupBy("query_id", "c.chunk_id").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(F.col("qw") * w).alias("dot"))
+    scored = both.where("dot IS NOT NULL").join(qn, "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return top(scored.where(F.col("score") > least), k)
 
 
@@ -193,13 +256,25 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None =
     return out if queries is None else out.join(queries.select("query_id", "query"), "query_id")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, weight: float = 0.7, reranked: bool = True) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, weight: float = 0.7, reranked: bool = True, allowed: DataFrame | None = None, recall: int | None = None) -> DataFrame:
     """Hybrid retrieval: vector top 2k from 0.1, keyword top 2k inside the vector top 6k from 0.05, fusion, reranking, top k.
 
-    One vector search gives both the list and the keyword pool."""
-    wide = vector_search(queries, chunks, 6 * k)
+    allowed (query_id, doc_id) holds the documents that a query may find; queries that it doesn't name may find all. With recall, both lists and
+    what is reranked have so many rows in place of 2k. One vector search gives both the list and the keyword pool; it and the pool's chunks
+    are written once, so no later step searches or cuts the corpus again."""
+    each = recall or 2 * k
+    wide = written(vector_search(queries, chunks, 3 * each, allowed=allowed), "hits")
     pool = wide.where(F.col("score") >= 0.05)
-    vector = wide.where((F.col("rank") <= 2 * k) & (F.col("score") >= 0.1))
-    hits = with_chunks(fuse(vector, keyword_search(queries, pool, chunks, 2 * k), weight), chunks, queries)
+    near = pool_chunks(pool, chunks)
+    fused = fuse(wide.where((F.col("rank") <= each) & (F.col("score") >= 0.1)), keyword_search(queries, pool, near, each), weight)
+    hits = with_chunks(fused if recall is None else top(fused, recall).drop("rank"), near, queries)
     scored = rerank(hits) if reranked else hits.withColumn("overlap_score", F.lit(0.0)).withColumn("rerank_score", F.col("score"))
     return top(scored, k, "rerank_score")
+
+
+def parent_search(queries: DataFrame, children: DataFrame, parents: DataFrame, children_k: int = 20, k: int = 5) -> DataFrame:
+    """(query_id, parent_id, score, rank, content): searches children (parent_id, child_id, child), ranks parents (chunk_id, content) by their best child."""
+    pieces = children.select(F.col("child_id").alias("chunk_id"), "parent_id", F.col("child").alias("content"))
+    hits = vector_search(queries, pieces, children_k).drop("rank").join(pieces.select("chunk_id", "parent_id"), "chunk_id")
+    best = top(hits.groupBy("query_id", "parent_id").agg(F.max("score").alias("score")), k, tie="parent_id")
+    return best.join(parents.select(F.col("chunk_id").alias("parent_id"), "content"), "parent_id").select("query_id", "parent_id", "score", "rank", "content")

@@ -55,12 +55,13 @@ def vectors(rows: str, key: str, text: str, name: str) -> str:
 FROM (SELECT {key}, unnest({words(f'lower({text})')}) AS w FROM {rows})) GROUP BY 1, 2), {name}_n AS (SELECT {key}, sqrt(sum(v * v)::DOUBLE) AS norm FROM {name} GROUP BY 1)"""
 
 
-def vector_top(k: int, name: str = "vt") -> str:
-    """Ranked hits of q in ch by the default embedder."""
+def vector_top(k: int, name: str = "vt", allowed: str | None = None) -> str:
+    """Ranked hits of q in ch by the default embedder; of queries that the table allowed (query_id, doc_id) names, only in their documents."""
+    only = f" AND (query_id NOT IN (SELECT query_id FROM {allowed}) OR (query_id, doc_id) IN (SELECT query_id, doc_id FROM {allowed}))" if allowed else ""
     return f"""{vectors('ch', 'chunk_id', 'content', 'cv')}, {vectors('q', 'query_id', 'query', 'qv')},
 dots AS (SELECT query_id, chunk_id, sum(qv.v * cv.v)::DOUBLE AS dot FROM qv JOIN cv USING (b) GROUP BY 1, 2),
 {name} AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-FROM (SELECT query_id, chunk_id, round(dot / (qv_n.norm * cv_n.norm), 6) AS score FROM dots JOIN qv_n USING (query_id) JOIN cv_n USING (chunk_id) WHERE qv_n.norm * cv_n.norm > 0)) WHERE rank <= {k})"""
+FROM (SELECT query_id, chunk_id, round(dot / (qv_n.norm * cv_n.norm), 6) AS score FROM dots JOIN qv_n USING (query_id) JOIN cv_n USING (chunk_id) JOIN (SELECT chunk_id, doc_id FROM ch) USING (chunk_id) WHERE qv_n.norm * cv_n.norm > 0 AND dot > 0{only})) WHERE rank <= {k})"""
 
 
 def keyword_top(pool: str, k: int, name: str = "kt") -> str:
@@ -88,11 +89,14 @@ RERANKED = f"""rr AS (SELECT query_id, chunk_id, doc_id, page_number, chunk_inde
 FROM (SELECT *, round(CASE WHEN len({word_set('query')}) > 0 THEN len(list_intersect({word_set('query')}, {word_set('content')}))::DOUBLE / len({word_set('query')}) ELSE 0 END, 6) AS overlap_score FROM fu JOIN ch USING (chunk_id) JOIN q USING (query_id)))"""
 
 
-def retrieved(k: int, name: str = "top") -> str:
+def retrieved(k: int, name: str = "top", recall: int | None = None, allowed: str | None = None) -> str:
     """The hybrid retrieval, with everything before it."""
+    each = recall or 2 * k
     pool = "pool AS (SELECT query_id, chunk_id FROM vt WHERE score >= 0.05)"
     final = f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM rr) WHERE rank <= {k})"
-    return ",\n".join([PAGES, chunks(), QUERIES, vector_top(6 * k), pool, keyword_top("pool", 2 * k), fused().format(two_k=2 * k), RERANKED, final])
+    cut = [] if recall is None else [f"fc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS fr FROM fu) WHERE fr <= {recall})"]
+    reranked = RERANKED if recall is None else RERANKED.replace("FROM fu JOIN", "FROM fc JOIN")
+    return ",\n".join([PAGES, chunks(), QUERIES, vector_top(3 * each, allowed=allowed), pool, keyword_top("pool", each), fused().format(two_k=each), *cut, reranked, final])
 
 
 GRADED = f"""gr AS (SELECT *, n_common / greatest(n_query, 1)::DOUBLE > 0.3 AS is_relevant, round(least(n_common::DOUBLE / greatest(n_query, 1) * 2, 1.0), 6) AS confidence, printf('Query-document word overlap: %d/%d (%.2f%%)', n_common, n_query, 100 * (n_common::DOUBLE / greatest(n_query, 1))) AS reasoning

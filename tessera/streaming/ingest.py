@@ -28,12 +28,19 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def upsert_to(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Writes the whole aggregate of each batch, the last one last, to a numbered folder under path."""
+    """Writes each batch's changed rows to a numbered folder under path; a batch that runs again replaces its own. latest() reads the rows that stand."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last version of each key that upsert_to() wrote."""
+    rows = spark.read.parquet(path)
+    kept = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*kept), "batch").alias("r")).select("r.*")
 
 
 def chunk_counts(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tessera.functions import embedding
 from tessera.functions import text as T
 from tessera.operators import answers, catalog, chunking, search
+from tessera.plans import registry
 from tessera.plans.registry import R, hybrid_retrieve
 
 DATA = "/root/testdata/sf0.001"
@@ -85,6 +86,32 @@ def test_join_form_of_vector_search_equals_matrix_form(spark):
     assert left == right
 
 
+def test_filtered_searches_rank_among_allowed_documents_only(spark):
+    queries, chunks = R.queries(spark, DATA), R.chunks(spark, DATA)
+    allowed = registry._allowed(spark, DATA)
+    forms = [search.vector_search(queries, chunks, 5, allowed=allowed, most_queries=n) for n in (2048, 3)]
+    left, right = (sorted(map(tuple, f.select("query_id", "rank", "chunk_id", "score").collect())) for f in forms)
+    assert left == right and len(left) > 100
+    hits = forms[0].join(chunks.select("chunk_id", "doc_id"), "chunk_id").where("query_id % 4 <> 0")
+    assert hits.where("doc_id % 7 <> query_id % 7").count() == 0 and hits.groupBy("query_id").count().where("count = 5").count() > 20
+
+
+def test_an_empty_document_list_means_all(spark):
+    chunks = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, doc_id long")
+    none, one = (spark.createDataFrame(rows, "doc_id long") for rows in ([], [(2,)]))
+    assert catalog.of_documents(chunks, none).count() == 2 and [r["chunk_id"] for r in catalog.of_documents(chunks, one).collect()] == ["b"]
+
+
+def test_large_vocabularies_keep_the_most_frequent_terms(spark, monkeypatch):
+    """More terms than MAX_TERMS: by total, then by text."""
+    monkeypatch.setattr(search, "MAX_TERMS", 3)
+    pool = spark.createDataFrame([(1, c) for c in "abc"], "query_id long, chunk_id string")
+    chunks = spark.createDataFrame([("a", "red red plum kiwi fig"), ("b", "red fig plum kiwi"), ("c", "lime")], "chunk_id string, content string")
+    kept = search.vocabulary(pool, chunks)
+    got = kept.join(search.terms_of(kept.select("h"), pool, chunks), "h").select("term", "total").collect()
+    assert sorted(map(tuple, got)) == [("fig", 2), ("kiwi", 2), ("red", 3)]
+
+
 def test_cells_without_limit_give_the_exact_result(spark):
     rows = R.read(spark, DATA, "embeddings")
     queries = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -92,8 +119,13 @@ def test_cells_without_limit_give_the_exact_result(spark):
     exact = search.vector_search_given(queries, rows, "vec_id", 10)
     pick = lambda df: sorted(map(tuple, df.select("query_id", "rank", "vec_id", "score").collect()))
     assert pick(search.vector_search_ivf(queries, rows, centres, 8)) == pick(exact)
-    near = search.vector_search_ivf(queries, rows, centres, 6)
-    assert near.join(exact, ["query_id", "vec_id"]).count() >= 0.7 * exact.count()
+
+
+def test_recall_of_the_registered_index(spark):
+    folder = "/root/testdata/sf0.1"
+    exact = search.vector_search_given(registry._vector_queries(spark, folder), R.read(spark, folder, "embeddings"), "vec_id", 10)
+    near = registry.vector_search_ivf(spark, folder)
+    assert exact.count() == 200 and near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * 200
 
 
 def test_small_pools_have_no_keyword_hits(spark):
@@ -117,6 +149,7 @@ def test_large_files_are_rejected_only_with_a_limit(spark):
 def test_plan_of_hybrid_retrieval(spark):
     plan = hybrid_retrieve(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
+    assert "MapInArrow" not in plan and "Generate" in plan and plan.count("Scan parquet") < 16  # vector search, pool and terms are read from their tables
 
 
 def test_result_does_not_depend_on_partitions(spark):

@@ -1,4 +1,4 @@
-"""Registered queries over the whole of their inputs: the results are held against SQL of their own, as the registry's SQL has the older, smaller sets."""
+"""Registered queries over the whole of their inputs, against SQL that is written apart from the registry's."""
 
 from tessera.plans import registry as Q
 from tessera.plans import sql as S
