@@ -119,7 +119,8 @@ def differing_spans(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", to: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of each whole text; null counts as empty."""
+    """docs with the fingerprint of each whole text; null counts as empty. A column of docs that bears the name `to` is replaced; an empty table gives an
+    empty table; a text's tree is built in one task, whatever its length."""
     make = F.pandas_udf(lambda s: s.map(lambda t: encode(tree(t))), "string")
     return docs.withColumn(to, make(text_col))
 
@@ -169,14 +170,15 @@ def with_next(docs: DataFrame, prepare: Callable, pair: Callable, schema: str) -
                 yield pa.RecordBatch.from_pylist(out, to_arrow_schema(kind))
 
     kind = _parse_datatype_string(schema)
-    return spread.repartition(n, "at").sortWithinPartitions("at", "copy", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(stream, schema)
+    return spread.repartitionById(len(bounds) + 1, "at").sortWithinPartitions("at", "copy", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(stream, schema)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The fingerprints of every document and of its edited text, whose last floor(n / 4) code points are the first ones of the next document.
 
-    Null texts count as empty and are like each other; repeated rows give repeated results; a table of one row has itself as next; columns but
-    doc_id and text aren't read."""
+    Null texts count as empty and are like each other; repeated rows give repeated results; a table of one row has itself as next, an empty table
+    gives an empty table; a task holds two texts and their trees, however long they are; columns but doc_id and text aren't read, so clashing
+    names don't matter."""
 
     def pair(row, following):
         (doc_id, (text, own)), (_, (after, other)) = row, following

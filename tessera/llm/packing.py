@@ -16,7 +16,7 @@ from tessera.llm.common import written
 
 #: Tokens of a sequence; the id that ends a document.
 CAPACITY, END_ID = 1024, 2
-#: Pieces to a local partition; bins to a merging partition (fan-in times KEEP); underfull bins that a partition hands up, the emptiest first.
+#: Pieces to a local partition; partitions to a merging one; underfull bins that a partition hands up, the emptiest first: more than FAN_IN.
 LOCAL_ROWS, FAN_IN, KEEP = 4096, 16, 64
 #: A bin with at most this many tokens of room is nearly full, so it's done where it stands.
 WASTE = 4
@@ -30,7 +30,7 @@ class _Encoder(dict):
     """Ids of a text as little-endian 32-bit bytes, by byte-level BPE over the vocabulary of a ``tokenizers`` file.
 
     The pattern attaches a blank to the word after it, so texts whose only white space next to a blank is none are encoded word by word and
-    each word once per worker. Other texts are encoded whole. Special tokens' strings are ordinary text."""
+    each word once per worker. Other texts are encoded whole. Where the file's added tokens stand in a text, they are cut out first and take their ids."""
 
     def __init__(self, path: str):
         import json
@@ -39,10 +39,12 @@ class _Encoder(dict):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, self.added = file["model"]["vocab"], {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in file.get("added_tokens", ())}
+        self.marks = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         chars = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(chars[c] for c in token): rank for token, rank in vocab.items() if all(c in chars for c in token) and token != "<|endoftext|>"}
+        ranks = {bytes(chars[c] for c in token): rank for token, rank in vocab.items() if all(c in chars for c in token) and token not in self.added}
         self.bpe = tiktoken.Encoding("documents", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.mixed = re.compile(r" \s|[^\S ] |\A\s|\s\Z")
 
@@ -53,6 +55,12 @@ class _Encoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if self.marks.search(text):
+            parts = [x for x in self.marks.split(text) if x]
+            return b"".join([self.added[x] if x in self.added else self.plain(x) for x in parts])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text or len(text) < 64 or self.mixed.search(text):
             return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -113,7 +121,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _handed_up(fill: np.ndarray, nearly: int) -> np.ndarray:
-    """The underfull bins that go on, the emptiest KEEP: after best fit no two bins under half exist, so few others can gain."""
+    """The underfull bins that go on, the emptiest KEEP.
+
+    More can't save a sequence: after best fit a partition has one bin at most that is half full or less, and only such bins fit into others. A
+    merging partition so has FAN_IN of them at most, which need no more than that many bins to go to, and of each partition the emptiest take them
+    all if any do."""
     under = np.flatnonzero(fill < nearly)
     return under[np.argsort(fill[under], kind="stable")[:KEEP]]
 
@@ -164,21 +176,21 @@ def _merge(level: int, capacity: int, nearly: int, last: bool):
 def pack(items: DataFrame, capacity: int = CAPACITY, waste: int = WASTE, local_rows: int = LOCAL_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """items (doc_id, version, piece, length <= capacity) with sequence_id and offset, gapless from 0.
 
-    Whole pieces are sequences of their own. The rest is dealt by hash into partitions of about local_rows, each packed by best fit. Bins with at most
+    Whole pieces are sequences of their own. The rest is dealt by hash into partitions of about local_rows, one to a task, each packed by best fit. Bins with at most
     `waste` tokens of room are done; of the others a partition hands its KEEP emptiest to a partition of the next level, which takes
     fan_in partitions' bins as items, and so on to the root. What a task holds is bounded at each level, and no item is left out."""
     full = items.where(F.col("length") == capacity)
     rest = items.where(F.col("length") < capacity)
     n = max(1, -(-rest.count() // local_rows))
     key = F.xxhash64("doc_id", "version", "piece")
-    dealt = rest.select("doc_id", "version", "piece", "length", F.pmod(key, F.lit(n)).alias("part")).repartition(n, "part").sortWithinPartitions("part", F.desc("length"), "doc_id", "version", "piece")
+    dealt = rest.select("doc_id", "version", "piece", "length", F.pmod(key, F.lit(n)).alias("part")).repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("part", F.desc("length"), "doc_id", "version", "piece")
     nearly = capacity - waste
     local = written(dealt.mapInArrow(_pack_local(capacity, nearly), "doc_id long, version long, piece int, bin long, place long, fill long, up boolean"), "packed")
     bins = local.where("up").groupBy("bin").agg(F.first("fill").alias("fill")).select("fill", F.array(F.struct("bin", F.lit(0).cast("long").alias("base"))).alias("members"), F.shiftright("bin", 32).alias("part"))
     done, level = [], 1
     while True:
         n = -(-n // fan_in)
-        sent = bins.select("fill", "members", F.floor(F.col("part") / fan_in).cast("long").alias("group")).repartition(n, "group").sortWithinPartitions("group", F.desc("fill"), F.col("members")[0]["bin"])
+        sent = bins.select("fill", "members", F.floor(F.col("part") / fan_in).cast("long").alias("group")).repartitionById(n, F.col("group").cast("int")).sortWithinPartitions("group", F.desc("fill"), F.col("members")[0]["bin"])
         merged = written(sent.mapInArrow(_merge(level, capacity, nearly, n == 1), "sequence_id long, fill long, members array<struct<bin: long, base: long>>, final boolean, part long"), "merged")
         done.append(merged.where("final"))
         if n == 1:
@@ -197,7 +209,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, waste: int = WASTE, local_r
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece of the end id. Rows that repeat an id are packed each. An empty table gives an empty table."""
+    Null and empty texts are one piece of the end id. Rows that repeat an id are packed each, rows without an id too. An empty table gives an empty
+    table. Texts of any length are cut, one row at a time. Columns but doc_id and text aren't read, so clashing names don't matter."""
     cut = written(pieces(docs, tokenizer_path, capacity), "pieces")
     places = pack(cut, capacity)
     same = cut["doc_id"].eqNullSafe(places["doc_id"]) & (cut["version"] == places["version"]) & (cut["piece"] == places["piece"])

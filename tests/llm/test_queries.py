@@ -81,7 +81,6 @@ def test_classifier_on_held_out_rows(spark):
 def test_packing(spark, texts):
     got = QUERIES["op6_best_fit_packing"](spark, DATA).toPandas().sort_values(["doc_id", "piece"])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for i, rows in got.groupby("doc_id"):
         ids = [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 2]
         lengths = rows.length.tolist()
