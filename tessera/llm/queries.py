@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,18 +89,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "text", "keep_bitmap").mapInArrow(_line_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [x.values.to_numpy().astype("<u4").tobytes() for x in batch["ids"]]
-        texts = [t.encode() for t in batch["decoded"].to_pylist()]
-        made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *made], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
-
-
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    decode = sentencepiece_lattice.decode_batches(path)
-    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, lambda batches: _id_digests(decode(batches)), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, sentencepiece_lattice.digest_batches(path), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_minhash_near_dedup, op4_quality_classifier, op5_warc, op6_best_fit_packing, op7_secret_scans, op8_url_filters, op9_line_dedup, op10_sentencepiece)}

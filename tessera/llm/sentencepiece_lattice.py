@@ -6,6 +6,7 @@ a BPE model's scores, which are ranks of merges, gives other pieces than Sentenc
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import re
@@ -32,7 +33,7 @@ NO_PIECE = 1e9
 #: Characters of text to a chunk, which ends with its input partition too: what a task holds is one chunk's dictionary.
 CHUNK_CHARS = 8_000_000
 #: Buckets of words to a shuffle partition: a word has dozens of edges, so the tasks that fold words take fewer rows than others.
-BUCKETS = 4
+BUCKETS = 8
 _UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
 _MODELS: dict[str, "Model"] = {}
 
@@ -462,7 +463,11 @@ def encode(docs: DataFrame, model_path: str, then: Callable | None = None, schem
     books = known.groupBy("bucket").cogroup(sent.select(F.col("bucket").alias("of"), "chunk", "words").groupBy("of")).applyInArrow(_books("<u2" if len(model.surface) < 1 << 16 else "<u4"), _PART_SQL)
     run = _apply(model_path)
     both = books.unionByName(rows.mapInArrow(_texts, _PART_SQL))
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_both(run, then), schema)
+
+
+def _both(first: Callable, then: Callable | None):
+    return first if then is None else lambda batches: then(first(batches))
 
 
 def decode_batches(path: str):
@@ -480,3 +485,16 @@ def decode_batches(path: str):
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, decoded): pieces joined, bytes put together, marks turned to blanks and the first blank, which encoding adds, taken off."""
     return encoded.select("doc_id", "ids").mapInArrow(decode_batches(model_path), "doc_id long, ids array<int>, decoded string")
+
+
+def digest_batches(path: str):
+    """mapInArrow function from (doc_id, ids) to (doc_id, n_ids, ids_crc32, decoded_sha256); it needs none of the subpackage's other modules in its worker."""
+    decode = decode_batches(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decode(batches):
+            ids = [x.values.to_numpy().astype("<u4").tobytes() for x in batch["ids"]]
+            made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch["decoded"].to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *made], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+
+    return run
