@@ -35,7 +35,7 @@ CACHED_WORDS = 400_000
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 31, BITS, dtype="u4") * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 1 << 32, BITS, dtype="u8").astype("u4")[:, None]
-_SKETCH = "doc_id long, n_shingles long, key binary, tokens binary, b0 long, b1 long"
+_SKETCH = "doc_id long, version long, n_shingles long, key binary, tokens binary, b0 long, b1 long"
 
 
 class _WordHashes(dict):
@@ -93,7 +93,7 @@ def _sketch(shingle_words: int):
                     tokens.append(None)
                     bits.append(bytes(16))
             pair = np.frombuffer(b"".join(bits), "i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["doc_id", "n_shingles", "key", "tokens", "b0", "b1"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["doc_id", "version", "n_shingles", "key", "tokens", "b0", "b1"])
 
     return run
 
@@ -266,11 +266,14 @@ def _decide(percent: int):
 
 
 def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs.
+    """(doc_id, n_shingles, component_id, kept, version) of every row of docs; version is the column __version of docs, or the text's hash where docs has none.
 
     Rows with equal sets are one class, however many they are, and classes alone are compared. component_id is the smallest doc_id of the
-    component; null and empty texts, and texts without words, are components of their own. Rows without an id have no component and are kept."""
-    rows = written(docs.select("doc_id", "text").mapInArrow(_sketch(shingle_words), _SKETCH), "sketches")
+    component; null and empty texts, and texts without words, are components of their own. Rows without an id have no component and are kept.
+    An empty table gives an empty table. A text of any length is one row of hashes, 8 bytes a distinct shingle. Other columns aren't read."""
+    version = F.col("__version") if "__version" in docs.columns else F.xxhash64("text")
+    docs = docs.select("doc_id", "text", version.alias("version"))
+    rows = written(docs.mapInArrow(_sketch(shingle_words), _SKETCH), "sketches")
     known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     grouped = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -288,12 +291,19 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = PERC
     named = classes.select("cid", "key", "rep").join(labels, F.col("cid") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     of_key = named.join(least, "label").select("key", "least")
-    out = rows.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
+    out = rows.select("doc_id", "version", "n_shingles", "key").join(of_key, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "version")
 
 
-def keep_one_each(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are the smallest id of their component, with their columns as they are. Rows that repeat that id with equal columns stay once."""
-    gone = near_components(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+def keep_one_each(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT, whole: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that are the smallest id of their component, with their columns as they are.
+
+    Rows that repeat a kept id stay with it; of an id with several texts only those go that are like a smaller id's. Rows without an id stay. With
+    whole (doc_id, text) the texts there are compared in place of those in docs, where it has the id: what earlier stages cut doesn't hide a copy."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__version"))
+    if whole is not None:
+        known = whole.select(F.col("doc_id").alias("__id"), F.col("text").alias("__whole"), F.lit(True).alias("__known"))
+        rows = rows.join(known, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.when(F.col("__known"), F.col("__whole")).otherwise(F.col("text")).alias("text"), "__version")
+    gone = near_components(rows, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("version").alias("__gone_version")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__gone_version")), "left_anti")

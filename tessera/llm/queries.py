@@ -26,7 +26,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=2)
+    return near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=2).drop("version")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
