@@ -1,39 +1,40 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Every rule says when it rejects and what a row costs it. A bounded sample gives each rule's cost and the joint rejections; rules then run in
-order of rejection per cost, each measured on what the earlier ones let through. The order changes the speed, never the verdict."""
+A bounded sample gives each rule's time and the joint rejections; rules then run in order of rejection per second, each measured on what the
+earlier ones let through. The order changes the speed and which of several rejecting rules is named, never the verdict."""
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the order of rules is measured on, as numbers, without text.
-SAMPLE_ROWS = 2048
+from tessera.llm.common import written
+
+#: Rows that the order of rules is measured on; the least time that counts, in seconds for these rows.
+SAMPLE_ROWS, LEAST_SECONDS = 2048, 1e-3
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects and cost are SQL expressions over text, words and the counts of word_counts(); cost is in code points looked at."""
+    """rejects is an SQL expression over text, words and the counts of word_counts()."""
 
     name: str
     rejects: str
-    cost: str
 
 
-_CHARS = "length(text)"
 RULES = (
-    Rule("symbols", "10 * n_symbols > n_words", "1"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words", "1"),
-    Rule("repeated_lines", "2 * n_dup_lines > n_lines", "1"),
-    Rule("few_letters", r"5 * size(filter(words, w -> NOT w rlike '\\p{L}')) > n_words", _CHARS),
-    Rule("shouting", r"2 * length(regexp_replace(text, '\\P{Lu}+', '')) > word_chars", f"2 * {_CHARS}"),
-    Rule("exclaiming", r"5 * size(filter(words, w -> endswith(w, '!!'))) > n_words", "n_words"),
-    Rule("bullets", r"10 * size(filter(split(text, '\n'), x -> x rlike '^[\\x20\\x09]*[-*•]')) > 9 * n_lines", f"3 * {_CHARS}"),
-    Rule("cut_lines", r"10 * size(filter(split(text, '\n'), x -> x rlike '(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$')) > 3 * n_lines", f"4 * {_CHARS}"),
+    Rule("symbols", "10 * n_symbols > n_words"),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
+    Rule("few_letters", r"5 * size(filter(words, w -> NOT w rlike '\\p{L}')) > n_words"),
+    Rule("shouting", r"2 * length(regexp_replace(text, '\\P{Lu}+', '')) > word_chars"),
+    Rule("exclaiming", r"5 * size(filter(words, w -> endswith(w, '!!'))) > n_words"),
+    Rule("bullets", r"10 * size(filter(split(text, '\n'), x -> x rlike '^[\\x20\\x09]*[-*•]')) > 9 * n_lines"),
+    Rule("cut_lines", r"10 * size(filter(split(text, '\n'), x -> x rlike '(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$')) > 3 * n_lines"),
 )
 BASE_FAILS = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
@@ -89,14 +90,38 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
 
 
-def cascade_order(counted: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost, on those of the first `rows` rows that pass the base test; of a row only two numbers a rule reach the driver."""
-    seen = counted.select(*[F.expr(f"coalesce({r.rejects}, false)").alias(f"r{i}") for i, r in enumerate(rules)], *[F.expr(f"cast({r.cost} AS double)").alias(f"c{i}") for i, r in enumerate(rules)], F.expr(BASE_FAILS)).limit(rows).collect()
-    seen = [x for x in seen if not x[-1]]
+def hashed_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """`rows` rows with the least hashes of their id (of their text where docs has no id), so they come from all files alike.
+
+    The hashes are cut first, on the id alone; of rows that tie at the cut (a repeated id) some are left out, so the sample stays bounded."""
+    h = F.xxhash64(docs[id_col] if id_col in docs.columns else docs["text"])
+    last = docs.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return docs.where(h <= F.lit(last)).limit(rows)
+
+
+def measured_seconds(sample: DataFrame, rules: tuple[Rule, ...]) -> list[float]:
+    """Seconds that each rule takes for the sample, beyond those of reading it; the first of two runs only warms up."""
+
+    def run(condition: str) -> float:
+        counted = sample.agg(F.expr(f"count_if(length(text) + size(words) < 0 OR coalesce({condition}, false))"))
+        counted.collect()
+        start = time.perf_counter()
+        counted.collect()
+        return time.perf_counter() - start
+
+    idle = run("n_words < 0")
+    return [max(run(r.rejects) - idle, LEAST_SECONDS) for r in rules]
+
+
+def cascade_order(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """Rules by rejections per second on the sample, a bounded table of word_counts(); of a row only a boolean a rule reaches the driver."""
+    seen = sample.select(*[F.expr(f"coalesce({r.rejects}, false)").alias(f"r{i}") for i, r in enumerate(rules)]).collect()
+    if not seen:
+        return list(rules)
+    seconds = measured_seconds(sample, rules)
     left, order = list(range(len(rules))), []
     while left:
-        gain = {i: (sum(x[i] for x in seen) + 1e-3) / (sum(x[len(rules) + i] for x in seen) + 1.0) for i in left}
-        best = max(left, key=lambda i: (gain[i], -i))
+        best = max(left, key=lambda i: ((sum(x[i] for x in seen) + 1e-3) / seconds[i], -i))
         order.append(rules[best])
         left.remove(best)
         seen = [x for x in seen if not x[best]]
@@ -111,11 +136,12 @@ def verdict(order: list[Rule]) -> Column:
     return said
 
 
-def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the counts, base_failed and kept.
+def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
+    """docs with the counts, base_failed, kept and rejected_by (base, the rule that rejected first, or null).
 
     Null and empty texts have no words, so they fail the base test; an empty table gives an empty table; repeated rows are judged alike.
-    Columns of docs that bear the names of the counts are replaced."""
-    counted = word_counts(docs)
-    order = cascade_order(counted, rules)
-    return counted.withColumn("base_failed", F.expr(BASE_FAILS)).withColumn("kept", verdict(order).isNull()).drop("words")
+    Columns of docs that bear the names of the counts or verdicts are replaced, and words is dropped. A long text is one row's array of words."""
+    sample = word_counts(hashed_sample(docs, id_col=id_col)).select("text", "words", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words").where(f"NOT ({BASE_FAILS})")
+    order = cascade_order(written(sample, "rule-sample"), rules)
+    judged = word_counts(docs).withColumn("base_failed", F.expr(BASE_FAILS)).withColumn("rejected_by", verdict(order))
+    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("words")
