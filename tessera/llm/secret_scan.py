@@ -1,7 +1,12 @@
-"""Secret scans in DataFrame functions alone: pattern spans, and spans that a battery of randomness tests takes for keys."""
+"""Secret scans in DataFrame functions alone: pattern spans, and spans that a battery of randomness tests takes for keys.
+
+A candidate is a key if the battery doesn't reject that it is random (which bounds the share of keys among what is let go), and a likelihood ratio
+rejects that it is made like words and names (which bounds the share of names among what is flagged)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,10 @@ ENCODINGS = (
     ("hex", "[0-9a-f]+", _DIGITS + "abcdef"), ("HEX", "[0-9A-F]+", _DIGITS + "ABCDEF"), ("base32", "[A-Z2-7]+", _UP + "234567"), ("base36", "[a-z0-9]+", _DIGITS + _LOW), ("BASE36", "[A-Z0-9]+", _DIGITS + _UP),
     ("base62", "[A-Za-z0-9]+", _DIGITS + _UP + _LOW), ("base64", "[A-Za-z0-9+/]+", _UP + _LOW + _DIGITS + "+/"), ("base64url", "[A-Za-z0-9_-]+", _UP + _LOW + _DIGITS + "-_"),
 )
+# Letters of English text, a to z, in per mille.
+LETTER_SHARE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.7)
+#: In words and names the next character is of the same class (lower, upper, digit, other) with this probability, else of any other class alike.
+STAY = 0.7
 #: Share of false rejections that Benjamini-Hochberg allows per class of length; upper ends of those classes; steps of -log10 p that are counted.
 ALPHA, LENGTH_CLASSES, STEPS, STEP = 0.05, (24, 32, 48, 64), 400, 0.05
 
@@ -89,6 +98,29 @@ def battery(run: Column) -> Column:
     return F.when(fit, _let(alphabet, lambda a: F.when(a.isNotNull(), tests(bare, a))))
 
 
+def word_likeness(run: Column) -> Column:
+    """A bound on p that a string made like words and names is as much likelier as this one under its inferred encoding; null if it has no encoding.
+
+    The null draws the class of each character by STAY, letters by LETTER_SHARE and all else evenly. By Markov's inequality a likelihood ratio of r
+    has p of 1 / r at most under it, and 1 / 8 of that ratio with eight encodings to choose from."""
+    bare = F.regexp_replace(run, "=+$", "")
+    known = _LOW + _DIGITS + "+/-_"
+    costs = F.array(*[F.lit(-math.log(x / sum(LETTER_SHARE))) for x in LETTER_SHARE], *[F.lit(math.log(10.0))] * 10, *[F.lit(math.log(4.0))] * 4)
+
+    def bound(size: Column) -> Column:
+        n = F.length(bare)
+        classes = F.translate(bare, _LOW + _UP + _DIGITS + "+/-_", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
+        changes = F.length(F.regexp_replace(classes, "a+|A+|0+|-+", "x")) - 1
+        letters = _let(F.lower(bare), lambda s: F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + F.coalesce(F.try_element_at(costs, F.instr(F.lit(known), F.substring(s, i, F.lit(1)))), F.lit(0.0))))
+        ratio = letters + math.log(4.0) - (n - 1 - changes) * math.log(STAY) - changes * math.log((1 - STAY) / 3) - n * F.log(size)
+        return F.least(F.lit(1.0), len(ENCODINGS) * F.exp(-F.least(ratio, F.lit(600.0))))
+
+    size = F.lit(None).cast("double")
+    for _, look, alphabet in reversed(ENCODINGS):
+        size = F.when(bare.rlike(f"^{look}$"), float(len(alphabet))).otherwise(size)
+    return F.when(size.isNotNull(), bound(size))
+
+
 def length_class(n: Column) -> Column:
     out = F.lit(len(LENGTH_CLASSES))
     for i, most in reversed(list(enumerate(LENGTH_CLASSES))):
@@ -97,34 +129,37 @@ def length_class(n: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs' columns without text, with base (spans of PATTERNS) and tested (start, end, length class, step of -log10 p of the battery's candidates)."""
+    """docs' columns without text, with base (spans of PATTERNS) and tested (start, end, length class and steps of -log10 p, of the battery and of word_likeness(), of the
+    candidates). Columns of docs that bear these names are dropped; a long text costs its own length."""
     text = F.coalesce(docs["text"], F.lit(""))
     kept = [c for c in docs.columns if c not in ("text", "base", "tested")]
-    empty = F.array().cast("array<struct<start:int,end:int,class:int,step:int>>")
+    empty = F.array().cast("array<struct<start:int,end:int,class:int,step:int,word:int>>")
+    steps_of = lambda p: F.least(F.lit(STEPS), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) / STEP)).cast("int")
 
     def score(span: Column, t: Column) -> Column:
-        p = battery(F.substring(t, span["start"] + 1, span["end"] - span["start"]))
-        step = F.least(F.lit(STEPS), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) / STEP)).cast("int")
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), length_class(span["end"] - span["start"]).alias("class"), step.alias("step"))
+        run = F.substring(t, span["start"] + 1, span["end"] - span["start"])
+        return _let(run, lambda r: F.struct(span["start"].alias("start"), span["end"].alias("end"), length_class(span["end"] - span["start"]).alias("class"), steps_of(battery(r)).alias("step"), steps_of(word_likeness(r)).alias("word")))
 
     base = F.sort_array(F.concat(*[found_spans(text, *p) for p in PATTERNS]))
     tested = _let(found_spans(text, "random", CANDIDATE, 0, LEAST), lambda spans: F.when(F.size(spans) > 0, F.filter(F.transform(spans, lambda s: score(s, text)), lambda c: c["step"].isNotNull())).otherwise(empty))
     return docs.select(*kept, base.alias("base"), tested.alias("tested"))
 
 
-def rejection_steps(scanned: DataFrame, alpha: float = ALPHA) -> dict[int, int]:
-    """Per class of length the step of -log10 p from which a candidate is no key: Benjamini-Hochberg over all candidates of that class.
+def rejection_steps(scanned: DataFrame, alpha: float = ALPHA) -> dict[str, list[int]]:
+    """For the nulls `step` (random) and `word` (like words) the step of -log10 p, by class of length, from which they are rejected: Benjamini-Hochberg over
+    all candidates of the class; STEPS + 1 rejects none.
 
-    All p values are counted by class and step, so the driver gets five times STEPS numbers at most, whatever the input."""
-    counts = scanned.select(F.explode("tested").alias("t")).groupBy("t.class", "t.step").count().collect()
-    limits = {}
-    for c in {r["class"] for r in counts}:
-        steps = sorted(((r["step"], r["count"]) for r in counts if r["class"] == c), reverse=True)
-        total, seen, limits[c] = sum(n for _, n in steps), 0, STEPS + 1
+    All p values are counted by null, class and step, so the driver gets ten times STEPS numbers at most, whatever the input."""
+    both = F.flatten(F.transform("tested", lambda t: F.array(*[F.struct(F.lit(null).alias("null"), t["class"].alias("class"), t[null].alias("step")) for null in ("step", "word")])))
+    counts = scanned.select(F.explode(both).alias("t")).groupBy("t.null", "t.class", "t.step").count().collect()
+    limits = {null: [STEPS + 1] * (len(LENGTH_CLASSES) + 1) for null in ("step", "word")}
+    for null, c in {(r["null"], r["class"]) for r in counts}:
+        steps = sorted(((r["step"], r["count"]) for r in counts if (r["null"], r["class"]) == (null, c)), reverse=True)
+        total, seen = sum(n for _, n in steps), 0
         for step, n in steps:
             seen += n
             if 10 ** (-step * STEP) <= alpha * seen / total:
-                limits[c] = step
+                limits[null][c] = step
     return limits
 
 
@@ -134,11 +169,8 @@ def secrets(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     Candidates of the battery that lie in a base span aren't repeated. Null and empty texts have no spans; repeated rows have equal ones."""
     scanned = written(scan(docs), "scanned")
     limits = rejection_steps(scanned, alpha)
-    limit = F.lit(STEPS + 1)
-    is_key = lambda t: t["step"] < 0
-    if limits:
-        limit = F.array(*[F.lit(limits.get(c, STEPS + 1)) for c in range(len(LENGTH_CLASSES) + 1)])
-        is_key = lambda t: t["step"] < F.get(limit, t["class"])
+    limit = lambda null, t: F.get(F.array(*[F.lit(x) for x in limits[null]]), t["class"])
+    is_key = lambda t: (t["step"] < limit("step", t)) & (t["word"] >= limit("word", t))
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     more = F.transform(F.filter("tested", lambda t: is_key(t) & apart(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(len(PATTERNS)).alias("rank"), t["end"].alias("end"), F.lit("random").alias("kind")))
     return scanned.withColumn("spans", F.sort_array(F.concat("base", more))).drop("tested")

@@ -50,6 +50,7 @@ def test_differing_branches_locate_the_edit():
 def test_quality(spark, odd, none):
     got = quality_rules.judge_quality(odd.withColumn("n_words", F.lit("mine"))).toPandas()
     assert len(got) == odd.count() and quality_rules.judge_quality(none).count() == 0
+    assert (got[~got.kept].rejected_by.notna()).all() and (got[got.base_failed].rejected_by == "base").all() and got[got.kept].rejected_by.isna().all()
     assert not got[got.doc_id.isin([3, 4, 5])].kept.any() and (got[got.doc_id.isin([3, 4, 5])].n_words == 0).all()
 
 
@@ -66,6 +67,18 @@ def test_rule_order_never_changes_the_verdict(spark, odd):
     assert a == b
 
 
+def test_cascade_runs_cheap_rejecting_rules_first(spark):
+    """A table whose first rows are junk: the sample comes from all of it, and the rule that rejects for least time goes first."""
+    junk = [(i, "x") for i in range(3000)]
+    plain = [(i, " ".join(f"word{i}x{j}" for j in range(60)) + (" #$%" * 20 if i % 2 else "")) for i in range(3000, 6000)]
+    docs = spark.createDataFrame(junk + plain, "doc_id long, text string").coalesce(1)
+    sample = quality_rules.hashed_sample(docs)
+    assert sample.count() == quality_rules.SAMPLE_ROWS and 700 < sample.where("doc_id >= 3000").count() < 1350
+    order = quality_rules.cascade_order(quality_rules.word_counts(sample).where(f"NOT ({quality_rules.BASE_FAILS})"))
+    assert order[0].name == "symbols" and len(order) == len(quality_rules.RULES)
+    assert quality_rules.hashed_sample(docs.withColumn("doc_id", quality_rules.F.lit(1))).count() == quality_rules.SAMPLE_ROWS
+
+
 def test_near_duplicates(spark, odd, none):
     got = near_dedup.near_components(odd, 2).toPandas()
     assert len(got) == odd.count() and near_dedup.near_components(none).count() == 0
@@ -195,6 +208,63 @@ def test_secrets(spark, odd, none):
     assert secret_scan.secrets(none).count() == 0 and secret_scan.secrets(odd).count() == odd.count()
 
 
+def _names(rng: random.Random, n: int) -> list[str]:
+    """Identifiers of 20 characters or more with a digit: camelCase, PascalCase, kebab-case, snake_case, paths and plain compounds."""
+    words = "get user profile account by id set value of the next page render index build server cache key store load file name request response handler session token parse query filter table row column count".split()
+    out = []
+    while len(out) < n:
+        w = [rng.choice(words) for _ in range(rng.randrange(3, 7))]
+        w[rng.randrange(len(w))] += str(rng.randrange(1, 2030))
+        style = rng.randrange(6)
+        name = [w[0] + "".join(x.title() for x in w[1:]), "".join(x.title() for x in w), "-".join(w), "_".join(w), "/" + "/".join(w), "".join(w)][style]
+        if len(name) >= 20:
+            out.append(name)
+    return out
+
+
+def test_keys_and_names_apart(spark):
+    """Recall on planted keys of six encodings, and the share of names among what is flagged."""
+    rng = random.Random(23)
+    alphabets = [a for name, _, a in secret_scan.ENCODINGS if name not in ("hex", "HEX")]
+    keys = [k for k in ("".join(rng.choice(rng_alphabet) for _ in range(rng.randrange(24, 60))) for rng_alphabet in alphabets for _ in range(60)) if any(c.isdigit() for c in k) and any(c.isalpha() for c in k)]
+    names = _names(rng, 700)
+    rows = [(i, f"see {t} there") for i, t in enumerate([*keys, *names])]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = lambda i, t: any(s["start"] == 4 and s["end"] == 4 + len(t) for s in got[i])
+    caught = [k for i, k in enumerate(keys) if whole(i, k)]
+    alarms = [t for i, t in enumerate(names, len(keys)) if any(s["kind"] == "random" for s in got[i])]
+    assert len(caught) >= 0.85 * len(keys), len(caught) / len(keys)
+    assert len(alarms) <= 0.05 * (len(caught) + len(alarms)), alarms[:9]
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(29)
+    runs = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 70))) for _, _, a in secret_scan.ENCODINGS for _ in range(6)] + _names(rng, 30)
+    tail = lambda z: 1 / (1 + np.exp(min(1.5976 * z + 0.070566 * z**3, 600.0)))
+
+    def want(s: str) -> tuple[float, float] | None:
+        alphabet = next((a for _, _, a in secret_scan.ENCODINGS if set(s) <= set(a)), None)
+        if alphabet is None or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+            return None
+        n, k, v = len(s), len(alphabet), np.array([alphabet.index(c) for c in s], float)
+        chi = (sum(s.count(c) ** 2 for c in set(s)) * k / n - n - (k - 1)) / np.sqrt(2 * (k - 1))
+        d = v - v.mean()
+        runs_z = abs(((v[1:] < k / 2) != (v[:-1] < k / 2)).sum() - (n - 1) / 2) / np.sqrt((n - 1) / 4)
+        serial = abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * np.sqrt(n) if (d * d).sum() else 99.0
+        kind = lambda c: "a" if c in secret_scan._LOW else "A" if c in secret_scan._UP else "0" if c.isdigit() else "-"
+        share = dict(zip(secret_scan._LOW, np.array(secret_scan.LETTER_SHARE) / sum(secret_scan.LETTER_SHARE), strict=True))
+        log_null = np.log(0.25) + sum(np.log(0.7 if kind(a) == kind(b) else 0.1) for a, b in itertools.pairwise(s)) + sum(np.log(share.get(c.lower(), 0.1 if c.isdigit() else 0.25)) for c in s)
+        return min(1.0, 3 * min(tail(chi), 2 * tail(runs_z), 2 * tail(serial))), min(1.0, 8 * np.exp(-min(-n * np.log(k) - log_null, 600.0)))
+
+    got = spark.createDataFrame([(w,) for w in runs], "w string").select("w", secret_scan.battery(F.col("w")).alias("p"), secret_scan.word_likeness(F.col("w")).alias("q")).collect()
+    for r in got:
+        expected = want(r["w"])
+        if expected is None:
+            assert r["p"] is None
+        else:
+            assert np.allclose((r["p"], r["q"]), expected, rtol=1e-6, atol=1e-12), r["w"]
+
+
 def test_words_are_no_keys(spark):
     words = ["internationalization2024", "the-quick-brown-fox-jumps-over-1-dog", "aaaaaaaaaaaaaaaaaaaaaaaa1", "012345678901234567890123456789abcdefgh", "/en/blog/2024/some-long-title-here"]
     p = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(secret_scan.battery(F.col("w"))).collect()]
