@@ -21,7 +21,10 @@ from tessera.llm.components import components
 #: Links need so many hundredths of the union in common.
 PERCENT = 80
 #: Independent trees, each with one branch at its root. A pair of similarity 0.8 misses all their first nodes with probability 0.2 ** 20.
-TREES, BRANCHES, MAX_DEPTH = 20, 2, 6
+TREES, MAX_DEPTH = 20, 6
+#: Below the root one node in so many branches twice and the others once: 1 / 0.8 branches on average, at which the nodes that a pair of similarity
+#: 0.8 shares neither die out quickly nor multiply with depth. Such a pair is in no common node of depth 6 in any tree with probability 2e-5.
+TWICE_IN = 4
 #: Minwise tokens that branching draws from; bits of a sketch; sets in a small node.
 TOKENS, BITS, NODE_CAP = 64, 128, 256
 #: Bits in common from which two sets join a family (similarity 0.8 gives 115 on average, with deviation 3.4), and from which a set is settled
@@ -105,7 +108,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _branch(from_root: bool):
-    """Rows (node, cid, b0, b1) of the nodes that each set goes to: from the root one token per tree, else BRANCHES tokens drawn by the node's hash."""
+    """Rows (node, cid, b0, b1) of the nodes that each set goes to: from the root one token per tree, else one or two tokens drawn by the node's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,18 +116,20 @@ def _branch(from_root: bool):
             if not n:
                 continue
             tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), "u4").reshape(n, TOKENS).astype("u8")
-            nodes = []
+            nodes, every = [], np.arange(n)
             if from_root:
                 for position in range(TREES):
-                    nodes.append(_mixed(tokens[:, position] + (np.uint64(position + 1) << np.uint64(40))))
+                    nodes.append((every, _mixed(tokens[:, position] + (np.uint64(position + 1) << np.uint64(40)))))
             else:
-                parent = batch["node"].to_numpy().view("u8")
-                for k in range(BRANCHES):
+                parents = batch["node"].to_numpy().view("u8")
+                twice = np.flatnonzero(_mixed(parents + np.uint64(3)) % np.uint64(TWICE_IN) == 0)
+                for k, rows in enumerate((every, twice)):
+                    parent = parents[rows]
                     position = (_mixed(parent + np.uint64(k + 1)) % np.uint64(TOKENS)).astype("i8")
-                    nodes.append(_mixed(parent ^ _mixed(tokens[np.arange(n), position] + (position.astype("u8") + np.uint64(1) << np.uint64(40)))))
+                    nodes.append((rows, _mixed(parent ^ _mixed(tokens[rows, position] + (position.astype("u8") + np.uint64(1) << np.uint64(40))))))
             cid, b0, b1 = (batch[c].to_numpy() for c in ("cid", "b0", "b1"))
-            for node in nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(node.view("i8")), pa.array(cid), pa.array(b0), pa.array(b1)], ["node", "cid", "b0", "b1"])
+            for rows, node in nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(node.view("i8")), pa.array(cid[rows]), pa.array(b0[rows]), pa.array(b1[rows])], ["node", "cid", "b0", "b1"])
 
     return run
 
