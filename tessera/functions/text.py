@@ -45,16 +45,6 @@ def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(found, lambda t: ~t.isin(list(stop_words)))
 
 
-def ngrams(of: Column, most: int = 3) -> Column:
-    """All n-grams of 1 to `most` neighbours, joined by a blank."""
-
-    def of_size(a: Column, n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), " "))
-        return a if n == 1 else F.when(F.size(a) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-    return let(of, lambda a: F.concat(*[of_size(a, n) for n in range(1, most + 1)]))
-
-
 def overlap_share(a: Column, b: Column) -> Column:
     """Share of set a's members in set b; 0 if a is empty."""
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))

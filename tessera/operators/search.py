@@ -6,19 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding as E
+from tessera.functions import terms
 from tessera.functions import text as T
 from tessera.sources.scratch import written
 
 #: Queries whose vectors are put into one matrix that every task holds: a bound on what is collected and broadcast. Beyond it text queries are
 #: joined, and given vectors go in blocks of so many.
 QUERY_BLOCK = 2048
-#: Terms that a query's keyword pool keeps, n-gram length, least documents, largest share of documents.
-MAX_TERMS, NGRAM, MIN_DF, MAX_DF = 10_000, 3, 2, 0.8
 
 
 def ranked(hits: DataFrame, by: str = "score", tie: str = "chunk_id", to: str = "rank") -> DataFrame:
@@ -153,69 +152,31 @@ def vector_search_ivf(queries: DataFrame, rows: DataFrame, centres: np.ndarray,
 
 
 def pool_chunks(pool: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The chunks that some pool holds, written: keyword search and what follows read them more than once."""
-    return written(chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi"), "pool")
+    """The chunks that some pool holds."""
+    return chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-def gram_hashes(of: Column) -> Column:
-    """64-bit hashes of the n-grams of 1 to NGRAM neighbours, without building their texts."""
-
-    def of_size(a: Column, n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.xxhash64(*[F.get(a, i + j) for j in range(n)]))
-        return F.when(F.size(a) >= n, grams).otherwise(F.array().cast("array<bigint>"))
-
-    return T.let(of, lambda a: F.concat(*[of_size(a, n) for n in range(1, NGRAM + 1)]))
-
-
-def _counted(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, tf): how often each n-gram is in a text. Rows are dealt by key first, so texts move and not their n-grams."""
-    return rows.repartition(key).select(key, F.explode(gram_hashes(T.tokens(F.col(text)))).alias("h")).groupBy("h", key).agg(F.count("*").alias("tf"))
+def _held(pool: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, tokens) by pool. A chunk is split into tokens once, however many pools it is in, and what moves to a pool's task are the
+    tokens of its chunks: as many rows as the pool's search has as its limit."""
+    return pool.select("query_id", "chunk_id").join(chunks.select("chunk_id", T.tokens(F.col("content")).alias("tokens")), "chunk_id", "left")
 
 
 def vocabulary(pool: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, h, df, n, total, held) of the terms that each pool keeps: MIN_DF <= df <= MAX_DF * n, of more than MAX_TERMS the most frequent, ties by
-    the term's text. h is the term's hash, held the (chunk_id, tf) of the pool's chunks that have it: a pool's size at most.
-
-    A chunk's n-grams are counted once, however many pools it is in, and move once for the pools: document frequency, total and what the weights
-    need come from one grouping. Texts of terms are only looked up where a pool's last places are tied."""
-    counts = _counted(chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "content")
-    sizes = pool.groupBy("query_id").agg(F.count("*").alias("n"))
-    by_term = pool.select("query_id", "chunk_id").join(counts, "chunk_id").groupBy("h", "query_id").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.collect_list(F.struct("chunk_id", "tf")).alias("held"))
-    kept = written(by_term.where(F.col("df") >= MIN_DF).join(sizes, "query_id").where(F.col("df") <= MAX_DF * F.col("n")), "terms")
-    over = kept.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") > MAX_TERMS)
-    if over.isEmpty():
-        return kept
-    # The total of each such pool's last place: terms above it stay, those at it are ranked by text.
-    totals = kept.join(over, "query_id", "left_semi").groupBy("query_id", "total").agg(F.count("*").alias("c"))
-    upto = totals.withColumn("s", F.sum("c").over(W.partitionBy("query_id").orderBy(F.desc("total"))))
-    last = upto.where(F.col("s") >= MAX_TERMS).groupBy("query_id").agg(F.max(F.struct("total", (F.lit(MAX_TERMS) - F.col("s") + F.col("c")).alias("places"))).alias("last")).select("query_id", "last.*").withColumnsRenamed({"total": "least"})
-    marked = kept.join(last, "query_id", "left")
-    tied = marked.where("total = least").select("query_id", "h", "places")
-    texts = terms_of(tied.select("h").distinct(), pool, chunks)
-    chosen = tied.join(texts, "h").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("term"))).where("r <= places").select("query_id", "h")
-    above = marked.where("least IS NULL OR total > least").select(*kept.columns)
-    return above.unionByName(kept.join(chosen, ["query_id", "h"], "left_semi"))
-
-
-def terms_of(hashes: DataFrame, pool: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(h, term): the texts of these n-grams, from the pool's chunks."""
-    near = chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select(T.tokens(F.col("content")).alias("t"))
-    named = near.select(F.explode(F.arrays_zip(gram_hashes(F.col("t")).alias("h"), T.ngrams(F.col("t"), NGRAM).alias("term"))).alias("g")).select("g.h", "g.term")
-    return named.join(hashes, "h", "left_semi").groupBy("h").agg(F.min("term").alias("term"))
+    """(query_id, term, df, n, total) of the terms that each pool keeps: MIN_DF <= df <= MAX_DF * n, of more than MAX_TERMS the most frequent, ties by
+    the term's text."""
+    return _held(pool, chunks).groupBy("query_id").applyInArrow(terms.pool_terms, "query_id long, term string, df long, n long, total long")
 
 
 def keyword_search(queries: DataFrame, pool: DataFrame, chunks: DataFrame, k: int, least: float = 0.1) -> DataFrame:
     """(query_id, chunk_id, score, rank) by TF-IDF cosine inside each query's pool; only scores over `least` count.
 
+    A pool (query_id, chunk_id) is a search's limit of rows, terms.MAX_POOL at most, and is weighed in one task; chunks holds those of all pools.
     Pools without a term that stays have no hits. A pool holds what its query may find, so a filter on documents belongs to the search that makes it."""
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    asked = _counted(queries, "query_id", "query").withColumnRenamed("tf", "q_tf")
-    terms = vocabulary(pool, chunks).join(asked, ["query_id", "h"], "left").select("query_id", idf.alias("idf"), (F.col("q_tf") * idf).alias("qw"), "held")
-    qn = terms.where("qw IS NOT NULL").groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    w = F.col("c.tf") * F.col("idf")
-    both = terms.select("query_id", "idf", "qw", F.explode("held").alias("c")).groupBy("query_id", "c.chunk_id").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.sum(F.col("qw") * w).alias("dot"))
-    scored = both.where("dot IS NOT NULL").join(qn, "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    return top(scored.where(F.col("score") > least), k)
+    asked = queries.where("query_id IS NOT NULL").select("query_id", T.tokens(F.col("query")).alias("tokens"))
+    pairs = _held(pool, chunks).groupBy("query_id").cogroup(asked.groupBy("query_id"))
+    found = pairs.applyInArrow(terms.pool_scores, f"query_id long, chunk_id {dict(pool.dtypes)['chunk_id']}, score double")
+    return top(found.withColumn("score", F.round("score", 6)).where(F.col("score") > least), k)
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -265,7 +226,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, weight: float =
     each = recall or 2 * k
     wide = written(vector_search(queries, chunks, 3 * each, allowed=allowed), "hits")
     pool = wide.where(F.col("score") >= 0.05)
-    near = pool_chunks(pool, chunks)
+    near = written(pool_chunks(pool, chunks), "pool")
     fused = fuse(wide.where((F.col("rank") <= each) & (F.col("score") >= 0.1)), keyword_search(queries, pool, near, each), weight)
     hits = with_chunks(fused if recall is None else top(fused, recall).drop("rank"), near, queries)
     scored = rerank(hits) if reranked else hits.withColumn("overlap_score", F.lit(0.0)).withColumn("rerank_score", F.col("score"))

@@ -375,9 +375,7 @@ def build_context_plain(spark, d):
 @query(f"WITH {_KT} SELECT query_id, g AS term, df, n, total FROM idf")
 def tfidf_document_frequency(spark, d):
     pool = written(search.vector_search(R.queries(spark, d), chunks := _corpus(spark, d), 30, 0.05), "hits")
-    chunks = search.pool_chunks(pool, chunks)
-    kept = search.vocabulary(pool, chunks)
-    return kept.join(search.terms_of(kept.select("h").distinct(), pool, chunks), "h").select("query_id", "term", "df", "n", "total")
+    return search.vocabulary(pool, search.pool_chunks(pool, chunks))
 
 
 # Ranking

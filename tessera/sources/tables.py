@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import catalog, chunking
+from tessera.sources.layout import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
-    pages = read(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
+    pages = spread(read(spark, d, "documents")).select("doc_id", F.lit(1).alias("page_number"), "text")
     return chunking.scan_page_text(pages).withColumn("element_no", F.lit(0))
 
 
@@ -43,7 +44,7 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 def web_pages(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return read(spark, d, "pages").select("page_id", "url", title.alias("title"), T.html_text(F.col("html")).alias("content"))
+    return spread(read(spark, d, "pages")).select("page_id", "url", title.alias("title"), T.html_text(F.col("html")).alias("content"))
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,18 @@
+import math
+from collections import Counter
+
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import embedding
+from tessera.functions import embedding, terms
 from tessera.functions import text as T
 from tessera.operators import answers, catalog, chunking, search
 from tessera.plans import registry
 from tessera.plans.registry import R, hybrid_retrieve
+from tessera.sources.layout import spread
 
 DATA = "/root/testdata/sf0.001"
 
@@ -102,14 +109,48 @@ def test_an_empty_document_list_means_all(spark):
     assert catalog.of_documents(chunks, none).count() == 2 and [r["chunk_id"] for r in catalog.of_documents(chunks, one).collect()] == ["b"]
 
 
-def test_large_vocabularies_keep_the_most_frequent_terms(spark, monkeypatch):
+def _pool(tokens, query=()):
+    rows = lambda lists: pa.table({"tokens": pa.array(lists, pa.list_(pa.string()))})
+    return terms.Pool(rows(tokens), rows([list(query)]))
+
+
+def test_large_vocabularies_keep_the_most_frequent_terms(monkeypatch):
     """More terms than MAX_TERMS: by total, then by text."""
-    monkeypatch.setattr(search, "MAX_TERMS", 3)
-    pool = spark.createDataFrame([(1, c) for c in "abc"], "query_id long, chunk_id string")
-    chunks = spark.createDataFrame([("a", "red red plum kiwi fig"), ("b", "red fig plum kiwi"), ("c", "lime")], "chunk_id string, content string")
-    kept = search.vocabulary(pool, chunks)
-    got = kept.join(search.terms_of(kept.select("h"), pool, chunks), "h").select("term", "total").collect()
-    assert sorted(map(tuple, got)) == [("fig", 2), ("kiwi", 2), ("red", 3)]
+    monkeypatch.setattr(terms, "MAX_TERMS", 3)
+    pool = _pool([["red", "red", "plum", "kiwi", "fig"], ["red", "fig", "plum", "kiwi"], ["lime"]])
+    kept = [t for t in range(len(pool.df)) if pool.kept[t]]
+    assert sorted(zip(pool.texts(kept), pool.total[kept].tolist(), strict=True)) == [("fig", 2), ("kiwi", 2), ("red", 3)]
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=9) | st.none(), min_size=1, max_size=6), st.lists(st.sampled_from(["a", "b", "e"]), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_pool_scores_equal_counting_by_hand(tokens, query):
+    """Null and empty token lists have no n-grams; repeated n-grams count; none crosses from one text to the next."""
+    grams = lambda t: Counter(" ".join(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    counts, n = [grams(t or []) for t in tokens], len(tokens)
+    df = Counter(g for c in counts for g in c)
+    idf = {g: math.log((1 + n) / (1 + d)) + 1 for g, d in df.items() if 2 <= d <= 0.8 * n}
+    asked = {g: tf * idf[g] for g, tf in grams(query).items() if g in idf}
+    wanted = {}
+    for i, c in enumerate(counts):
+        weights = {g: tf * idf[g] for g, tf in c.items() if g in idf}
+        if dot := sum(weights.get(g, 0) * w for g, w in asked.items()):
+            wanted[i] = dot / math.sqrt(sum(w * w for w in weights.values())) / math.sqrt(sum(w * w for w in asked.values()))
+    assert dict(zip(*(x.tolist() for x in _pool(tokens, query).scores()), strict=True)) == pytest.approx(wanted)
+
+
+def test_a_pool_that_no_search_bounds_is_an_error(monkeypatch):
+    monkeypatch.setattr(terms, "MAX_POOL", 2)
+    with pytest.raises(ValueError, match="pool of 3"):
+        _pool([["a"], ["b"], ["c"]])
+
+
+def test_small_tables_are_dealt_over_the_cores(spark):
+    """A file of one row group is several tasks; tables under a task's worth stay as they are."""
+    big, small = (R.read(spark, "/root/testdata/sf0.1", n) for n in ("documents", "benchmark"))
+    assert spread(big).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(small) is small
+    pruned = spread(big).where("doc_id < 9").select("doc_id")
+    assert pruned.count() == 9 and "ReadSchema: struct<doc_id:bigint>" in pruned._jdf.queryExecution().explainString(pruned.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
 def test_cells_without_limit_give_the_exact_result(spark):
@@ -149,7 +190,7 @@ def test_large_files_are_rejected_only_with_a_limit(spark):
 def test_plan_of_hybrid_retrieval(spark):
     plan = hybrid_retrieve(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
-    assert "MapInArrow" not in plan and "Generate" in plan and plan.count("Scan parquet") < 16  # vector search, pool and terms are read from their tables
+    assert "MapInArrow" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1 and plan.count("Scan parquet") < 12  # vector search and pool are read from their tables
 
 
 def test_result_does_not_depend_on_partitions(spark):
