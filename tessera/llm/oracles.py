@@ -50,4 +50,33 @@ k AS (SELECT r, l.doc_id, i, line, coalesce(l.doc_id <> holder, false) AS gone F
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY r
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_warc": OP5, "op8_url_filters": OP8, "op9_line_dedup": OP9}
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, list_dot_product(a.v::DOUBLE[], r.v::DOUBLE[])::BIGINT AS score FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM p WHERE label = own) WHERE k <= 5),
+neg AS (SELECT pos.anchor_id, pos.vec_id AS positive_id, pos.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+               row_number() OVER (PARTITION BY pos.anchor_id, pos.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+        FROM pos JOIN p n ON n.anchor_id = pos.anchor_id AND n.label <> n.own AND 100 * n.score BETWEEN 30 * pos.score AND 90 * pos.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
+#: CRC-32 of a short ASCII text by its rule: each byte is met by XOR, then eight shifts by one bit with the fixed polynomial.
+_CRC32 = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+OP13 = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, n, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id::VARCHAR")} % 6 AS h FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1)),
+k AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS head FROM c LEFT JOIN (SELECT conv_id AS base, n FROM c) b USING (base)),
+r AS (SELECT k.conv_id, i, role, text FROM k JOIN t ON t.conv_id = base AND i < h UNION ALL SELECT k.conv_id, i - h + head, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND i >= h),
+x AS (SELECT conv_id, i + 1 AS depth, len(text) AS n_chars, sha256(string_agg(sha256(len(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY i)) AS node FROM r UNION ALL SELECT conv_id, 0, 0, 'root' FROM k),
+e AS (SELECT conv_id, arg_max(node, depth) AS node FROM x GROUP BY 1),
+n AS (SELECT node, any_value(depth) AS depth, any_value(n_chars) AS n_chars, min(conv_id) AS conv_id, count(*) AS n_convs FROM x GROUP BY 1),
+u AS (SELECT n.node, p.node AS parent FROM n JOIN x p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+w AS (SELECT n.*, u.parent, m.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN u USING (node) LEFT JOIN n m ON m.node = u.parent LEFT JOIN (SELECT parent AS node, count(*) AS n_children FROM u GROUP BY 1) ch ON ch.node = n.node),
+s AS (SELECT a.node, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.n_chars) AS saved_tokens FROM w JOIN x a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY 1),
+d AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM e GROUP BY 1)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256 FROM w JOIN s USING (node) LEFT JOIN d USING (node)
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op5_warc": OP5, "op8_url_filters": OP8, "op9_line_dedup": OP9, "op12_hard_negatives": OP12, "op13_prefix_trie": OP13}

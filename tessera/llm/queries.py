@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, merkle, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, url_filter, warc
+from tessera.llm import hard_negatives, line_dedup, merkle, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, token_counts, url_filter, warc
 from tessera.llm.common import new_path, table, written
 
 #: The rules of op8: action, host, path.
@@ -94,4 +94,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, sentencepiece_lattice.digest_batches(path), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_rules, op3_minhash_near_dedup, op4_quality_classifier, op5_warc, op6_best_fit_packing, op7_secret_scans, op8_url_filters, op9_line_dedup, op10_sentencepiece)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hard_negatives.quantized(F.col("embedding")).alias("vector"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+_ALL = (
+    op1_document_fingerprints, op2_quality_rules, op3_minhash_near_dedup, op4_quality_classifier, op5_warc, op6_best_fit_packing, op7_secret_scans, op8_url_filters, op9_line_dedup, op10_sentencepiece,
+    op11_token_counts, op12_hard_negatives, op13_prefix_trie,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -114,3 +114,12 @@ def test_sentencepiece(spark, texts):
         ids = model.encode(t)
         assert (got.loc[i].n_ids, got.loc[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         assert got.loc[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_token_counts(spark, texts):
+    got = QUERIES["op11_token_counts"](spark, DATA).toPandas().set_index("doc_id")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert got.n_tokens.to_dict() == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    assert got.n_bytes.to_dict() == {i: len(t.encode()) for i, t in texts.items()}
+    assert (got.over_limit == (got.n_tokens > 1024)).all() and got.over_limit.any()
+    assert 0 < got.n_direct.sum() < got.n_tokens.sum()
