@@ -305,10 +305,13 @@ def keep_one_each(docs: DataFrame, shingle_words: int = 5, percent: int = PERCEN
     """The rows of docs that are the smallest id of their component, with their columns as they are.
 
     Rows that repeat a kept id stay with it; of an id with several texts only those go that are like a smaller id's. Rows without an id stay. With
-    whole (doc_id, text) the texts there are compared in place of those in docs, where it has the id: what earlier stages cut doesn't hide a copy."""
+    whole (doc_id, text) a row is compared on the text there, if its id is there exactly once: what earlier stages cut doesn't hide a copy. An id that
+    whole repeats doesn't say which text is whose, so its rows are compared on their own texts. Each row has one text and one verdict."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__version"))
     if whole is not None:
-        known = whole.select(F.col("doc_id").alias("__id"), F.col("text").alias("__whole"), F.lit(True).alias("__known"))
+        repeated = whole.groupBy("doc_id").count().where("count > 1").select("doc_id")
+        once = whole.select("doc_id", "text").join(repeated, "doc_id", "left_anti")
+        known = once.select(F.col("doc_id").alias("__id"), F.col("text").alias("__whole"), F.lit(True).alias("__known"))
         rows = rows.join(known, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.when(F.col("__known"), F.col("__whole")).otherwise(F.col("text")).alias("text"), "__version")
     gone = near_components(rows, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("version").alias("__gone_version")).distinct()
     return docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__gone_version")), "left_anti")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import line_dedup
+from tessera.llm import line_dedup, near_dedup
 
 DATA = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,6 +46,25 @@ def test_near_copies_are_caught_after_their_lines_are_cut(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept) == [0, 4]
 
 
+def test_repeated_ids_lose_no_distinct_text(spark, tmp_path):
+    """(1, A), (2, B), (2, A) with B unlike A: what goes is the copy of A alone, in whatever stage, and no row is multiplied."""
+    rng = random.Random(5)
+    a, b, c = ("\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(20)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, c), (4, c), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], KIND)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for whole in (None, docs):
+        got = near_dedup.keep_one_each(docs, whole=whole).collect()
+        assert sorted(((r["doc_id"] or 0, r["text"]) for r in got)) == sorted([(1, a), (2, b), (3, c), (3, c), (0, b)])
+    cut = STAGES["line dedup"](spark, docs, str(tmp_path))
+    assert cut.count() == len(rows)
+    left = STAGES["near-dedup"](spark, cut, str(tmp_path))
+    whole_texts = {(r["doc_id"] or 0, r["text"]) for r in left.collect()}
+    assert {(1, a), (2, b), (3, c)} <= whole_texts
+    assert STAGES["secret scan"](spark, left, str(tmp_path)).count() == left.count()
+    assert STAGES["packing"](spark, left, str(tmp_path)).select("doc_id").distinct().count() == 4
+
+
 def test_whole_pipeline_against_its_stages_by_hand(spark):
     """Rows, order of decisions and texts: what packing gets is what plain Python makes of what the classifier kept."""
     source = corpus_pipeline.table(spark, DATA, "documents")
