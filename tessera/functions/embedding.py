@@ -88,6 +88,24 @@ def _hits(part: pa.RecordBatch, scores: np.ndarray, keep: np.ndarray, query_ids:
     return pa.RecordBatch.from_arrays([pa.array(np.array(query_ids, "i8")[q]), part[id_col].take(pa.array(c)), pa.array(scores[q, c])], ["query_id", id_col, "score"])
 
 
+def permitted(ids: list, limited: set | None = None) -> Callable:
+    """Function from a batch to the boolean matrix of the queries that may find each of its rows: those that the row's for_queries names or that have no
+    limit, without those that its not_for names. A batch may lack either column."""
+    free = np.array([i not in (limited or ()) for i in ids])
+    place = {i: n for n, i in enumerate(ids)}
+
+    def matrix(batch, vectors: np.ndarray | None = None) -> np.ndarray:
+        out = np.repeat(free[:, None], batch.num_rows, axis=1)
+        for column, may in (("for_queries", True), ("not_for", False)):
+            if column in batch.schema.names:
+                for row, named in enumerate(batch[column].to_pylist()):
+                    if named:
+                        out[[place[i] for i in named if i in place], row] = may
+        return out
+
+    return matrix
+
+
 def top_of_batches(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.ndarray, query_ids: list, id_col: str, k: int | None, allow: Callable | None = None):
     """mapInArrow function: each batch's scores with all queries as one matrix product, of which each query's k best and their ties come out.
 
@@ -107,19 +125,27 @@ def top_of_batches(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.n
     return run
 
 
-def top_of_cells(vector: Callable[[pa.RecordBatch], np.ndarray], queries: np.ndarray, query_ids: list, id_col: str, k: int, centres: np.ndarray, lookers: list[np.ndarray]):
-    """mapInArrow function: rows meet only the queries that look into the cell of their nearest centre; lookers has these per cell."""
-    norms = np.sqrt((queries * queries).sum(axis=1))
+def pair_cosines(id_col: str):
+    """mapInArrow function: rows (query_id, id_col, embedding, vector) to (query_id, id_col, score), rounded to 6 places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
-            m = vector(part)
-            cell = np.argmax(m @ centres.T, axis=1)
-            scores = np.full((len(queries), len(m)), -np.inf)
-            for c in np.unique(cell).tolist():
-                inside = np.flatnonzero(cell == c)
-                if len(lookers[c]):
-                    scores[np.ix_(lookers[c], inside)] = _cosines(queries[lookers[c]], norms[lookers[c]], m[inside])
-            yield _hits(part, scores, _best(scores, k), query_ids, id_col)
+        for batch in batches:
+            q, m = (np.array(batch[c].to_pylist(), "f8").reshape(batch.num_rows, -1) for c in ("embedding", "vector"))
+            length = np.sqrt((q * q).sum(axis=1)) * np.sqrt((m * m).sum(axis=1))
+            score = np.round(np.divide((q * m).sum(axis=1), length, out=np.zeros(len(q)), where=length > 0), 6)
+            yield pa.RecordBatch.from_arrays([batch["query_id"], batch[id_col], pa.array(score)], ["query_id", id_col, "score"])
+
+    return run
+
+
+def count_vectors(text_col: str, *keep: str):
+    """mapInArrow function: the columns `keep` and the signed counts of a text as `vector`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [count_vector(t).astype("i4") for t in batch[text_col].to_pylist()]
+            flat = pa.array(np.concatenate(counts)) if counts else pa.array([], pa.int32())
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIM), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], vectors], [*keep, "vector"])
 
     return run

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tessera.functions import embedding as E
 from tessera.functions import terms
 from tessera.functions import text as T
+from tessera.operators.grid import grid_search
 from tessera.sources.scratch import written
 
-#: Queries whose vectors are put into one matrix that every task holds: a bound on what is collected and broadcast. Beyond it text queries are
-#: joined, and given vectors go in blocks of so many.
+#: Queries whose vectors are put into one matrix that every task holds: a bound on what is collected and broadcast. More go through the grid.
 QUERY_BLOCK = 2048
 
 
@@ -37,118 +37,63 @@ def _given_vectors(column: str) -> Callable[[pa.RecordBatch], np.ndarray]:
     return lambda batch: np.array(batch[column].to_pylist(), "f8")
 
 
-def _search(rows: DataFrame, id_col: str, vector, blocks: list[tuple[list, np.ndarray]], k: int | None, allow=None) -> DataFrame:
-    kind = dict(rows.dtypes)[id_col]
-    found = None
-    for ids, matrix in blocks:
-        part = rows.mapInArrow(E.top_of_batches(vector, matrix, ids, id_col, k, allow), f"query_id long, {id_col} {kind}, score double")
-        found = part if found is None else found.unionAll(part)
-    return found if found is not None else rows.sparkSession.createDataFrame([], f"query_id long, {id_col} {kind}, score double")
+def _search(rows: DataFrame, id_col: str, vector, ids: list, matrix: np.ndarray, k: int | None, allow=None) -> DataFrame:
+    kind = f"query_id long, {id_col} {dict(rows.dtypes)[id_col]}, score double"
+    return rows.mapInArrow(E.top_of_batches(vector, matrix, ids, id_col, k, allow), kind) if ids else rows.sparkSession.createDataFrame([], kind)
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, least: float | None = None, keep: str = "chunk_id", allowed: DataFrame | None = None, most_queries: int = QUERY_BLOCK) -> DataFrame:
+def _text_grid(asked: DataFrame, chunks: DataFrame, k: int, keep: str, allowed: DataFrame | None, denied: DataFrame | None) -> DataFrame:
+    """Text queries of any number: both sides become vectors once and meet in a grid of blocks."""
+    columns = [keep] if allowed is None else list(dict.fromkeys([keep, "doc_id"]))
+    kinds = ", ".join(f"{c} {dict(chunks.dtypes)[c]}" for c in columns)
+    queries = asked.select("query_id", "query").mapInArrow(E.count_vectors("query", "query_id"), f"query_id {dict(asked.dtypes)['query_id']}, vector array<int>")
+    rows = chunks.select(*columns, "content").mapInArrow(E.count_vectors("content", *columns), f"{kinds}, vector array<int>")
+    return grid_search(queries, rows, keep, k, allowed, denied)
+
+
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, least: float | None = None, keep: str = "chunk_id", allowed: DataFrame | None = None, most_queries: int = QUERY_BLOCK, denied: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k chunks of the default embedder's largest cosine per query; the limit comes first, then the least score.
 
-    allowed (query_id, doc_id) holds the documents that a query may find, before the limit; queries that it doesn't name may find all. Scores are
-    rounded to 6 places before ranking; ties go by id. Counts are whole numbers, so a score doesn't depend on the order of summing. Up to
-    most_queries queries are one matrix that meets each batch of chunks; more are joined on common buckets. Only chunks with a score over 0 are hits."""
+    allowed (query_id, doc_id) holds the documents that a query may find, before the limit; queries that it doesn't name may find all. denied (query_id,
+    chunk_id) holds chunks that a query may not find, before the limit too. Scores are rounded to 6 places before ranking; ties go by id. Counts are
+    whole numbers, so a score doesn't depend on the order of summing. Up to most_queries queries are one matrix that meets each batch of chunks; more are
+    dealt to a grid. Only chunks with a score over 0 are hits."""
     least_score = F.col("score") > 0 if least is None else (F.col("score") > 0) & (F.col("score") >= least)
     asked = queries.select("query_id", "query").where("query_id IS NOT NULL")
     got = asked.limit(most_queries + 1).collect()
     if len(got) > most_queries:
-        return vector_search_join(asked, chunks, k, keep, allowed).where(least_score)
-    rows, allow = chunks.select(keep, "content"), None
+        return top(_text_grid(asked, chunks, k, keep, allowed, denied), k, tie=keep).where(least_score)
+    rows, limited = chunks.select(keep, "content"), set()
     if allowed is not None:
         # Each document's row names the queries that have it in their list: as many as the matrix has at most.
         named = allowed.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
         limited = {r[0] for r in named.select("query_id").distinct().collect()}
         rows = chunks.select(keep, "content", "doc_id").join(named.groupBy("doc_id").agg(F.collect_set("query_id").alias("for_queries")), "doc_id", "left").select(keep, "content", "for_queries")
-        allow = _allow([r[0] for r in got], limited)
-    blocks = [([r[0] for r in got], np.array([E.count_vector(r[1]) for r in got]))] if got else []
-    return top(_search(rows, keep, _text_vectors("content"), blocks, k, allow), k, tie=keep).where(least_score)
-
-
-def _allow(ids: list, limited: set):
-    """Function from a batch to the boolean matrix of the queries that may find each of its rows."""
-    free = np.array([i not in limited for i in ids])
-    place = {i: n for n, i in enumerate(ids)}
-
-    def matrix(batch: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
-        out = np.repeat(free[:, None], batch.num_rows, axis=1)
-        for row, named in enumerate(batch["for_queries"].to_pylist()):
-            if named:
-                out[[place[i] for i in named], row] = True
-        return out
-
-    return matrix
+    if denied is not None:
+        named = denied.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
+        rows = rows.join(named.groupBy(keep).agg(F.collect_set("query_id").alias("not_for")), keep, "left")
+    allow = None if allowed is None and denied is None else E.permitted([r[0] for r in got], limited)
+    matrix = np.array([E.count_vector(r[1]) for r in got])
+    return top(_search(rows, keep, _text_vectors("content"), [r[0] for r in got], matrix, k, allow), k, tie=keep).where(least_score)
 
 
-def _vector_blocks(queries: DataFrame) -> list[tuple[list, np.ndarray]]:
-    """Ids and vectors of the queries (query_id, embedding), QUERY_BLOCK at a time. Queries are a stated set; each block is one more pass over the rows."""
-    rows = queries.select("query_id", "embedding").where("query_id IS NOT NULL")
-    n = max(1, -(-rows.count() // QUERY_BLOCK))
-    blocks = []
-    for i in range(n):
-        got = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).collect()
-        blocks.append(([r[0] for r in got], np.array([r[1] for r in got], "f8")))
-    return [b for b in blocks if b[0]]
+def _given(queries: DataFrame, rows: DataFrame, id_col: str, k: int | None, most_queries: int) -> DataFrame:
+    asked = queries.select("query_id", "embedding").where("query_id IS NOT NULL")
+    got = asked.limit(most_queries + 1).collect()
+    if len(got) > most_queries:
+        return grid_search(asked.withColumnRenamed("embedding", "vector"), rows.select(id_col, F.col("embedding").alias("vector")), id_col, k)
+    return _search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), [r[0] for r in got], np.array([r[1] for r in got], "f8"), k)
 
 
-def vector_search_given(queries: DataFrame, rows: DataFrame, id_col: str, k: int, least: float | None = None) -> DataFrame:
+def vector_search_given(queries: DataFrame, rows: DataFrame, id_col: str, k: int, least: float | None = None, most_queries: int = QUERY_BLOCK) -> DataFrame:
     """The same for vectors that are there already: queries (query_id, embedding), rows (id_col, embedding)."""
-    hits = top(_search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), _vector_blocks(queries), k), k, tie=id_col)
+    hits = top(_given(queries, rows, id_col, k, most_queries), k, tie=id_col)
     return hits if least is None else hits.where(F.col("score") >= least)
 
 
-def vector_pairs(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+def vector_pairs(queries: DataFrame, rows: DataFrame, id_col: str, most_queries: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id_col, score) of every query with every row, by the same products: the rows that come out are as many as the pairs."""
-    return _search(rows.select(id_col, "embedding"), id_col, _given_vectors("embedding"), _vector_blocks(queries), None)
-
-
-def _only_allowed(hits: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Hits (query_id, doc_id, ...) that allowed (query_id, doc_id) lets through; queries that it doesn't name have no filter."""
-    free = hits.join(allowed.select("query_id").distinct(), "query_id", "left_anti")
-    return hits.join(allowed, ["query_id", "doc_id"], "left_semi").unionByName(free)
-
-
-def vector_search_join(queries: DataFrame, chunks: DataFrame, k: int, keep: str = "chunk_id", allowed: DataFrame | None = None) -> DataFrame:
-    """vector_search() as SQL joins on the hashed bucket, for query sets of any size: a dot product is a sum over common buckets."""
-
-    def sparse(df: DataFrame, key: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-        cells = df.select(key, F.explode(E.sparse_weights(F.col(text_col))).alias("w")).groupBy(key, "w.bucket").agg(F.sum("w.sign").alias("v")).where("v <> 0")
-        return cells, cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
-
-    q, qn = sparse(queries, "query_id", "query")
-    c, cn = sparse(chunks, keep, "content")
-    dots = q.withColumnRenamed("v", "qv").join(c, "bucket").groupBy("query_id", keep).agg(F.sum(F.col("qv") * F.col("v")).alias("dot"))
-    if allowed is not None:
-        dots = _only_allowed(dots.join(chunks.select(keep, "doc_id"), keep), allowed).drop("doc_id")
-    scored = dots.join(qn.withColumnRenamed("norm", "qn"), "query_id").join(cn, keep).select("query_id", keep, F.round(F.col("dot") / (F.col("qn") * F.col("norm")), 6).alias("score"))
-    return top(scored, k, tie=keep)
-
-
-def ivf_cells(rows: DataFrame, cells: int = 128, fit_rows: int = 20_000, seed: int = 7):
-    """A k-means model with cosine distance over a bounded sample of unit vectors, as (centre matrix)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return np.array(KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10).fit(sample).clusterCenters())
-
-
-def vector_search_ivf(queries: DataFrame, rows: DataFrame, centres: np.ndarray, probes: int = 16, k: int = 10) -> DataFrame:
-    """Approximate search: a row is in its nearest cell, a query looks into its `probes` nearest ones; exact cosine inside. All cells give the exact result.
-
-    Each batch of rows is dealt to cells by one product with the centres, and each cell meets the queries that look into it, so a query costs the
-    rows of its cells alone, and no vector is shuffled or joined."""
-    unit = centres / np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-12)
-    found = None
-    for ids, matrix in _vector_blocks(queries):
-        near = np.argsort(-(matrix @ unit.T), axis=1, kind="stable")[:, :probes]
-        lookers = [np.flatnonzero((near == c).any(axis=1)) for c in range(len(unit))]
-        part = rows.select("vec_id", "embedding").mapInArrow(E.top_of_cells(_given_vectors("embedding"), matrix, ids, "vec_id", k, unit, lookers), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionAll(part)
-    return top(found if found is not None else rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double"), k, tie="vec_id")
+    return _given(queries, rows, id_col, None, most_queries)
 
 
 def pool_chunks(pool: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -179,21 +124,6 @@ def keyword_search(queries: DataFrame, pool: DataFrame, chunks: DataFrame, k: in
     return top(found.withColumn("score", F.round("score", 6)).where(F.col("score") > least), k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by BM25. Postings are cut to the queries' terms by a semi join before they are counted by chunk."""
-    q = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    wanted = q.select("term").distinct()
-    listed = chunks.select("chunk_id", T.tokens(F.col("content")).alias("tokens"))
-    sizes = listed.select("chunk_id", F.size("tokens").alias("len"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    postings = listed.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    found = q.join(postings.join(df, "term"), "term").crossJoin(F.broadcast(whole))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return top(found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), k)
-
-
 def fuse(vector: DataFrame, keyword: DataFrame, weight: float = 0.7) -> DataFrame:
     """Full outer join of both lists: (query_id, chunk_id, score, vector_score, keyword_score). A score that only one list has counts with its own weight.
     vector_score is the vector's own score, not the fused one."""
@@ -217,14 +147,17 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None =
     return out if queries is None else out.join(queries.select("query_id", "query"), "query_id")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, weight: float = 0.7, reranked: bool = True, allowed: DataFrame | None = None, recall: int | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, weight: float = 0.7, reranked: bool = True, allowed: DataFrame | None = None, recall: int | None = None, denied: DataFrame | None = None) -> DataFrame:
     """Hybrid retrieval: vector top 2k from 0.1, keyword top 2k inside the vector top 6k from 0.05, fusion, reranking, top k.
 
-    allowed (query_id, doc_id) holds the documents that a query may find; queries that it doesn't name may find all. With recall, both lists and
+    allowed (query_id, doc_id) holds the documents that a query may find; queries that it doesn't name may find all. denied (query_id, chunk_id) are
+    chunks that a query may not find. Both hold before every limit, as the keyword pool is the vector search's. With recall, both lists and
     what is reranked have so many rows in place of 2k. One vector search gives both the list and the keyword pool; it and the pool's chunks
     are written once, so no later step searches or cuts the corpus again."""
     each = recall or 2 * k
-    wide = written(vector_search(queries, chunks, 3 * each, allowed=allowed), "hits")
+    if 3 * each > terms.MAX_POOL:
+        raise ValueError(f"a keyword pool of {3 * each} chunks; {terms.MAX_POOL} is the most that one task weighs")
+    wide = written(vector_search(queries, chunks, 3 * each, allowed=allowed, denied=denied), "hits")
     pool = wide.where(F.col("score") >= 0.05)
     near = written(pool_chunks(pool, chunks), "pool")
     fused = fuse(wide.where((F.col("rank") <= each) & (F.col("score") >= 0.1)), keyword_search(queries, pool, near, each), weight)

@@ -87,12 +87,6 @@ def test_sources_are_shortened_only_over_200(spark):
     assert [(len(r["content"]), r["document_name"]) for r in got] == [(200, "Unknown"), (203, "f.pdf")]
 
 
-def test_join_form_of_vector_search_equals_matrix_form(spark):
-    queries, chunks = R.queries(spark, DATA), R.chunks(spark, DATA)
-    left, right = (sorted(map(tuple, f(queries, chunks, 5).select("query_id", "rank", "chunk_id", "score").collect())) for f in (search.vector_search, search.vector_search_join))
-    assert left == right
-
-
 def test_filtered_searches_rank_among_allowed_documents_only(spark):
     queries, chunks = R.queries(spark, DATA), R.chunks(spark, DATA)
     allowed = registry._allowed(spark, DATA)
@@ -153,22 +147,6 @@ def test_small_tables_are_dealt_over_the_cores(spark):
     assert pruned.count() == 9 and "ReadSchema: struct<doc_id:bigint>" in pruned._jdf.queryExecution().explainString(pruned.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-def test_cells_without_limit_give_the_exact_result(spark):
-    rows = R.read(spark, DATA, "embeddings")
-    queries = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-    centres = search.ivf_cells(rows, 8)
-    exact = search.vector_search_given(queries, rows, "vec_id", 10)
-    pick = lambda df: sorted(map(tuple, df.select("query_id", "rank", "vec_id", "score").collect()))
-    assert pick(search.vector_search_ivf(queries, rows, centres, 8)) == pick(exact)
-
-
-def test_recall_of_the_registered_index(spark):
-    folder = "/root/testdata/sf0.1"
-    exact = search.vector_search_given(registry._vector_queries(spark, folder), R.read(spark, folder, "embeddings"), "vec_id", 10)
-    near = registry.vector_search_ivf(spark, folder)
-    assert exact.count() == 200 and near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * 200
-
-
 def test_small_pools_have_no_keyword_hits(spark):
     queries = spark.createDataFrame([(1, "red apple")], "query_id long, query string")
     chunks = spark.createDataFrame([("a", "red apple"), ("b", "red apple")], "chunk_id string, content string")
