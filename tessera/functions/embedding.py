@@ -46,19 +46,61 @@ def sparse_weights(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.struct((digit(w, 1, 8) % DIM).alias("bucket"), (1 - 2 * (digit(w, 9, 2) % 2)).alias("sign")))
 
 
-def embed(df: DataFrame, text_col: str, to: str = "embedding", embedder: Callable[[pd.Series], list] | None = None) -> DataFrame:
-    """df with a vector of each text. The default is count_vector() over its length (zeros for no words). An embedder maps a batch of texts to vectors;
-    it's called per Arrow batch, and may keep what it loads in its worker."""
-
-    def default(texts: pd.Series) -> pd.Series:
-        found = []
-        for t in texts:
-            v = count_vector(t)
-            norm = np.sqrt((v * v).sum())
-            found.append(v / norm if norm else v)
-        return pd.Series(found)
-
-    run = default if embedder is None else (lambda texts: pd.Series(list(embedder(texts))))
+#: What loaders gave, by their name: a worker loads a model once, however many tasks it runs.
+_LOADED: dict[str, Callable] = {}
+
+
+def _loaded(name: str, loader: Callable) -> Callable:
+    # A function of the module: workers import it, so all their tasks see one dictionary. A nested one would bring its own copy.
+    if name not in _LOADED:
+        _LOADED[name] = loader()
+    return _LOADED[name]
+
+
+def _by_length(texts: list, batch_chars: int) -> Iterator[list[int]]:
+    """Places of the texts by length, cut where the summed length would pass batch_chars; a longer text is alone. Texts of one length pad little."""
+    held, total = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if held and total + len(texts[i]) > batch_chars:
+            yield held
+            held, total = [], 0
+        held.append(i)
+        total += len(texts[i])
+    if held:
+        yield held
+
+
+def _count_vectors(texts: pd.Series) -> pd.Series:
+    """count_vector() over its length for a whole batch: one count over rows and buckets."""
+    words = [(t or "").lower().split() for t in texts]
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    places = np.fromiter((_PLACES[w] for part in words for w in part), "i8", len(row))
+    counts = np.bincount(row * DIM + (places >> 1), weights=1 - 2 * (places & 1), minlength=len(words) * DIM).reshape(-1, DIM)
+    norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return pd.Series(list(np.divide(counts, norm, out=np.zeros(counts.shape), where=norm > 0)))
+
+
+def embed(df: DataFrame, text_col: str, to: str = "embedding", loader: Callable[[], Callable[[list[str]], list]] | None = None, batch_chars: int = 200_000) -> DataFrame:
+    """df with a vector of each text, in the order of its rows. The default is count_vector() over its length (zeros for no words).
+
+    A loader gives a function from a list of texts to their vectors. It's called once in a worker, before the first batch; its function gets texts of
+    about one length at a time, batch_chars characters at most or one longer text. Null texts have no vector. Workers find a loader by its module and
+    name, so two loaders need two names."""
+    if loader is None:
+        return df.withColumn(to, F.pandas_udf(_count_vectors, "array<double>")(text_col))
+    name = f"{loader.__module__}.{loader.__qualname__}"
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _loaded(name, loader)
+        for texts in batches:
+            known = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [None] * len(texts)
+            for places in _by_length([texts.iloc[i] for i in known], batch_chars):
+                for place, vector in zip(places, model([texts.iloc[known[p]] for p in places]), strict=True):
+                    out[known[place]] = np.asarray(vector, "f8")
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(to, F.pandas_udf(run, "array<double>")(text_col))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -145,13 +146,53 @@ def serper_hits(responses: DataFrame) -> DataFrame:
 
 
 def web_corpus_search(queries: DataFrame, pages: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, rank, title, url, content, score) from a page table (url, title, content): the pages with the largest share of the query's distinct tokens.
+    """(query_id, rank, title, url, content, score) from a page table (page_id, url, title, content): the pages with the largest share of the query's
+    distinct tokens, ties by url, then page_id. Pages that share a url are pages of their own.
 
     The join is on tokens; a page's text is joined to the few rows that are left."""
-    from tessera.operators.search import top
-
     q = queries.select("query_id", F.array_distinct(T.tokens(F.col("query"))).alias("t"))
     terms = q.select("query_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    words = pages.select("url", F.explode(F.array_distinct(T.tokens(F.col("content")))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    scored = terms.join(words, "term").groupBy("query_id", "url", "n").agg(F.count("*").alias("c")).select("query_id", "url", F.round(F.col("c") / F.col("n"), 6).alias("score"))
-    return top(scored, most, tie="url").join(pages.dropDuplicates(["url"]), "url").select("query_id", "rank", "title", "url", "content", "score")
+    words = pages.select("page_id", "url", F.explode(F.array_distinct(T.tokens(F.col("content")))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    scored = terms.join(words, "term").groupBy("query_id", "page_id", "url", "n").agg(F.count("*").alias("c")).select("query_id", "page_id", "url", F.round(F.col("c") / F.col("n"), 6).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "url", "page_id"))).where(F.col("rank") <= most)
+    return ranked.drop("url").join(pages.select("page_id", "title", "url", "content"), "page_id").select("query_id", "rank", "title", "url", "content", "score")
+
+
+def term_key(query: Column) -> Column:
+    """A hash of the query's set of tokens: questions of the same words in any order have one key."""
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(T.tokens(query))), " "), 256)
+
+
+def denied_by_feedback(queries: DataFrame, votes: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks that were voted down for a query's words: votes has (term_key, chunk_id, vote), a vote under 0 is a no.
+
+    The sum of a pair's votes counts, so a chunk comes back when as many find it good."""
+    against = votes.groupBy("term_key", "chunk_id").agg(F.sum("vote").alias("vote")).where("vote < 0")
+    return queries.select("query_id", term_key(F.col("query")).alias("term_key")).join(against, "term_key").select("query_id", "chunk_id")
+
+
+def _run(words: Column, at: Column, size: Column) -> Column:
+    return F.xxhash64(F.array_join(F.slice(words, at, size), " "))
+
+
+def _runs(text_col: str, size: int) -> Column:
+    """Hashes of all runs of so many words."""
+    return T.let(F.split(text_col, "[ \n]"), lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: _run(w, i, F.lit(size)))))
+
+
+def quotes(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of each document (doc_id, text) that holds a query's text, wherever it starts or ends.
+
+    All words of a query but its first and last stand whole in such a document. Up to six of them in a row, hashed, are met by those of the documents and
+    the text is looked for where they meet. Queries of one or two words have no such run: they are looked for in all documents, as a set that is stated."""
+    inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
+    q = queries.select("query_id", "query", F.split("query", "[ \n]").alias("w")).where("query <> ''").withColumn("w", inner)
+    sizes = F.when(F.size("w") >= 6, 6).when(F.size("w") >= 3, 3).when(F.size("w") >= 1, 1).otherwise(0)
+    q = q.withColumn("size", sizes).withColumn("h", F.when(F.col("size") > 0, _run(F.col("w"), F.lit(1), F.col("size")))).drop("w")
+    wanted = sorted(r[0] for r in q.select("size").distinct().collect() if r[0])  # 1, 3, 6
+    out = q.where("size = 0").join(docs.select("doc_id", "text"), F.contains("text", "query")).select("query_id", "doc_id")
+    for size in wanted:
+        some = q.where(F.col("size") == size).select("query_id", "query", "h")
+        at = docs.select("doc_id", F.explode(F.array_distinct(_runs("text", size))).alias("h")).join(some, "h").select("doc_id", "query_id", "query")
+        out = out.unionByName(at.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "query")).select("query_id", "doc_id"))
+    return out.distinct()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +15,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.sources.scratch import scratch, written
 
-#: Folders that terms are dealt over; numbers of chunks to a block, as a power of 2; blocks of a query that are scored first.
-BUCKETS, BLOCK_BITS, SEEDS = 32, 10, 4
+#: Folders that terms are dealt over; chunks to a block; blocks of a query that are scored first.
+BUCKETS, BLOCK_CHUNKS, SEEDS = 32, 1024, 4
 
 
 @dataclass
@@ -28,21 +32,42 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def build_bm25(chunks: DataFrame, path: str | None = None, k1: float = 1.2, b: float = 0.75, buckets: int = BUCKETS) -> Bm25:
+def _blocks(rows: int, mean: float, k1: float, b: float):
+    """mapInArrow function: of each so many chunks that a task reads in turn, a row per term with the chunks that have it and their weights.
+
+    The block is named by its first chunk's number. Terms are counted within their chunks here, so no token is a row that moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows)):
+            lists = part["tokens"]
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            coded = pc.list_flatten(lists).dictionary_encode()
+            n = part.num_rows
+            pairs, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype("i8") * n + np.repeat(np.arange(n), lengths), return_counts=True)
+            term, row = np.divmod(pairs, n)
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / mean))
+            starts = np.flatnonzero(np.diff(term, prepend=-1))
+            most = np.maximum.reduceat(weight, starts) if len(starts) else weight
+            ends = np.append(starts, len(term)).astype("i4")
+            entries = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([part["chunk"].take(pa.array(row)), pa.array(weight)], ["chunk", "weight"]))
+            block = pa.array(np.full(len(starts), part["chunk"][0].as_py()), pa.int64())
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[starts])), block, pa.array(most), pa.array(np.diff(ends).astype("i8")), entries], ["term", "block", "most", "size", "entries"])
+
+    return run
+
+
+def build_bm25(chunks: DataFrame, path: str | None = None, k1: float = 1.2, b: float = 0.75, buckets: int = BUCKETS, block_chunks: int = BLOCK_CHUNKS) -> Bm25:
     """Writes the index of chunks (chunk_id, content), whose texts are cut into tokens once.
 
-    A chunk is a number; a row of the postings is a term's chunks among 2 ** BLOCK_BITS neighbouring numbers with their weights, so no term's list is one
-    row or one task, however many chunks have it. Terms lie in folders by their hash."""
+    A chunk is a number; a row of the postings is a term's chunks among block_chunks neighbouring ones with their weights, so no term's list is one row
+    or one task, however many chunks have it. Terms lie in folders by their hash."""
     path = path or scratch(chunks.sparkSession, "bm25")
     listed = written(chunks.select("chunk_id", T.tokens(F.col("content")).alias("tokens")).withColumn("chunk", F.monotonically_increasing_id()), "tokens")
     n, mean = listed.agg(F.count("*"), F.avg(F.coalesce(F.size("tokens"), F.lit(0)))).first()
     listed.select("chunk", "chunk_id").write.mode("overwrite").parquet(f"{path}/chunks")
-    counts = listed.select("chunk", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("chunk", "len", "term").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
-    entry = F.struct("chunk", weight.alias("weight"))
-    blocks = counts.groupBy("term", F.shiftright("chunk", BLOCK_BITS).alias("block")).agg(F.max(weight).alias("most"), F.count("*").alias("size"), F.collect_list(entry).alias("entries"))
-    blocks = blocks.select("*", _bucket(F.col("term"), buckets))
-    blocks.repartition("bucket", F.pmod("block", F.lit(4))).sortWithinPartitions("term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    kind = "term string, block long, most double, size long, entries array<struct<chunk: long, weight: double>>"
+    blocks = listed.select("chunk", "tokens").mapInArrow(_blocks(block_chunks, mean or 1.0, k1, b), kind).select("*", _bucket(F.col("term"), buckets))
+    blocks.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     return Bm25(path, buckets, n)
 
 

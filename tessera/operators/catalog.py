@@ -52,9 +52,18 @@ def outcomes(attempts: DataFrame) -> DataFrame:
     return attempts.select("doc_id", F.when(failed, "failed").otherwise("completed").alias("processing_status"), F.when(~failed, utc_now()).alias("processed_at"), F.when(failed, F.to_json(F.struct("error"))).alias("metadata"))
 
 
-def collection_stats(chunks: DataFrame, dim: int, metric: str = "COSINE") -> DataFrame:
-    """Per collection, and over all of them (collection null): documents, chunks, dimension, metric."""
-    return chunks.rollup("collection").agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_chunks")).select("collection", "n_documents", "n_chunks", F.lit(dim).alias("dimension"), F.lit(metric).alias("metric"))
+def collection_stats(chunks: DataFrame, metric: str = "COSINE") -> DataFrame:
+    """Per collection, and over all of them (collection null): documents, chunks, largest dimension of the vectors (embedding), metric."""
+    found = chunks.rollup("collection").agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_chunks"), F.max(F.size("embedding")).alias("dimension"))
+    return found.select("collection", "n_documents", "n_chunks", "dimension", F.lit(metric).alias("metric"))
+
+
+def granted(queries: DataFrame, grants: DataFrame, roles: tuple[str, ...] = ("reader", "owner")) -> DataFrame:
+    """(query_id, dataset): what the users of queries (query_id, user_id) may find by grants (user_id, dataset, role); null for who may find nothing.
+
+    It goes to the search as `allowed`, so rights hold before every limit, and it has a row for each query and dataset, not for each document."""
+    may = grants.where(F.col("role").isin(*roles)).select("user_id", "dataset").distinct()
+    return queries.select("query_id", "user_id").join(may, "user_id", "left").select("query_id", "dataset")
 
 
 def conversation_table(turns: DataFrame) -> DataFrame:

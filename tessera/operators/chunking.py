@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,3 +95,32 @@ def chunk_parent_child(pages: DataFrame, parent: tuple[int, int] = (400, 0), chi
     return parents.select("parent_id", "doc_id", F.posexplode(T.chunk_words(F.col("content"), *child)).alias("i", "child")).select("doc_id", "parent_id", F.concat_ws("_", "parent_id", "i").alias("child_id"), "child")
 
 
+def guarded(rows: DataFrame, key: str, column: str, function, to: str = "result") -> DataFrame:
+    """(key, result, error): function of each value of a string column, a string each. A row on which it fails has no result and the error's text; the
+    other rows of its batch go on, and the job doesn't fail."""
+
+    def run(batches):
+        for batch in batches:
+            results, errors = [], []
+            for value in batch[column].to_pylist():
+                try:
+                    results.append(function(value))
+                    errors.append(None)
+                except Exception as e:  # whatever the function raises is the row's outcome
+                    results.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(results, pa.string()), pa.array(errors, pa.string())], [key, to, "error"])
+
+    return rows.select(key, column).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {to} string, error string")
+
+
+def checked_layout(raw: str | None) -> str:
+    """A layout reply as it is, if its elements can be read: an object whose elements are objects with four whole numbers as bbox."""
+    reply = json.loads(raw) if raw is not None else None
+    if not isinstance(reply, dict):
+        raise ValueError("no reply" if reply is None else "the reply is no object")
+    for i, element in enumerate(reply.get("elements", [])):
+        box = element["bbox"]
+        if len(box) != 4 or not all(isinstance(x, int) for x in box):
+            raise ValueError(f"element {i} has no bbox of four whole numbers")
+    return raw

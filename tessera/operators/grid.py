@@ -49,6 +49,11 @@ def _cell(id_col: str, k: int | None, checked: bool):
     return run
 
 
+def limiting(allowed: DataFrame | None) -> str:
+    """The column of allowed that says what a query may find: doc_id, or another one that the rows have."""
+    return next((c for c in allowed.columns if c != "query_id"), "doc_id") if allowed is not None else "doc_id"
+
+
 def grid_search(queries: DataFrame, rows: DataFrame, id_col: str, k: int | None, allowed: DataFrame | None = None, denied: DataFrame | None = None, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """(query_id, id_col, score): each query's k best rows of every shard, with their ties; ranking them gives the k best of all. k=None gives all pairs.
 
@@ -60,10 +65,10 @@ def grid_search(queries: DataFrame, rows: DataFrame, id_col: str, k: int | None,
     if allowed is not None:
         asked = asked.join(allowed.select("query_id", F.lit(True).alias("limited")).distinct(), "query_id", "left").na.fill(False, ["limited"])
     asked, blocks = dealt(asked, block, "block", "asked")
-    kept = rows.select(id_col, "vector", *(["doc_id"] if allowed is not None and id_col != "doc_id" else []))
+    kept = rows.select(id_col, "vector", *([limiting(allowed)] if allowed is not None and id_col != limiting(allowed) else []))
     kept, shards = dealt(kept, shard, "shard", "searched")
     copies = _every(kept, "block", blocks)
-    for pairs, key, to in ((allowed, "doc_id", "for_queries"), (denied, id_col, "not_for")):
+    for pairs, key, to in ((allowed, limiting(allowed), "for_queries"), (denied, id_col, "not_for")):
         if pairs is not None:
             named = pairs.join(asked.select("query_id", "block"), "query_id").groupBy(key, "block").agg(F.collect_set("query_id").alias(to))
             copies = copies.join(named, [key, "block"], "left")

@@ -80,9 +80,9 @@ def build_ivf(rows: DataFrame, id_col: str, cells: int = 128, copies: int = 2, p
     centres = _means(points, cells, 10, rng, True)
     near = np.argsort(-(points @ centres.T), axis=1)[:, : max(1, copies)]
     residuals = np.concatenate([points - centres[near[:, i]] for i in range(near.shape[1])])
-    residuals = residuals[rng.permutation(len(residuals))[: min(len(residuals), 16 * WORDS)]]
+    residuals = residuals[rng.permutation(len(residuals))[: min(len(residuals), 8 * WORDS)]]
     width = points.shape[1] // parts
-    books = np.stack([np.resize(_means(residuals[:, p * width : (p + 1) * width], WORDS, 6, rng, False), (WORDS, width)) for p in range(parts)])
+    books = np.stack([np.resize(_means(residuals[:, p * width : (p + 1) * width], WORDS, 4, rng, False), (WORDS, width)) for p in range(parts)])
     shards = max(1, -(-n * copies // (len(centres) * SHARD)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

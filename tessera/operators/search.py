@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import embedding as E
 from tessera.functions import terms
 from tessera.functions import text as T
-from tessera.operators.grid import grid_search
+from tessera.operators.grid import grid_search, limiting
 from tessera.sources.scratch import written
 
 #: Queries whose vectors are put into one matrix that every task holds: a bound on what is collected and broadcast. More go through the grid.
@@ -44,7 +44,7 @@ def _search(rows: DataFrame, id_col: str, vector, ids: list, matrix: np.ndarray,
 
 def _text_grid(asked: DataFrame, chunks: DataFrame, k: int, keep: str, allowed: DataFrame | None, denied: DataFrame | None) -> DataFrame:
     """Text queries of any number: both sides become vectors once and meet in a grid of blocks."""
-    columns = [keep] if allowed is None else list(dict.fromkeys([keep, "doc_id"]))
+    columns = [keep] if allowed is None else list(dict.fromkeys([keep, limiting(allowed)]))
     kinds = ", ".join(f"{c} {dict(chunks.dtypes)[c]}" for c in columns)
     queries = asked.select("query_id", "query").mapInArrow(E.count_vectors("query", "query_id"), f"query_id {dict(asked.dtypes)['query_id']}, vector array<int>")
     rows = chunks.select(*columns, "content").mapInArrow(E.count_vectors("content", *columns), f"{kinds}, vector array<int>")
@@ -54,7 +54,8 @@ def _text_grid(asked: DataFrame, chunks: DataFrame, k: int, keep: str, allowed:
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, least: float | None = None, keep: str = "chunk_id", allowed: DataFrame | None = None, most_queries: int = QUERY_BLOCK, denied: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k chunks of the default embedder's largest cosine per query; the limit comes first, then the least score.
 
-    allowed (query_id, doc_id) holds the documents that a query may find, before the limit; queries that it doesn't name may find all. denied (query_id,
+    allowed (query_id, doc_id) holds the documents that a query may find, before the limit; queries that it doesn't name may find all, and those that it
+    names with null nothing. In place of doc_id it may have another column of chunks, such as the dataset that a document is in. denied (query_id,
     chunk_id) holds chunks that a query may not find, before the limit too. Scores are rounded to 6 places before ranking; ties go by id. Counts are
     whole numbers, so a score doesn't depend on the order of summing. Up to most_queries queries are one matrix that meets each batch of chunks; more are
     dealt to a grid. Only chunks with a score over 0 are hits."""
@@ -68,7 +69,8 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, least: flo
         # Each document's row names the queries that have it in their list: as many as the matrix has at most.
         named = allowed.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
         limited = {r[0] for r in named.select("query_id").distinct().collect()}
-        rows = chunks.select(keep, "content", "doc_id").join(named.groupBy("doc_id").agg(F.collect_set("query_id").alias("for_queries")), "doc_id", "left").select(keep, "content", "for_queries")
+        by = limiting(allowed)
+        rows = chunks.select(keep, "content", by).join(named.groupBy(by).agg(F.collect_set("query_id").alias("for_queries")), by, "left").select(keep, "content", "for_queries")
     if denied is not None:
         named = denied.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
         rows = rows.join(named.groupBy(keep).agg(F.collect_set("query_id").alias("not_for")), keep, "left")

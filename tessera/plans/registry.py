@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import embedding
 from tessera.functions import text as T
-from tessera.operators import answers, bm25, catalog, chunking, ivf, search
+from tessera.operators import answers, bm25, catalog, chunking, ivf, search, store
 from tessera.plans import pipelines
 from tessera.plans import sql as S
 from tessera.sources import tables as R
@@ -44,9 +44,14 @@ def register_documents(spark, d):
     return R.registry(spark, d)
 
 
-@query(f"WITH {S.PAGES} SELECT doc_id, page_number, content, 'text_extraction' AS method, 0.6 AS confidence FROM page_text")
+_VOLUMES = f"vo AS (SELECT source AS volume, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, doc_id, {S.strip("coalesce(text, '')")} AS content FROM documents)"
+
+
+@query(f"WITH {_VOLUMES} SELECT volume, page_number, doc_id, content, 'text_extraction' AS method, 0.6 AS confidence FROM vo WHERE content <> ''")
 def scan_page_text(spark, d):
-    return R.page_text(spark, d).drop("element_no")
+    """The pages of whole sources; a source of any size is numbered without being one task's."""
+    pages = R.volumes(spark, d)
+    return chunking.scan_page_text(pages.select(F.struct("volume", "doc_id").alias("doc_id"), "page_number", "text")).select("doc_id.volume", "page_number", "doc_id.doc_id", "content", "method", "confidence")
 
 
 @query(f"""WITH {S.PAGES}, {S.chunks()} SELECT regexp_replace(md5(chunk_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS id, chunk_id, doc_id, page_number, chunk_index, content, '{{"chunk_index":"' || chunk_index || '"}}' AS metadata, 0.0 AS score, true AS stamped, 384 AS dim FROM ch""")
@@ -64,16 +69,35 @@ def chunk_scan_by_document(spark, d):
     return catalog.of_documents(R.chunks(spark, d), wanted).select("chunk_id", "doc_id", "chunk_index")
 
 
-@query(f"WITH {S.PAGES}, {S.chunks()} SELECT chunk_id, doc_id, chunk_index FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query(f"WITH {S.PAGES}, {S.chunks()} SELECT chunk_id, doc_id, chunk_index, content FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_document_chunks(spark, d):
-    gone = R.read(spark, d, "labels").where("toxic = 1")
-    return catalog.without(R.chunks(spark, d), gone, "doc_id").select("chunk_id", "doc_id", "chunk_index")
+    """Deletes from the stored table and reads it back."""
+    path = scratch(spark, "store")
+    store.write_store(R.chunks(spark, d), "doc_id", path)
+    store.delete_from_store(spark, path, R.read(spark, d, "labels").where("toxic = 1"), "doc_id")
+    return store.read_store(spark, path).select("chunk_id", "doc_id", "chunk_index", "content")
 
 
-@query("SELECT conv_id AS conversation_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
+@query(f"""WITH {S.PAGES}, {S.chunks()}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1), off AS (SELECT conv_id FROM conversations WHERE role = 'system')
+SELECT 'document' AS kind, doc_id AS id, count(chunk_id) AS n_children FROM documents LEFT JOIN ch USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY 2
+UNION ALL SELECT 'conversation', conv_id, count(*) FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM off) GROUP BY 2""")
 def delete_document_cascade(spark, d):
+    """Documents go with their chunks, conversations with their messages; what both stores hold then, by parent."""
+    paths = {name: scratch(spark, name) for name in ("documents", "chunks", "conversations", "messages")}
     turns = R.turns(spark, d)
-    return catalog.without(turns, turns.where("role = 'system'"), "conversation_id").select("conversation_id", "turn", "role")
+    tables = {"documents": R.read(spark, d, "documents").select("doc_id", "source"), "chunks": R.chunks(spark, d), "conversations": catalog.conversation_table(turns), "messages": turns}
+    keys = {"documents": "doc_id", "chunks": "doc_id", "conversations": "conversation_id", "messages": "conversation_id"}
+    for name, rows in tables.items():
+        store.write_store(rows, keys[name], paths[name])
+    store.delete_cascade(spark, R.read(spark, d, "labels").where("toxic = 1"), "doc_id", paths["documents"], paths["chunks"])
+    store.delete_cascade(spark, turns.where("role = 'system'"), "conversation_id", paths["conversations"], paths["messages"])
+    left = {name: store.read_store(spark, path) for name, path in paths.items()}
+
+    def counted(kind, parents, children, key):
+        n = left[children].groupBy(key).agg(F.count("*").alias("n_children"))
+        return left[parents].select(key).join(n, key, "left").select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"))
+
+    return counted("document", "documents", "chunks", "doc_id").unionByName(counted("conversation", "conversations", "messages", "conversation_id"))
 
 
 def _requests(spark, d):
@@ -85,20 +109,22 @@ def conversation_append(spark, d):
     return catalog.append_conversations(_requests(spark, d))
 
 
-@query(f"""WITH m AS (SELECT item_id, text, min(doc_id) AS doc_id FROM (SELECT b.item_id, b.text, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY 1, 2)
-SELECT item_id AS query_id, 'user' AS role, text AS content, NULL AS metadata FROM m UNION ALL SELECT item_id, 'assistant', text, '{{"sources":["' || doc_id || '"]}}' FROM m""")
+@query("""WITH m AS (SELECT item_id, min(doc_id) AS doc_id FROM (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY 1)
+SELECT item_id AS query_id, 'user' AS role, text AS content, NULL AS metadata FROM benchmark UNION ALL
+SELECT item_id, 'assistant', CASE WHEN doc_id IS NULL THEN '' ELSE text END, CASE WHEN doc_id IS NULL THEN '{"sources":[]}' ELSE '{"sources":["' || doc_id || '"]}' END FROM benchmark LEFT JOIN m USING (item_id)""")
 def message_append(spark, d):
-    return catalog.append_messages(_quoted(spark, d).select("query_id", "query", F.col("query").alias("answer"), F.array(F.col("doc_id").cast("string")).alias("sources")))
+    """Two rows for every request; one whose passage no document holds has an empty answer without sources."""
+    found = R.queries(spark, d).join(_quoted(spark, d).select("query_id", "doc_id"), "query_id", "left")
+    known = F.col("doc_id").isNotNull()
+    sources = F.when(known, F.array(F.col("doc_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    return catalog.append_messages(found.select("query_id", "query", F.when(known, F.col("query")).otherwise("").alias("answer"), sources.alias("sources")))
 
 
 def _quoted(spark, d):
-    """(query_id, query, doc_id) of benchmark passages with the first document that holds them: documents' runs of eight words are met by hash."""
-    start = lambda w: F.xxhash64(F.array_join(F.slice(w, 1, 8), " "))
-    q = R.queries(spark, d).select("query_id", "query", T.let(F.split("query", "[ \n]"), start).alias("h"))
-    runs = T.let(F.split("text", "[ \n]"), lambda w: F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))))
-    docs = R.read(spark, d, "documents")
-    at = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(q, "h").select("doc_id", "query_id", "query")
-    return at.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "query")).groupBy("query_id", "query").agg(F.min("doc_id").alias("doc_id"))
+    """(query_id, query, doc_id) of benchmark passages with the first document that holds them."""
+    q = R.queries(spark, d)
+    first = answers.quotes(q, R.read(spark, d, "documents")).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    return q.join(first, "query_id").select("query_id", "query", "doc_id")
 
 
 def _responses(spark, d, nested: str):
@@ -310,9 +336,14 @@ def unknown_conversations(spark, d):
 _CH = f"WITH {S.PAGES}, {S.chunks()}"
 
 
-@query(_CH + " SELECT doc_id, count(DISTINCT page_number) AS total_pages, count(DISTINCT page_number) AS processed_pages FROM ch GROUP BY 1")
+@query(f"WITH {_VOLUMES} SELECT volume, count(*) AS total_pages, count(*) FILTER (content <> '') AS processed_pages FROM vo GROUP BY 1")
 def document_page_count(spark, d):
-    return catalog.page_counts(R.chunks(spark, d))
+    """Pages of each source, and those that have text, counted on the numbered pages."""
+    pages = R.volumes(spark, d)
+    kept = chunking.scan_page_text(pages.select(F.col("volume").alias("doc_id"), "page_number", "text"))
+    done = kept.groupBy("doc_id").agg(F.count_distinct("page_number").alias("processed_pages"))
+    every = pages.groupBy("volume").agg(F.max("page_number").alias("total_pages"))
+    return every.join(done, F.col("volume").eqNullSafe(F.col("doc_id")), "left").select("volume", "total_pages", F.coalesce("processed_pages", F.lit(0)).cast("long").alias("processed_pages"))
 
 
 @query(_CH + " SELECT doc_id, count(chunk_id) AS n_chunks FROM documents LEFT JOIN ch USING (doc_id) GROUP BY 1")
@@ -334,17 +365,20 @@ def document_list(spark, d):
     return catalog.document_status(R.registry(spark, d), R.chunks(spark, d)).select("doc_id", "filename", "status", "processed_pages", "total_pages", T.format_file_size(F.col("file_size")).alias("size"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'failed' ELSE 'completed' END AS processing_status, n_chars <= 2000 AS has_processed_at, CASE WHEN n_chars > 2000 THEN '{\"error\":\"too long: ' || n_chars || '\"}' END AS metadata FROM documents")
+@query("""WITH p AS (SELECT page_id AS doc_id, len(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS n FROM pages)
+SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'failed' ELSE 'completed' END AS processing_status, doc_id % 6 <> 0 AS has_processed_at,
+CASE WHEN doc_id % 6 = 0 THEN '{"error":"JSONDecodeError: Expecting value: line 1 column 1 (char 0)"}' END AS metadata FROM p WHERE n > 0""")
 def processing_outcome(spark, d):
-    error = F.when(F.col("n_chars") > 2000, F.concat(F.lit("too long: "), F.col("n_chars").cast("string")))
-    made = catalog.outcomes(R.read(spark, d, "documents").select("doc_id", error.alias("error")))
+    """Each stored layout reply is read for itself: what fails says why, and the rows beside it are done."""
+    read = chunking.guarded(_layouts(spark, d).withColumnRenamed("page_id", "doc_id"), "doc_id", "raw", chunking.checked_layout)
+    made = catalog.outcomes(read)
     return made.select("doc_id", "processing_status", F.col("processed_at").isNotNull().alias("has_processed_at"), "metadata")
 
 
 @query(_CH + " SELECT collection, count(DISTINCT doc_id) AS n_documents, count(*) AS n_chunks, 384 AS dimension, 'COSINE' AS metric FROM (SELECT ch.*, source AS collection FROM ch JOIN documents USING (doc_id)) GROUP BY ROLLUP (collection)")
 def collection_stats(spark, d):
     own = R.read(spark, d, "documents").select("doc_id", F.col("source").alias("collection"))
-    return catalog.collection_stats(R.chunks(spark, d).join(own, "doc_id"), embedding.DIM)
+    return catalog.collection_stats(written(embedding.embed(R.chunks(spark, d), "content"), "vectors").join(own, "doc_id"))
 
 
 @query(f"WITH {S.TURNS} SELECT conversation_id, substr(arg_min(content, turn) FILTER (role = 'user'), 1, 50) AS title, min(created_at) AS created_at, max(created_at) AS updated_at, count(*) AS n_messages FROM turns GROUP BY 1")
@@ -626,6 +660,7 @@ def stream_document_status(spark, d):
 
     path = scratch(spark, "stream")
     ingest.upsert_to(ingest.chunk_counts(_stream(spark, d)), f"{path}/rows", f"{path}/checkpoint")
+    ingest.compact(spark, f"{path}/rows", "doc_id")
     return ingest.latest(spark, f"{path}/rows", "doc_id")
 
 
@@ -647,13 +682,14 @@ def embed_text(spark, d):
     return rows.where("weight <> 0").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-def _toy_model(texts):
-    return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+def _toy_model():
+    """Loads a model: a function from texts to vectors."""
+    return lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
 
 
 @query(f"WITH {S.PAGES}, {S.chunks()} SELECT chunk_id, [len(content)::DOUBLE, (len(content) - len(replace(content, ' ', '')))::DOUBLE, 1.0::DOUBLE] AS embedding FROM ch")
 def embedder_plugin(spark, d):
-    return embedding.embed(R.chunks(spark, d), "content", embedder=_toy_model).select("chunk_id", "embedding")
+    return embedding.embed(R.chunks(spark, d), "content", loader=_toy_model).select("chunk_id", "embedding")
 
 
 # Further specified operations
@@ -746,11 +782,13 @@ def hot_terms(spark, d):
     return catalog.hot_terms(R.turns(spark, d))
 
 
-@query(f"WITH {_VT(10)} SELECT query_id, chunk_id, score FROM vt JOIN ch USING (chunk_id) WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = ch.doc_id AND toxic = 1 AND labels.doc_id % 2 = query_id % 2)")
+@query(f"WITH {_VT(12)}, again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM vt WHERE NOT (query_id % 2 = 0 AND rank <= 2)) SELECT query_id, chunk_id, score, r AS rank FROM again WHERE r <= 10")
 def negative_pool(spark, d):
-    voted = R.read(spark, d, "labels").where("toxic = 1").select("doc_id", (F.col("doc_id") % 2).alias("m"))
-    hits = _vector_hits(spark, d).join(R.chunks(spark, d).select("chunk_id", "doc_id"), "chunk_id").withColumn("m", F.col("query_id") % 2)
-    return hits.join(voted, ["doc_id", "m"], "left_anti").select("query_id", "chunk_id", "score")
+    """The first two hits of every second query are voted down; then the queries are asked again and have ten hits without these."""
+    queries, chunks = R.queries(spark, d), _corpus(spark, d)
+    votes = search.vector_search(queries, chunks, 2).where("query_id % 2 = 0").join(queries, "query_id").select(answers.term_key(F.col("query")).alias("term_key"), "chunk_id", F.lit(-1).alias("vote"))
+    denied = written(answers.denied_by_feedback(queries, votes), "denied")
+    return search.vector_search(queries, chunks, 10, denied=denied).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"WITH {_VT(10)}, truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), h AS (SELECT q.query_id, coalesce(max(CASE WHEN t.doc_id IS NOT NULL THEN 1 ELSE 0 END), 0) AS hit FROM q LEFT JOIN vt USING (query_id) LEFT JOIN ch USING (chunk_id) LEFT JOIN (SELECT query_id, min(doc_id) AS doc_id FROM truth GROUP BY 1) t ON t.query_id = q.query_id AND t.doc_id = ch.doc_id GROUP BY 1) SELECT round(avg(hit), 6) AS hit_rate, count(*) AS n_queries FROM h")
@@ -771,11 +809,18 @@ def history_window(spark, d):
     return catalog.history(R.turns(spark, d))
 
 
-@query(f"WITH {S.PAGES}, {S.chunks()} SELECT chunk_id, doc_id, source FROM ch JOIN documents USING (doc_id) WHERE source IN (SELECT source FROM documents WHERE lang = 'es' AND doc_id % 3 = 0)")
+_RIGHTS = "gr AS (SELECT DISTINCT u.user_id, source AS dataset FROM documents, (SELECT unnest([0, 1, 2, 3]) AS user_id) u WHERE (len(source) + u.user_id) % 2 = 0 AND u.user_id < 3), al AS (SELECT item_id AS query_id, documents.doc_id FROM benchmark LEFT JOIN gr ON gr.user_id = item_id % 4 LEFT JOIN documents ON source = dataset)"
+
+
+@query(f"WITH {_VT(10, 'al')} SELECT query_id, chunk_id, score, rank FROM vt".replace("WITH ", f"WITH {_RIGHTS}, "))
 def access_filter(spark, d):
-    docs = R.read(spark, d, "documents")
-    grants = docs.where("lang = 'es' AND doc_id % 3 = 0").select("source").distinct()
-    return catalog.only(R.chunks(spark, d).join(docs.select("doc_id", "source"), "doc_id"), grants, "source").select("chunk_id", "doc_id", "source")
+    """Each query is some user's; users may read the datasets that they have a grant for, user 3 none. Rights hold before the limit."""
+    docs = R.read(spark, d, "documents").select("doc_id", F.col("source").alias("dataset"))
+    users = F.explode(F.array(*map(F.lit, range(4)))).alias("user_id")
+    may = ((F.length("dataset") + F.col("user_id")) % 2 == 0) & (F.col("user_id") < 3)
+    grants = docs.select("dataset").distinct().select("dataset", users).select("user_id", "dataset", F.when(may, "reader").otherwise("none").alias("role"))
+    queries = R.queries(spark, d).withColumn("user_id", (F.col("query_id") % 4).cast("int"))
+    return search.vector_search(queries, R.chunks(spark, d).join(docs, "doc_id"), 10, allowed=catalog.granted(queries, grants)).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"WITH {S.ELEMENTS} SELECT doc_id, page_number, string_agg(content, chr(10) ORDER BY element_no % 3, element_no, content) AS content FROM el GROUP BY 1, 2")

@@ -103,10 +103,10 @@ GRADED = f"""gr AS (SELECT *, n_common / greatest(n_query, 1)::DOUBLE > 0.3 AS i
 FROM (SELECT *, len({word_set('query')}) AS n_query, len(list_intersect({word_set('query')}, {word_set('content')})) AS n_common FROM top))"""
 NEEDED = "need AS (SELECT query_id, coalesce(n_hits, 0) AS n_hits, coalesce(n_relevant, 0) AS n_relevant, coalesce(n_relevant, 0) < 2 AS web_search_needed FROM q LEFT JOIN (SELECT query_id, count(*) AS n_hits, count(*) FILTER (is_relevant) AS n_relevant FROM gr GROUP BY 1) USING (query_id))"
 WEB_HITS = f"""wq AS (SELECT query_id, list_distinct({tokens('query')}) AS t FROM q), wterms AS (SELECT query_id, len(t) AS n, unnest(t) AS term FROM wq),
-wwords AS (SELECT DISTINCT url, unnest({tokens('content')}) AS term FROM web),
-wscore AS (SELECT query_id, url, round(count(*)::DOUBLE / n, 6) AS score FROM wterms JOIN wwords USING (term) GROUP BY query_id, url, n),
-wtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM wscore) WHERE rank <= 5),
-wh AS (SELECT query_id, rank, title, url, content, score FROM wtop JOIN (SELECT url, any_value(title) AS title, any_value(content) AS content FROM web GROUP BY url) USING (url))"""
+wwords AS (SELECT DISTINCT page_id, url, unnest({tokens('content')}) AS term FROM web),
+wscore AS (SELECT query_id, page_id, url, round(count(*)::DOUBLE / n, 6) AS score FROM wterms JOIN wwords USING (term) GROUP BY query_id, page_id, url, n),
+wtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url, page_id) AS rank FROM wscore) WHERE rank <= 5),
+wh AS (SELECT query_id, rank, title, web.url, content, score FROM wtop JOIN web USING (page_id))"""
 UNITED = "un AS (SELECT query_id, chunk_id, content, score, row_number() OVER (PARTITION BY query_id ORDER BY origin, rank, chunk_id) AS position FROM (SELECT query_id, chunk_id, content, rerank_score AS score, 0 AS origin, rank FROM gr WHERE is_relevant UNION ALL SELECT query_id, 'web_' || url, content, score, 1, rank FROM wh WHERE query_id IN (SELECT query_id FROM need WHERE web_search_needed)))"
 CONTEXT = "cx AS (SELECT query_id, coalesce(context, '') AS context FROM q LEFT JOIN (SELECT query_id, string_agg('[Document ' || position || '] ' || content, chr(10) || chr(10) ORDER BY position) AS context FROM un WHERE position <= 5 GROUP BY 1) USING (query_id))"
 

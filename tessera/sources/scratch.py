@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, else under the warehouse."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share: under spark.checkpoint.dir; where that is unset, in local mode alone, under the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import catalog, chunking
+from tessera.operators.ordering import numbered
 from tessera.sources.layout import spread
 
 
@@ -29,6 +30,12 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return chunking.scan_page_text(pages).withColumn("element_no", F.lit(0))
 
 
+def volumes(spark: SparkSession, d: str) -> DataFrame:
+    """(volume, page_number, doc_id, text): the documents of a source are the pages of one volume, numbered from 1 by doc_id."""
+    rows = read(spark, d, "documents").select(F.col("source").alias("volume"), "doc_id", "text")
+    return numbered(rows, "volume", ["doc_id"]).select("volume", (F.col("position") + 1).alias("page_number"), "doc_id", "text")
+
+
 def chunks(spark: SparkSession, d: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     return chunking.chunk_pages(page_text(spark, d), size, overlap)
 

@@ -25,8 +25,7 @@ def by_hand(queries, chunks, k, k1=1.2, b=0.75):
     return sorted(out)
 
 
-def test_search_equals_counting_by_hand_and_skips_blocks(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "BLOCK_BITS", 2)
+def test_search_equals_counting_by_hand_and_skips_blocks(spark):
     r = random.Random(6)
     words = [f"w{i}" for i in range(40)]
     # A third of the chunks share one term; some chunks are equal, some are empty.
@@ -34,7 +33,7 @@ def test_search_equals_counting_by_hand_and_skips_blocks(spark, monkeypatch):
     queries = {i: " ".join(r.choices([*words, "everywhere", "nowhere"], k=4)) for i in range(20)} | {20: "nowhere", 21: "everywhere", 22: "w1 w2 w3"}
     frame = spark.createDataFrame(list(chunks.items()), "chunk_id string, content string").repartition(3)
     asked = spark.createDataFrame([*queries.items(), (None, "w1")], "query_id long, query string")
-    index = bm25.build_bm25(frame)
+    index = bm25.build_bm25(frame, block_chunks=4)
     for seeds in (1, 4, 10_000):
         got = bm25.search_bm25(spark, asked, index, 5, seeds).select("query_id", "rank", "chunk_id", "score").collect()
         assert sorted(map(tuple, got)) == by_hand(queries, chunks, 5)
