@@ -67,6 +67,16 @@ def test_rule_order_never_changes_the_verdict(spark, odd):
     assert a == b
 
 
+def test_one_sample_gives_one_order_and_dear_rules_fall_behind(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sample = quality_rules.word_counts(docs).where(f"NOT ({quality_rules.BASE_FAILS})")
+    orders = [[r.name for r in quality_rules.cascade_order(sample.repartition(n))] for n in (1, 5)]
+    assert orders[0] == orders[1]
+    cheap, dear = quality_rules.Rule("cheap", "2 * length(text) > 0"), quality_rules.Rule("dear", " OR ".join(["2 * length(text) > 0"] * 10))
+    costs = quality_rules.touched(sample, (cheap, dear))
+    assert costs[1] == 10 * costs[0] and [r.name for r in quality_rules.cascade_order(sample, (dear, cheap))] == ["cheap", "dear"]
+
+
 def test_cascade_runs_cheap_rejecting_rules_first(spark):
     """A table whose first rows are junk: the sample comes from all of it, and the rule that rejects for least time goes first."""
     junk = [(i, "x") for i in range(3000)]
@@ -233,7 +243,7 @@ def test_keys_and_names_apart(spark):
     whole = lambda i, t: any(s["start"] == 4 and s["end"] == 4 + len(t) for s in got[i])
     caught = [k for i, k in enumerate(keys) if whole(i, k)]
     alarms = [t for i, t in enumerate(names, len(keys)) if any(s["kind"] == "random" for s in got[i])]
-    assert len(caught) >= 0.85 * len(keys), len(caught) / len(keys)
+    assert len(caught) >= 0.95 * len(keys), len(caught) / len(keys)
     assert len(alarms) <= 0.05 * (len(caught) + len(alarms)), alarms[:9]
 
 
