@@ -101,9 +101,16 @@ class _Counter(dict):
         return len(parts) - 1 + sum(self._plain(part) for part in parts if part)
 
 
+def _counter(path: str, whole) -> _Counter:
+    # A function of the module: workers import it, so all their tasks see one dictionary. A nested one would bring its own copy.
+    if path not in _COUNTERS:
+        _COUNTERS[path] = _Counter(path, whole.value)
+    return _COUNTERS[path]
+
+
 def _count(path: str, whole):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, _Counter(path, whole.value))
+        counter = _counter(path, whole)
         for batch in batches:
             found = [counter.count(text) if text else 0 for text in batch["text"].to_pylist()]
             n_bytes = pc.fill_null(pc.binary_length(batch["text"]), 0).cast(pa.int64())
