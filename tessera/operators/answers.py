@@ -87,6 +87,21 @@ def hallucination(answered: Column, context: Column) -> Column:
     return F.round(T.let(T.word_set(answered), score), 6)
 
 
+def groundedness_of_turns(turns: DataFrame) -> DataFrame:
+    """(conversation_id, turn, hallucination_score) of each assistant turn, against all earlier turns of its conversation.
+
+    A word is supported if the conversation's first turn that has it is earlier. So each turn's words move once, and no turn carries the texts before it:
+    a conversation's work grows with its length, not with the square. Turns without a conversation or a number have nothing before them."""
+    named = turns.select("conversation_id", "turn", "role", F.xxhash64("content").alias("h"), T.word_set(F.col("content")).alias("words"))
+    words = named.select("conversation_id", "turn", "role", "h", F.explode("words").alias("word"))
+    first = words.groupBy("conversation_id", "word").agg(F.min("turn").alias("first"))
+    said = words.where("role = 'assistant'").drop("role").distinct().join(first, ["conversation_id", "word"])
+    supported = said.groupBy("conversation_id", "turn", "h").agg(F.count(F.when(F.col("first") < F.col("turn"), 1)).alias("common"))
+    rows = named.where("role = 'assistant'").join(supported, ["conversation_id", "turn", "h"], "left")
+    share = F.coalesce("common", F.lit(0)) / F.size("words")
+    return rows.select("conversation_id", "turn", F.round(F.when(F.size("words") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - share)), 6).alias("hallucination_score"))
+
+
 def sources(chunks: DataFrame, most: int | None = 3, chars: int = 200) -> DataFrame:
     """(query_id, position, chunk_id, content, score, document_name, page_number): the first chunks, content shortened; most=None: all, whole and without name."""
     if most is None:

@@ -572,7 +572,8 @@ def answer_template(spark, d):
 
 @query(f"WITH {_QC} SELECT query_id, {S.hallucination('answer', 'context')} AS hallucination_score FROM qc")
 def hallucination_heuristic(spark, d):
-    return _asked(spark, d).select("query_id", answers.hallucination(F.col("answer"), F.col("context")).alias("hallucination_score"))
+    scored = answers.groundedness_of_turns(R.turns(spark, d))
+    return scored.select((F.col("conversation_id") * 1000 + F.col("turn")).alias("query_id"), "hallucination_score")
 
 
 def _replies(spark, d):
@@ -800,8 +801,8 @@ def hit_rate_at_k(spark, d):
 
 @query(f"WITH {_QC} SELECT round(avg(CASE WHEN {S.hallucination('answer', 'context')} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS hallucination_rate, count(*) AS n_answers FROM qc")
 def hallucination_rate(spark, d):
-    scored = _asked(spark, d).select(answers.hallucination(F.col("answer"), F.col("context")).alias("score"))
-    return scored.agg(F.round(F.avg((F.col("score") > 0.5).cast("double")), 6).alias("hallucination_rate"), F.count("*").alias("n_answers"))
+    scored = answers.groundedness_of_turns(R.turns(spark, d))
+    return scored.agg(F.round(F.avg((F.col("hallucination_score") > 0.5).cast("double")), 6).alias("hallucination_rate"), F.count("*").alias("n_answers"))
 
 
 @query(f"WITH {S.TURNS} SELECT conversation_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS r FROM turns) WHERE r <= 4 GROUP BY 1")

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pyarrow as pa
@@ -181,3 +182,18 @@ def test_embedder_of_the_caller(spark):
     df = spark.createDataFrame([("ab",), (None,)], "t string")
     got = embedding.embed(df, "t", embedder=lambda texts: [[float(len(t or ""))] for t in texts]).collect()
     assert sorted(r["embedding"][0] for r in got) == [0.0, 2.0]
+
+
+def test_groundedness_of_long_conversations_equals_the_form_with_texts(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choices(["alpha", "Beta", "beta", "gamma", "delta", "x\x1cy", ""], k=r.randint(0, 6)))
+    rows = [(c, t, r.choice(["user", "assistant"]), text()) for c in range(12) for t in range(r.choice([1, 5, 120]))] + [(1, 7, "assistant", "alpha new"), (2, 0, "assistant", None), (None, 1, "assistant", "alone"), (3, None, "assistant", "")]
+    got = answers.groundedness_of_turns(spark.createDataFrame(rows, "conversation_id long, turn long, role string, content string")).collect()
+    words = lambda x: set((x or "").lower().split())
+
+    def score(c, t, content):
+        mine, before = words(content), set().union(*[words(x) for d, u, _, x in rows if d is not None and d == c and u is not None and t is not None and u < t])
+        return round(max(0, 1 - len(mine & before) / len(mine)), 6) if mine else 0.0
+
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(map(key, map(tuple, got))) == sorted(key((c, t, score(c, t, x))) for c, t, role, x in rows if role == "assistant")
