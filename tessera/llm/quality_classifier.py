@@ -96,7 +96,10 @@ class Model:
         return np.clip(np.interp(raw, self.steps_x, self.steps_y), 0, 1)
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, score) of every row's whole text, 0 to 1; null and empty texts get the score of their statistics."""
+        """(doc_id, score) of every row's whole text, 0 to 1; null and empty texts get the score of their statistics, null ids stay.
+
+        Repeated rows are scored alike, each for itself; an empty table gives an empty one; a text of any length is read whole; columns of docs but doc_id
+        and text aren't read, whatever their names."""
         model = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
     """The model of labels (doc_id, quality) on the texts of docs.
 
     At most `rows` labelled documents are used, those with the least hash; a document with several labels counts by their majority, ties as 0; null
-    ids and labels are left out. Three quarters fit the ridge scores, the other quarter the calibration. With no labelled row every score is 0.5.
+    ids and labels are left out. Of documents that repeat an id each row counts, with the id's label; empty tables of docs or labels leave no labelled row;
+    other columns of both tables aren't read. Three quarters fit the ridge scores, the other quarter the calibration. With no labelled row every score is 0.5.
     The driver gets sums of a fixed size and, for the calibration, two numbers a row of that quarter."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.when(F.avg("quality") > 0.5, 1.0).otherwise(0.0).alias("y"))
     chosen = chosen.withColumn("draw", F.xxhash64("doc_id", F.lit(SEED))).orderBy("draw", "doc_id").limit(rows)

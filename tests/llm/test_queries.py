@@ -10,8 +10,10 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm import quality_classifier
 from tessera.llm.oracles import ORACLES
 from tessera.llm.queries import QUERIES
 from tests.compare import check
@@ -123,3 +125,31 @@ def test_token_counts(spark, texts):
     assert got.n_bytes.to_dict() == {i: len(t.encode()) for i, t in texts.items()}
     assert (got.over_limit == (got.n_tokens > 1024)).all() and got.over_limit.any()
     assert 0 < got.n_direct.sum() < got.n_tokens.sum()
+
+
+def test_classifier_equals_plain_numpy_on_one_partition(spark):
+    """Ridge scores by one least-squares problem, calibration by the min-max formula of isotonic regression."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~quality_classifier.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    model = quality_classifier.fit(docs, labels, features=40)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality", F.xxhash64("doc_id", F.lit(quality_classifier.SEED)).alias("draw")).toPandas()
+    stats = np.array([quality_classifier.statistics(t) for t in rows.text])
+    mean, scale = stats.mean(axis=0), stats.std(axis=0)
+    scale[scale <= 1e-9] = 1
+    rng = np.random.default_rng(quality_classifier.SEED)
+    directions = rng.normal(size=(stats.shape[1], 40)) * np.sqrt(1 / stats.shape[1])
+    phases = rng.uniform(0, 2 * np.pi, 40)
+    mapped = lambda s: np.hstack([np.sqrt(2 / 40) * np.cos(np.clip((s - mean) / scale, -8, 8) @ directions + phases), np.ones((len(s), 1))])
+    z, y, held = mapped(stats), rows.quality.to_numpy(float), rows.draw.to_numpy() % 4 == 0
+    penalty = np.sqrt(quality_classifier.RIDGE * 1e-2 * (~held).sum()) * np.eye(41)
+    weights = np.linalg.lstsq(np.vstack([z[~held], penalty]), np.concatenate([y[~held], np.zeros(41)]), rcond=None)[0]
+    raw = z @ weights
+    order = np.lexsort((y[held], raw[held]))
+    x, v = raw[held][order], y[held][order]
+    sums = np.concatenate([[0], np.cumsum(v)])
+    fitted = np.array([max(min((sums[b + 1] - sums[a]) / (b + 1 - a) for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))])
+    blocks = [np.flatnonzero(np.isclose(fitted, level)) for level in np.unique(fitted.round(12))]
+    want = np.clip(np.interp(raw, [x[b].mean() for b in blocks], [fitted[b].mean() for b in blocks]), 0, 1)
+    got = model.score(docs).toPandas().set_index("doc_id").score
+    assert held.sum() > 50 and np.allclose(got.loc[rows.doc_id].to_numpy(), want, atol=1e-5)
