@@ -47,7 +47,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_revisit, field("payload-length").cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(is_revisit, F.substring_index("response.header_digest", ":", -1)).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        F.col("response.refers_to").cast("long").alias("refers_to"),
+        F.expr("try_cast(nullif(" + "regexp_extract(metadata.block, '(?m)^refers-to-page: (-?\\\\d+)', 1)" + ", '') AS bigint)").alias("refers_to"),
     )
 
 

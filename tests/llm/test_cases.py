@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import gzip
 import itertools
 import random
 
@@ -157,14 +158,54 @@ def test_warc_round_trip(spark):
         assert records.count() == 3 * len(rows)
         got = warc.assemble(records).collect()
         assert len(got) == len(rows) and all(r["request"] and r["metadata"] for r in got)
+        first = next(r["response"]["record_id"] for r in got if r["response"]["target_uri"].startswith("http://a"))
         kinds = sorted((r["response"]["record_type"], r["response"]["refers_to"]) for r in got if r["response"]["refers_to"])
-        assert kinds == [("revisit", "1")] * 3
+        assert kinds == [("revisit", first)] * 3 and sum("refers-to-page: 1\r\n" in r["metadata"]["block"] for r in got) == 3
         assert sorted(bytes(r["response"]["payload"]).decode() for r in got) == sorted(["", "", "", "", "small", "small", big])
     empty = new_path(spark, "warc")
     warc.write_warc(captures.limit(0), empty)
     assert warc.assemble(warc.read_warc(spark, empty)).count() == 0
 
 
+def test_every_record_is_a_gzip_member(spark):
+    payload = "".join(chr(0x21 + i * 7919 % 5000) for i in range(9000))
+    rows = [(i, "http://a.example/", payload if i % 3 else f"page {i}") for i in range(40)]
+    path = new_path(spark, "warc")
+    warc.write_warc(warc.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, payload string")), path, records_per_file=7)
+    files = spark.read.format("binaryFile").load(path).collect()
+    seen = []
+    for f in files:
+        data, records = bytes(f["content"]), 0
+        assert gzip.decompress(data).count(b"WARC-Record-ID") <= 7
+        members = list(warc._pieces(data))
+        assert b"".join(members) == gzip.decompress(data)
+        for at, member in enumerate(members):
+            records += member.startswith(b"WARC/1.1\r\n")
+            assert at or records == 1
+        seen += list(warc.parse_records(iter([gzip.decompress(data)])))
+        assert [r["warc-record-id"] for r in warc.parse_records(members)] == [r["warc-record-id"] for r in warc.parse_records([gzip.decompress(data)])]
+        halves = list(warc.parse_records(warc._pieces(data[: len(data) // 2])))
+        assert len(halves) <= records and [r["warc-record-id"] for r in halves] == [r["warc-record-id"] for r in warc.parse_records(members)][: len(halves)]
+    assert len(seen) == 3 * len(rows) and len({r["warc-record-id"] for r in seen}) == len(seen)
+    by_id = {r["warc-record-id"]: r for r in seen}
+    revisits = [r for r in seen if r["warc-type"] == "revisit"]
+    assert len(revisits) == sum(1 for i, _, p in rows if p == payload) - 1
+    for r in revisits:
+        origin = by_id[r["warc-refers-to"]]
+        assert origin["warc-type"] == "response" and origin["warc-payload-digest"] == r["warc-payload-digest"]
+        assert (r["warc-refers-to-target-uri"], r["warc-refers-to-date"]) == (origin["warc-target-uri"], origin["warc-date"])
+
+
+def test_a_long_record_is_several_members(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 12)
+    record = "WARC/1.1\r\nWARC-Record-ID: <a>\r\nContent-Length: 50000\r\n\r\n" + "WARC/" * 10_000
+    [packed] = next(warc._members(iter([pa.RecordBatch.from_pydict({"value": [record]})])))["value"].to_pylist()
+    data = packed + b"\0"
+    assert gzip.decompress(data).decode() == record + "\r\n\r\n" and len(list(warc._pieces(data))) == 13
+    [got] = warc.parse_records(warc._pieces(data))
+    assert got["block"] == b"WARC/" * 10_000
+
+
 def test_warc_links_either_way_and_by_two_steps(spark):
     rows = [("r1", "response", None), ("q1", "request", "r1"), ("m1", "metadata", "q1"), ("r2", "response", "q2"), ("q2", "request", None), ("x", "metadata", "lost")]
     got = {r["capture_id"]: (r["request"] and r["request"]["record_id"], r["metadata"] and r["metadata"]["record_id"]) for r in warc.assemble(spark.createDataFrame(rows, "record_id string, record_type string, concurrent_to string")).collect()}
