@@ -25,7 +25,7 @@ def by_hand(queries, chunks, k, k1=1.2, b=0.75):
     return sorted(out)
 
 
-def test_search_equals_counting_by_hand_and_skips_blocks(spark):
+def test_search_equals_counting_by_hand_and_skips_blocks(spark, monkeypatch):
     r = random.Random(6)
     words = [f"w{i}" for i in range(40)]
     # A third of the chunks share one term; some chunks are equal, some are empty.
@@ -37,6 +37,9 @@ def test_search_equals_counting_by_hand_and_skips_blocks(spark):
     for seeds in (1, 4, 10_000):
         got = bm25.search_bm25(spark, asked, index, 5, seeds).select("query_id", "rank", "chunk_id", "score").collect()
         assert sorted(map(tuple, got)) == by_hand(queries, chunks, 5)
+    monkeypatch.setattr(bm25, "SHARD_TERMS", 20)  # several shards of queries, and ids of another type
+    got = bm25.search_bm25(spark, asked.withColumn("query_id", F.col("query_id").cast("string")), index, 5, 2).select(F.col("query_id").cast("long"), "rank", "chunk_id", "score").collect()
+    assert sorted(map(tuple, got)) == by_hand(queries, chunks, 5)
     assert bm25.search_bm25(spark, asked.limit(0), index, 5).count() == 0
     sizes = spark.read.parquet(f"{index.path}/postings")
     assert sizes.agg(F.max("size")).first()[0] <= 4 and sizes.where("term = 'everywhere'").count() > 20
