@@ -3,7 +3,7 @@
 Every distinct shingle set branches, tree by tree, on some of its minwise tokens. Sets that share a token meet in a node. Small nodes are compared
 exhaustively on 1-bit minwise sketches. In large nodes all sets are compared with a few pivots; those that are like one are settled with it, the others
 branch again on tokens drawn for that node. What the trees join are families that hold every likely link; links are then decided exactly, on the
-full shingle sets of each family."""
+full shingle sets of each family. Large families meet a few pivots first, and only sets that these don't connect yet are compared in pairs of blocks."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
@@ -32,6 +32,10 @@ TOKENS, BITS, NODE_CAP = 64, 128, 256
 LIKE_BITS, SETTLED_BITS, PIVOTS = 101, 104, 3
 #: Sets of a family that are compared in one task with as many others.
 BLOCK = 256
+#: Sets of a family of more than a block that all its sets are compared with first.
+FAMILY_PIVOTS = 8
+#: Tasks that a node's rows are dealt over before its size is known, and rows to a piece of a node or family of known size.
+SALTS, PIECE = 64, 4096
 #: Words whose hashes a worker keeps: a bound on its memory.
 CACHED_WORDS = 400_000
 
@@ -195,23 +199,46 @@ def _node_blocks(met: DataFrame) -> DataFrame:
     return pairs.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "b0", "b1")
 
 
+def _pieces() -> Column:
+    """Pieces of a node or family of n rows."""
+    return F.ceil(F.col("n") / PIECE).cast("int")
+
+
+def _own_piece() -> Column:
+    return F.pmod(F.xxhash64("cid"), _pieces()).cast("int")
+
+
+def _every_piece() -> Column:
+    """A row for each piece, of a row that all of them need."""
+    return F.explode(F.sequence(F.lit(0), _pieces() - 1))
+
+
+def _with_sizes(entries: DataFrame) -> DataFrame:
+    """The entries of nodes of two sets or more, with their node's size n. A node's rows are counted and joined in SALTS pieces, so a node that a third
+    of all sets are in isn't one task's."""
+    salted = entries.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+    counts = salted.groupBy("node", "salt").agg(F.count("*").alias("some"))
+    sizes = counts.select("node", "salt", F.sum("some").over(Window.partitionBy("node")).alias("n")).where("n > 1")
+    return salted.join(sizes, ["node", "salt"]).drop("salt")
+
+
 def _family_edges(classes: DataFrame) -> DataFrame:
     """Edges (a, b) of the families. A level's large nodes go on to the next with the sets that none of their pivots settled; at MAX_DEPTH what is left
     is compared whole, in pairs of blocks."""
     entries = classes.select("cid", "tokens", "b0", "b1").mapInArrow(_branch(True), "node long, cid long, b0 long, b1 long")
     levels = []
     for depth in range(1, MAX_DEPTH + 1):
-        sizes = entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        met = written(entries.join(sizes, "node"), "nodes")
+        met = written(_with_sizes(entries), "nodes")
         small = met if depth == MAX_DEPTH else met.where(F.col("n") <= NODE_CAP)
         levels.append(_node_blocks(small).repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_compare_nodes, "a long, b long"))
         large = met.where(F.col("n") > NODE_CAP)
         if depth == MAX_DEPTH or large.isEmpty():
             break
-        pivots = large.groupBy("node").agg(*[F.min_by(F.struct("cid", "b0", "b1"), F.xxhash64(F.lit(i), "node", "cid")).alias(f"p{i}") for i in range(PIVOTS)])
+        pivots = large.groupBy("node").agg(F.max("n").alias("n"), *[F.min_by(F.struct("cid", "b0", "b1"), F.xxhash64(F.lit(i), "node", "cid")).alias(f"p{i}") for i in range(PIVOTS)])
+        pivots = pivots.withColumn("piece", _every_piece()).drop("n")
         common = [F.lit(BITS) - F.bit_count(F.col("b0").bitwiseXOR(F.col(f"p{i}.b0"))) - F.bit_count(F.col("b1").bitwiseXOR(F.col(f"p{i}.b1"))) for i in range(PIVOTS)]
         pivot_ids = [F.col(f"p{i}.cid").alias(f"q{i}") for i in range(PIVOTS)]
-        beside = written(large.join(pivots, "node").select("node", "cid", "b0", "b1", *pivot_ids, *[(c >= LIKE_BITS).alias(f"l{i}") for i, c in enumerate(common)], F.greatest(*[F.when(F.col("cid") == F.col(f"p{i}.cid"), BITS).otherwise(c) for i, c in enumerate(common)]).alias("common")), "pivots")
+        beside = written(large.withColumn("piece", _own_piece()).join(pivots, ["node", "piece"]).select("node", "cid", "b0", "b1", *pivot_ids, *[(c >= LIKE_BITS).alias(f"l{i}") for i, c in enumerate(common)], F.greatest(*[F.when(F.col("cid") == F.col(f"p{i}.cid"), BITS).otherwise(c) for i, c in enumerate(common)]).alias("common")), "pivots")
         first = F.coalesce(*[F.when(F.col(f"l{i}"), F.col(f"q{i}")) for i in range(PIVOTS)])
         levels.append(beside.select(F.col("cid").alias("a"), first.alias("b")).where("b IS NOT NULL AND a <> b"))
         # Pivots that some set is like at once are one family: an edge a node for each two of them.
@@ -270,6 +297,67 @@ def _decide(percent: int):
     return run
 
 
+def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets have percent hundredths of their union in common."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    common = int((two[np.minimum(two.searchsorted(one), len(two) - 1)] == one).sum())
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
+def _meet_pivots(percent: int):
+    """Exact links (a, b) of each set with the pivots b of its family, which come first in its piece. A task holds the pivots of one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            family, piece, pivot, cid, hashes = (batch[c].to_pylist() for c in ("family", "piece", "pivot", "cid", "hashes"))
+            for row, key in enumerate(zip(family, piece, strict=True)):
+                if key != at:
+                    at, pivots = key, []
+                mine = np.frombuffer(hashes[row], "u8")
+                found += [(cid[row], other) for other, theirs in pivots if other != cid[row] and _alike(mine, theirs, percent)]
+                if pivot[row]:
+                    pivots.append((cid[row], mine))
+            yield _edges(found)
+
+    return run
+
+
+def _family_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(family, i, j, block, cid, hashes): the blocks that are still to be compared, of sets (family, n, cid, hashes); and the links found on the way.
+
+    A family of up to BLOCK sets is one block. In a larger one all sets meet FAMILY_PIVOTS of its sets, whose links connect them in parts. A block
+    holds sets of one part, or sets of none; two blocks are compared unless they are of the same part, so no link between parts is lost, and a family
+    whose sets are nearly all like a pivot moves each set a few times, however many they are."""
+    columns = ["family", "i", "j", "block", "cid", "hashes"]
+    zero = F.lit(0)
+    small = sets.where(F.col("n") <= BLOCK).select("family", zero.alias("i"), zero.alias("j"), zero.alias("block"), "cid", "hashes")
+    large = sets.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return small, None
+    chosen = large.groupBy("family").agg(F.max("n").alias("n"), *[F.min_by("cid", F.xxhash64(F.lit(i), "cid")).alias(f"p{i}") for i in range(FAMILY_PIVOTS)])
+    chosen = written(chosen.select("n", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(FAMILY_PIVOTS)]))).alias("cid")), "family-pivots")
+    pivots = large.drop("n").join(chosen, "cid").select("family", _every_piece().alias("piece"), F.lit(True).alias("pivot"), "cid", "hashes")
+    others = large.select("family", _own_piece().alias("piece"), F.lit(False).alias("pivot"), "cid", "hashes")
+    dealt = others.unionByName(pivots).repartition("family", "piece").sortWithinPartitions("family", "piece", F.desc("pivot"), "cid")
+    links = written(dealt.mapInArrow(_meet_pivots(percent), "a long, b long").distinct(), "pivot-links")
+    parts = components(links).select(F.col("node").alias("cid"), F.col("label").alias("part"))
+    of = written(large.select("family", "n", "cid").join(parts, "cid", "left").select("family", "n", "cid", F.coalesce("part", F.lit(-1)).alias("part")), "parts")
+    # A family has a row for each part: as many as pivots, and one for the sets of none.
+    counts = of.groupBy("family", "part").agg(F.max("n").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
+    before = Window.partitionBy("family").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("first", F.coalesce(F.sum("of").over(before), zero).cast("int"))
+    plan = placed.groupBy("family").agg(F.max("n").alias("n"), F.collect_list(F.struct("part", "first", "of")).alias("plan")).select("family", _every_piece().alias("piece"), "plan")
+    rows = of.withColumn("piece", _own_piece()).join(plan, ["family", "piece"])
+    mine = F.get(F.filter("plan", lambda p: p["part"] == F.col("part")), zero)
+    theirs = F.filter("plan", lambda p: (p["part"] != F.col("part")) | (p["part"] == -1))
+    rows = rows.select("family", "cid", (mine["first"] + F.pmod(F.xxhash64("cid"), mine["of"])).cast("int").alias("block"), F.flatten(F.transform(theirs, lambda p: F.sequence(p["first"], p["first"] + p["of"] - 1))).alias("others"))
+    pairs = rows.where(F.size("others") > 0).join(large.select("cid", "hashes"), "cid").select("family", "cid", "block", "hashes", F.explode("others").alias("other"))
+    return small.unionByName(pairs.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "hashes")).select(columns), links
+
+
 def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, version) of every row of docs; version is the column __version of docs, or the text's hash where docs has none.
 
@@ -288,11 +376,9 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = PERC
     # A merge join at every size: the members grow with the corpus, so a broadcast that fits small inputs tells nothing about large ones.
     texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("family", "n", "cid", "key", "text")
     sets = written(texts.mapInArrow(_full_sets(shingle_words), "family long, n long, cid long, hashes binary").dropDuplicates(["cid"]), "family-sets")
-    blocks = sets.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int"))
-    pairs = blocks.select("family", "cid", "block", "hashes", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    pairs = pairs.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "hashes")
+    pairs, settled = _family_pairs(sets, percent)
     links = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "cid").mapInArrow(_decide(percent), "a long, b long")
-    labels = components(links)
+    labels = components(links if settled is None else links.unionAll(settled))
     named = classes.select("cid", "key", "rep").join(labels, F.col("cid") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     of_key = named.join(least, "label").select("key", "least")
