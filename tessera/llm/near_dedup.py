@@ -34,7 +34,7 @@ LIKE_BITS, SETTLED_BITS, PIVOTS = 101, 104, 3
 BLOCK = 256
 #: Sets of a family of more than a block that all its sets are compared with first.
 FAMILY_PIVOTS = 8
-#: Tasks that a node's rows are dealt over before its size is known, and rows to a piece of a node or family of known size.
+#: Tasks that a node's rows are dealt over before its size is known, and rows to a piece of a node of known size. A family's pieces have BLOCK sets.
 SALTS, PIECE = 64, 4096
 #: Words whose hashes a worker keeps: a bound on its memory.
 CACHED_WORDS = 400_000
@@ -199,18 +199,18 @@ def _node_blocks(met: DataFrame) -> DataFrame:
     return pairs.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "b0", "b1")
 
 
-def _pieces() -> Column:
-    """Pieces of a node or family of n rows."""
-    return F.ceil(F.col("n") / PIECE).cast("int")
+def _pieces(most: int) -> Column:
+    """Pieces of up to about `most` rows, of a node or family of n rows."""
+    return F.ceil(F.col("n") / most).cast("int")
 
 
-def _own_piece() -> Column:
-    return F.pmod(F.xxhash64("cid"), _pieces()).cast("int")
+def _own_piece(most: int) -> Column:
+    return F.pmod(F.xxhash64("cid"), _pieces(most)).cast("int")
 
 
-def _every_piece() -> Column:
+def _every_piece(most: int) -> Column:
     """A row for each piece, of a row that all of them need."""
-    return F.explode(F.sequence(F.lit(0), _pieces() - 1))
+    return F.explode(F.sequence(F.lit(0), _pieces(most) - 1))
 
 
 def _with_sizes(entries: DataFrame) -> DataFrame:
@@ -235,10 +235,10 @@ def _family_edges(classes: DataFrame) -> DataFrame:
         if depth == MAX_DEPTH or large.isEmpty():
             break
         pivots = large.groupBy("node").agg(F.max("n").alias("n"), *[F.min_by(F.struct("cid", "b0", "b1"), F.xxhash64(F.lit(i), "node", "cid")).alias(f"p{i}") for i in range(PIVOTS)])
-        pivots = pivots.withColumn("piece", _every_piece()).drop("n")
+        pivots = pivots.withColumn("piece", _every_piece(PIECE)).drop("n")
         common = [F.lit(BITS) - F.bit_count(F.col("b0").bitwiseXOR(F.col(f"p{i}.b0"))) - F.bit_count(F.col("b1").bitwiseXOR(F.col(f"p{i}.b1"))) for i in range(PIVOTS)]
         pivot_ids = [F.col(f"p{i}.cid").alias(f"q{i}") for i in range(PIVOTS)]
-        beside = written(large.withColumn("piece", _own_piece()).join(pivots, ["node", "piece"]).select("node", "cid", "b0", "b1", *pivot_ids, *[(c >= LIKE_BITS).alias(f"l{i}") for i, c in enumerate(common)], F.greatest(*[F.when(F.col("cid") == F.col(f"p{i}.cid"), BITS).otherwise(c) for i, c in enumerate(common)]).alias("common")), "pivots")
+        beside = written(large.withColumn("piece", _own_piece(PIECE)).join(pivots, ["node", "piece"]).select("node", "cid", "b0", "b1", *pivot_ids, *[(c >= LIKE_BITS).alias(f"l{i}") for i, c in enumerate(common)], F.greatest(*[F.when(F.col("cid") == F.col(f"p{i}.cid"), BITS).otherwise(c) for i, c in enumerate(common)]).alias("common")), "pivots")
         first = F.coalesce(*[F.when(F.col(f"l{i}"), F.col(f"q{i}")) for i in range(PIVOTS)])
         levels.append(beside.select(F.col("cid").alias("a"), first.alias("b")).where("b IS NOT NULL AND a <> b"))
         # Pivots that some set is like at once are one family: an edge a node for each two of them.
@@ -306,56 +306,73 @@ def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
 
 
 def _meet_pivots(percent: int):
-    """Exact links (a, b) of each set with the pivots b of its family, which come first in its piece. A task holds the pivots of one piece."""
+    """For each set what it has exact links with among its family's pivots, which come first in its piece: a bit for each in `mask`, and their cids in
+    `links`. A pivot has its own bit and is `chosen`. A task holds the pivots of one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivots = None, []
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            family, piece, pivot, cid, hashes = (batch[c].to_pylist() for c in ("family", "piece", "pivot", "cid", "hashes"))
+            family, piece, pivot, n, cid, hashes = (batch[c].to_pylist() for c in ("family", "piece", "pivot", "n", "cid", "hashes"))
+            out = []
             for row, key in enumerate(zip(family, piece, strict=True)):
                 if key != at:
                     at, pivots = key, []
                 mine = np.frombuffer(hashes[row], "u8")
-                found += [(cid[row], other) for other, theirs in pivots if other != cid[row] and _alike(mine, theirs, percent)]
                 if pivot[row]:
                     pivots.append((cid[row], mine))
-            yield _edges(found)
+                    continue
+                like = [k for k, (other, theirs) in enumerate(pivots) if other == cid[row] or _alike(mine, theirs, percent)]
+                links = [pivots[k][0] for k in like if pivots[k][0] != cid[row]]
+                out.append({"family": family[row], "n": n[row], "cid": cid[row], "chosen": len(links) < len(like), "mask": sum(1 << k for k in like), "links": links})
+            yield pa.RecordBatch.from_pylist(out, _MET)
 
     return run
 
 
+_MET = pa.schema([("family", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chosen", pa.bool_()), ("mask", pa.int32()), ("links", pa.list_(pa.int64()))])
+
+
+def _parts(met: Column) -> Column:
+    """The family's parts: pivots that links connect, a bit for each, of its distinct masks."""
+    none = F.array().cast("array<int>")
+    touches = lambda part, x: part.bitwiseAND(x["mask"]) != 0
+    joined = lambda parts, x: F.aggregate(F.filter(parts, lambda p: touches(p, x)), x["mask"], lambda all_, p: all_.bitwiseOR(p))
+    return F.aggregate(met, none, lambda parts, x: F.when(x["mask"] == 0, parts).otherwise(F.concat(F.filter(parts, lambda p: ~touches(p, x)), F.array(joined(parts, x)))))
+
+
 def _family_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(family, i, j, block, cid, hashes): the blocks that are still to be compared, of sets (family, n, cid, hashes); and the links found on the way.
+    """(family, i, j, block, cid, hashes): the blocks that are still to be compared, of sets (family, n, cid, hashes); and the links (a, b) found on the way.
 
-    A family of up to BLOCK sets is one block. In a larger one all sets meet FAMILY_PIVOTS of its sets, whose links connect them in parts. A block
-    holds sets of one part, or sets of none; two blocks are compared unless they are of the same part, so no link between parts is lost, and a family
-    whose sets are nearly all like a pivot moves each set a few times, however many they are."""
-    columns = ["family", "i", "j", "block", "cid", "hashes"]
+    A family of up to BLOCK sets is one block. In a larger one all sets meet FAMILY_PIVOTS of its sets, whose links connect them in parts. Pivots are
+    done then. A block holds sets of one part, or sets of none; two blocks are compared unless they are of the same part, so no link between parts is
+    lost, and a family whose sets are nearly all like a pivot moves each set a few times, however many they are."""
     zero = F.lit(0)
     small = sets.where(F.col("n") <= BLOCK).select("family", zero.alias("i"), zero.alias("j"), zero.alias("block"), "cid", "hashes")
     large = sets.where(F.col("n") > BLOCK)
     if large.isEmpty():
         return small, None
-    chosen = large.groupBy("family").agg(F.max("n").alias("n"), *[F.min_by("cid", F.xxhash64(F.lit(i), "cid")).alias(f"p{i}") for i in range(FAMILY_PIVOTS)])
-    chosen = written(chosen.select("n", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(FAMILY_PIVOTS)]))).alias("cid")), "family-pivots")
-    pivots = large.drop("n").join(chosen, "cid").select("family", _every_piece().alias("piece"), F.lit(True).alias("pivot"), "cid", "hashes")
-    others = large.select("family", _own_piece().alias("piece"), F.lit(False).alias("pivot"), "cid", "hashes")
+    names = [f"p{i}" for i in range(FAMILY_PIVOTS)]
+    chosen = large.groupBy("family").agg(*[F.min_by("cid", F.xxhash64(F.lit(i), "cid")).alias(name) for i, name in enumerate(names)])
+    chosen = written(chosen.select(F.explode(F.array_distinct(F.array(*names))).alias("cid")), "family-pivots")
+    pivots = large.join(chosen, "cid").select("family", _every_piece(BLOCK).alias("piece"), F.lit(True).alias("pivot"), "n", "cid", "hashes")
+    others = large.select("family", _own_piece(BLOCK).alias("piece"), F.lit(False).alias("pivot"), "n", "cid", "hashes")
     dealt = others.unionByName(pivots).repartition("family", "piece").sortWithinPartitions("family", "piece", F.desc("pivot"), "cid")
-    links = written(dealt.mapInArrow(_meet_pivots(percent), "a long, b long").distinct(), "pivot-links")
-    parts = components(links).select(F.col("node").alias("cid"), F.col("label").alias("part"))
-    of = written(large.select("family", "n", "cid").join(parts, "cid", "left").select("family", "n", "cid", F.coalesce("part", F.lit(-1)).alias("part")), "parts")
-    # A family has a row for each part: as many as pivots, and one for the sets of none.
-    counts = of.groupBy("family", "part").agg(F.max("n").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
-    before = Window.partitionBy("family").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("first", F.coalesce(F.sum("of").over(before), zero).cast("int"))
-    plan = placed.groupBy("family").agg(F.max("n").alias("n"), F.collect_list(F.struct("part", "first", "of")).alias("plan")).select("family", _every_piece().alias("piece"), "plan")
-    rows = of.withColumn("piece", _own_piece()).join(plan, ["family", "piece"])
-    mine = F.get(F.filter("plan", lambda p: p["part"] == F.col("part")), zero)
-    theirs = F.filter("plan", lambda p: (p["part"] != F.col("part")) | (p["part"] == -1))
-    rows = rows.select("family", "cid", (mine["first"] + F.pmod(F.xxhash64("cid"), mine["of"])).cast("int").alias("block"), F.flatten(F.transform(theirs, lambda p: F.sequence(p["first"], p["first"] + p["of"] - 1))).alias("others"))
-    pairs = rows.where(F.size("others") > 0).join(large.select("cid", "hashes"), "cid").select("family", "cid", "block", "hashes", F.explode("others").alias("other"))
-    return small.unionByName(pairs.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "hashes")).select(columns), links
+    seen = written(dealt.mapInArrow(_meet_pivots(percent), "family long, n long, cid long, chosen boolean, mask int, links array<long>"), "met-pivots")
+    # A family has a row for each distinct mask, 2 ** FAMILY_PIVOTS at most.
+    masks = seen.groupBy("family", "mask").agg(F.max("n").alias("n"), F.count_if(~F.col("chosen")).alias("sets"))
+    met = masks.groupBy("family").agg(F.max("n").alias("n"), F.collect_list(F.struct("mask", "sets")).alias("met"))
+    of_part = lambda part, mask: F.when(part == 0, mask == 0).otherwise(part.bitwiseAND(mask) != 0)
+    size = lambda part: F.aggregate(F.filter("met", lambda x: of_part(part, x["mask"])), F.lit(0).cast("long"), lambda n, x: n + x["sets"])
+    sized = F.transform(F.concat(F.array(zero), _parts(F.col("met"))), lambda p: F.struct(p.alias("part"), F.ceil(size(p) / BLOCK).cast("int").alias("of")))
+    first = lambda i: F.aggregate(F.slice("sized", 1, i), zero, lambda n, x: n + x["of"])
+    plan = met.select("family", "n", sized.alias("sized")).select("family", "n", F.transform("sized", lambda x, i: F.struct(x["part"].alias("part"), x["of"].alias("of"), first(i).alias("first"))).alias("plan"))
+    rows = seen.where(~F.col("chosen")).withColumn("piece", _own_piece(BLOCK)).join(plan.select("family", _every_piece(BLOCK).alias("piece"), "plan"), ["family", "piece"])
+    rows = rows.withColumn("mine", F.get(F.filter("plan", lambda p: of_part(p["part"], F.col("mask"))), zero))
+    theirs = F.filter("plan", lambda p: (p["of"] > 0) & ((p["part"] != F.col("mine")["part"]) | (p["part"] == 0)))
+    rows = rows.select("cid", (F.col("mine")["first"] + F.pmod(F.xxhash64("cid"), F.col("mine")["of"])).cast("int").alias("block"), F.flatten(F.transform(theirs, lambda p: F.sequence(p["first"], p["first"] + p["of"] - 1))).alias("others"))
+    pairs = rows.where(F.size("others") > 0).join(large.select("family", "cid", "hashes"), "cid").select("family", "cid", "block", "hashes", F.explode("others").alias("other"))
+    pairs = pairs.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "hashes")
+    return small.unionByName(pairs), seen.select(F.col("cid").alias("a"), F.explode("links").alias("b"))
 
 
 def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = PERCENT) -> DataFrame:
