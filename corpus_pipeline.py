@@ -33,8 +33,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies: shingles of five words, similarity 0.8.
 
     Line dedup leaves of a near copy only the lines that differ, which resemble nothing. So the rows that arrive here are compared on their texts in
-    documents, before lines were cut; what is kept is the row as it arrives."""
-    return near_dedup.keep_one_each(docs, whole=table(spark, sf_dir, "documents"))
+    documents, before lines were cut. It also bares copies that stood among other texts' lines, so the rows that are left are then compared on their
+    texts as they arrive. Only rows still there are compared, so none goes for a copy that went. What is kept is the row as it arrives."""
+    kept = near_dedup.keep_one_each(docs, whole=table(spark, sf_dir, "documents"))
+    return near_dedup.keep_one_each(written(kept, "unlike-whole"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,21 @@ def test_near_copies_are_caught_after_their_lines_are_cut(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept) == [0, 4]
 
 
+def test_line_dedup_decides_what_near_dedup_sees(spark, tmp_path):
+    """Ids 2 and 3 hold one article, wrapped otherwise, among the lines of 0 and of 1: whole they differ, cut they are copies. Id 4 is like a row that goes."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    wrapped = lambda text, width: [" ".join(text[i : i + width]) for i in range(0, len(text), width)]
+    one, two, article = wrapped(words(300), 10), wrapped(words(300), 10), words(120)
+    changed = [*one[:2], " ".join(words(10)), *one[3:]]
+    rows = [(0, one), (1, two), (2, one + wrapped(article, 12)), (3, two + wrapped(article, 7)), (4, changed), (5, wrapped(words(200), 9))]
+    docs = spark.createDataFrame([(i, "\n".join(lines), "en", "s", 0) for i, lines in rows], KIND)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda frame: sorted(r["doc_id"] for r in STAGES["near-dedup"](spark, frame, str(tmp_path)).collect())
+    assert ids(docs) == [0, 1, 2, 3, 5]
+    assert ids(STAGES["line dedup"](spark, docs, str(tmp_path))) == [0, 1, 2, 5]
+
+
 def test_repeated_ids_lose_no_distinct_text(spark, tmp_path):
     """(1, A), (2, B), (2, A) with B unlike A: what goes is the copy of A alone, in whatever stage, and no row is multiplied."""
     rng = random.Random(5)
