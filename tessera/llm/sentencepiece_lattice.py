@@ -6,10 +6,10 @@ a BPE model's scores, which are ranks of merges, gives other pieces than Sentenc
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,15 +26,14 @@ SPACE_MARK = "▁"
 MASK_CHARS = 60
 #: The fold's work grows with a word's length squared, so words over so many characters are folded by a heap with the same rule where they are used.
 LONGEST = 1024
-#: Words whose parts a worker keeps: a bound on its memory.
-SPLIT_WORDS = 100_000
+#: Characters of a text that are cut into parts at once: a bound on a worker's memory.
+CUT_CHARS = 250_000
 #: Cost of a character that has no piece.
 NO_PIECE = 1e9
 #: Characters of text to a chunk, which ends with its input partition too: what a task holds is one chunk's dictionary.
 CHUNK_CHARS = 8_000_000
 #: Buckets of words to a shuffle partition: a word has dozens of edges, so the tasks that fold words take fewer rows than others.
 BUCKETS = 8
-_UNIT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
 _MODELS: dict[str, "Model"] = {}
 
 
@@ -52,7 +51,6 @@ class Model:
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in plain}
         self.longest = max(map(len, self.pieces))
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.split: dict[str, list[str]] = {}
         self.beside = None
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in self.pieces):
             raise ValueError("pieces span words; the lattice is built word by word")
@@ -77,18 +75,15 @@ class Model:
 
     def parts(self, word: str) -> list[str]:
         """The word, cut between characters that no piece has side by side: no path crosses such a place, so its parts are folded alone."""
-        found = self.split.get(word)
-        if found is None:
-            cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
-            found = [word[a:b] for a, b in itertools.pairwise(cuts)]
-            if len(self.split) < SPLIT_WORDS:
-                self.split[word] = found
-        return found
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in itertools.pairwise(cuts)]
 
     def all_parts(self, words: list[str]) -> set[str]:
-        """The distinct parts of all words. Neighbouring characters are looked up by their numbers in one table, for all words at once."""
-        if not words:
-            return set()
+        """The distinct parts of all words, which hold no blanks."""
+        return {p for word in words for p in self._split(word)}
+
+    def _split(self, text: str) -> list[str]:
+        """parts() of a text without blanks. Neighbouring characters are looked up by their numbers in one table, all at once."""
         if self.beside is None:
             chars = sorted({c for pair in self.pairs for c in pair})
             self.number = np.zeros(0x110000, "u2")
@@ -97,15 +92,23 @@ class Model:
             at = np.array([int(self.number[ord(a)]) * (len(chars) + 1) + int(self.number[ord(b)]) for a, b in self.pairs], "i8")
             np.bitwise_or.at(self.beside, at >> 3, (1 << (at & 7)).astype("u1"))
             self.width = len(chars) + 1
-        found: set[str] = set()
-        for low in range(0, len(words), 50_000):
-            codes = np.frombuffer("\n".join(words[low : low + 50_000]).encode("utf-32-le", "surrogatepass"), "<u4")
-            numbers = self.number[codes].astype("i8")
-            at = numbers[:-1] * self.width + numbers[1:]
-            joined = (self.beside[at >> 3] >> (at & 7).astype("u1")) & 1
-            cuts = np.flatnonzero((joined == 0) & (codes[:-1] != 10) & (codes[1:] != 10)) + 1
-            found.update(np.insert(codes, cuts, 10).tobytes().decode("utf-32-le", "surrogatepass").split("\n"))
-        return found
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        numbers = self.number[codes].astype("i8")
+        at = numbers[:-1] * self.width + numbers[1:]
+        cuts = np.flatnonzero((self.beside[at >> 3] >> (at & 7).astype("u1")) & 1 == 0) + 1
+        return np.insert(codes, cuts, ord(" ")).tobytes().decode("utf-32-le", "surrogatepass").split(" ")
+
+    def cut(self, text: str) -> Iterator[list[str]]:
+        """The parts of a text in order, some at a time, with marks for its blanks and one before it. Words and lines end where parts do, as no piece
+        has a mark after other characters or a line feed."""
+        tail = SPACE_MARK
+        for low in range(0, len(text), CUT_CHARS):
+            found = self._split(tail[-1] + text[low : low + CUT_CHARS].replace(" ", SPACE_MARK))
+            found[0] = tail[:-1] + found[0]
+            tail = found.pop()
+            yield found
+        if text:
+            yield [tail]
 
     def fold_long(self, word: str) -> list[int]:
         """The path of one word by plain Python: for words over LONGEST."""
@@ -271,30 +274,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
             pa.default_memory_pool().release_unused()
 
 
-def _units(text: str) -> list[str]:
-    return _UNIT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
-
-
-def _parts(text: str) -> list[list[str]] | None:
-    """The words of each line, between single blanks; None where blanks repeat, begin or end a line, or marks stand in the text."""
-    if SPACE_MARK in text:
-        return None
-    lines = [line.split(" ") for line in text.split("\n")]
-    return None if any("" in line for line in lines) else lines
-
-
-def _add_units(rows: list[tuple], found: set[str], marked: set[str]) -> None:
-    """Adds the texts' distinct units to found; where a line's words lie between single blanks, all but the first go to marked, without their mark."""
-    for _, text in rows:
-        lines = _parts(text) if text else []
-        if lines is None:
-            found.update(_units(text))
-            continue
-        for i, line in enumerate(lines):
-            marked.update(line[1:])
-            (found if i else marked).add(line[0])
-
-
 _PART = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("blob", pa.binary())])
 _PART_SQL = "chunk long, kind int, doc_ids array<long>, blob binary"
 #: Kinds of those rows: a part of a chunk's dictionary, texts.
@@ -303,12 +282,17 @@ BOOK, TEXTS = 0, 1
 TEXT_BYTES = 1_000_000
 
 
+#: One for each level in a worker: small blobs take less time than making one.
+_compressor = functools.cache(lambda level: zstandard.ZstdCompressor(level=level))
+_decompressor = functools.cache(zstandard.ZstdDecompressor)
+
+
 def _squeezed(data: bytes, level: int = 4) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(data)
+    return _compressor(level).compress(data)
 
 
 def _unsqueezed(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _decompressor().decompress(data)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,18 +321,15 @@ def _dictionaries(buckets: int, path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
-        last, found, marked = None, set(), set()
+        last, found = None, set()
 
         def dealt() -> pa.RecordBatch:
-            found.update([SPACE_MARK + w for w in marked])
-            marked.clear()
             found.discard("\n")
-            parts = model.all_parts(list(found))
-            found.clear()
             lists: list[list[str]] = [[] for _ in range(buckets)]
-            for word in parts:
+            for word in found:
                 if len(word) <= LONGEST:  # longer ones are folded where they are used
                     lists[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
+            found.clear()
             full = [(i, "\n".join(sorted(w))) for i, w in enumerate(lists) if w]
             return pa.RecordBatch.from_arrays([pa.array([last] * len(full), pa.int64()), pa.array([i for i, _ in full], pa.int32()), pa.array([w for _, w in full], pa.string())], ["chunk", "bucket", "words"])
 
@@ -356,7 +337,9 @@ def _dictionaries(buckets: int, path: str):
             if chunk != last and last is not None:
                 yield dealt()
             last = chunk
-            _add_units(rows, found, marked)
+            for _, text in rows:
+                for parts in model.cut(text):
+                    found.update(parts)
         if last is not None:
             yield dealt()
 
@@ -390,40 +373,19 @@ def _apply(path: str):
         model = Model.of(path)
         small = "<u2" if len(model.surface) < 1 << 16 else "<u4"
         line = np.array(model.byte_ids("\n") if "\n" not in model.pieces else [model.pieces["\n"][0]], "<i4").tobytes()
-        chunk, book, marked = None, {}, {}
+        chunk, book = None, {}
 
         class Book(dict):
-            def __missing__(self, word: str) -> bytes:
-                parts = model.parts(word)
-                if len(parts) > 1:
-                    found = b"".join([self[p] for p in parts])
-                elif len(word) > LONGEST:
-                    found = np.array(model.fold_long(word), "<i4").tobytes()
-                else:
-                    raise LookupError(f"chunk {chunk} has no ids of {word!r}: its texts came in another order when they were read again; write them to a table first")
-                self[word] = found
+            def __missing__(self, part: str) -> bytes:
+                if len(part) <= LONGEST:
+                    raise LookupError(f"chunk {chunk} has no ids of {part!r}: its texts came in another order when they were read again; write them to a table first")
+                self[part] = found = np.array(model.fold_long(part), "<i4").tobytes()
                 return found
 
-        class Marked(dict):
-            """The book by the word without its mark."""
-
-            def __missing__(self, word: str) -> bytes:
-                self[word] = found = book[SPACE_MARK + word]
-                return found
-
-        def ids_of(text: str) -> bytes:
-            lines = _parts(text) if text else []
-            if lines is None:
-                return b"".join(map(book.__getitem__, _units(text)))
-            out = []
-            for i, words in enumerate(lines):
-                out.append(b"".join(map(marked.__getitem__, words[1:] if i else words)) if not i else line + book[words[0]] + b"".join(map(marked.__getitem__, words[1:])))
-            return b"".join(out)
-
         for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):  # what is decoded at a time stays small
             c, kind, doc_ids, blob = (batch[x][0].as_py() for x in ("chunk", "kind", "doc_ids", "blob"))
             if c != chunk:
-                chunk, book, marked = c, Book({"\n": line}), Marked()
+                chunk, book = c, Book({"\n": line})
             data = _unsqueezed(blob)
             if kind == BOOK:
                 listed, _, numbers = data.partition(b"\n\n")
@@ -437,7 +399,8 @@ def _apply(path: str):
             sizes = np.frombuffer(data, "<u4", len(doc_ids)).tolist()
             at, out = 4 * len(doc_ids), []
             for size in sizes:
-                out.append(ids_of(data[at : at + size].decode("utf-8", "surrogatepass")))
+                text = data[at : at + size].decode("utf-8", "surrogatepass")
+                out.append(b"".join([b"".join(map(book.__getitem__, parts)) for parts in model.cut(text)]))
                 at += size
             offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype("i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))

@@ -376,6 +376,17 @@ def test_parts_of_all_words_are_those_of_each(spark):
     assert model.all_parts(words) == {p for w in words for p in model.parts(w)}
 
 
+def test_texts_are_cut_as_their_words_are(monkeypatch):
+    """Whatever the slices: parts in order, blanks and line feeds in any number, parts that span slices."""
+    model = sentencepiece_lattice.Model.of(PIECES)
+    texts = ["", " ", "\n", "a\n\nb\n c", "  two  blanks ", "one", "x" * 90 + " the" * 9, "emoji 😀 and ｗｉｄｅ\u0000", "▁▁ mark▁s \n▁", "日本q語 28bca0e1aeaae1e7f9\ttab"]
+    for size in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(sentencepiece_lattice, "CUT_CHARS", size)
+        for text in texts:
+            whole = sentencepiece_lattice.SPACE_MARK + text.replace(" ", sentencepiece_lattice.SPACE_MARK)
+            assert [p for some in model.cut(text) for p in some] == (model.parts(whole) if text else [])
+
+
 def test_a_word_that_the_lattice_lost_is_an_error():
     part = sentencepiece_lattice._PART
     texts = next(iter(sentencepiece_lattice._texts(iter([pa.RecordBatch.from_pydict({"part": [0], "doc_id": [1], "text": ["lost"]})]))))
