@@ -36,7 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents, before lines were cut. It also bares copies that stood among other texts' lines, so the rows that are left are then compared on their
     texts as they arrive. Only rows still there are compared, so none goes for a copy that went. What is kept is the row as it arrives."""
     kept = near_dedup.keep_one_each(docs, whole=table(spark, sf_dir, "documents"))
-    return near_dedup.keep_one_each(written(kept, "unlike-whole"))
+    return near_dedup.keep_one_each(written(kept, "unlike-whole", compression="zstd"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
