@@ -80,12 +80,28 @@ def _count_vectors(texts: pd.Series) -> pd.Series:
     return pd.Series(list(np.divide(counts, norm, out=np.zeros(counts.shape), where=norm > 0)))
 
 
-def embed(df: DataFrame, text_col: str, to: str = "embedding", loader: Callable[[], Callable[[list[str]], list]] | None = None, batch_chars: int = 200_000) -> DataFrame:
+def _vectors_by(embedder: Callable[[list[str | None]], list]) -> Callable[[pd.Series], pd.Series]:
+    def run(texts: pd.Series) -> pd.Series:
+        vectors = embedder(list(texts))
+        if len(vectors) != len(texts):
+            raise ValueError(f"the embedder gave {len(vectors)} vectors for {len(texts)} texts")
+        return pd.Series([None if v is None else np.asarray(v, "f8") for v in vectors], dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return run
+
+
+def embed(df: DataFrame, text_col: str, to: str = "embedding", loader: Callable[[], Callable[[list[str]], list]] | None = None, batch_chars: int = 200_000, embedder: Callable[[list[str | None]], list] | None = None) -> DataFrame:
     """df with a vector of each text, in the order of its rows. The default is count_vector() over its length (zeros for no words).
 
     A loader gives a function from a list of texts to their vectors. It's called once in a worker, before the first batch; its function gets texts of
     about one length at a time, batch_chars characters at most or one longer text. Null texts have no vector. Workers find a loader by its module and
-    name, so two loaders need two names."""
+    name, so two loaders need two names. An embedder is such a function itself, for one that needs no loading: it's sent with the tasks, gets a
+    batch's texts in their order, nulls too, and decides the vectors of all."""
+    if loader is not None and embedder is not None:
+        raise ValueError("give a loader or an embedder")
+    if embedder is not None:
+        return df.withColumn(to, F.pandas_udf(_vectors_by(embedder), "array<double>")(text_col))
     if loader is None:
         return df.withColumn(to, F.pandas_udf(_count_vectors, "array<double>")(text_col))
     name = f"{loader.__module__}.{loader.__qualname__}"
