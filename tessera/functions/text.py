@@ -73,6 +73,18 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
+def rounded(number: Column, places: int) -> Column:
+    """A double rounded as SQL engines do it, half away from zero on number * 10^places; Spark's own round goes by the shortest decimal that reads as
+    the same double, which may lie on a half where the product doesn't."""
+    return F.round(number * float(10**places), 0) / float(10**places)
+
+
+def printed(number: Column, places: int) -> Column:
+    """A double with so many decimals as C's printf shows it: the double's exact value decides, an exact half goes to the even digit. Java's formatter,
+    which format_string uses, rounds halves up and goes by the shortest decimal."""
+    return F.call_function("format_number", number, F.lit("0." + "0" * places))
+
+
 def format_file_size(n: Column) -> Column:
     """Bytes as `x Unit`, base 1024, two decimals at most without trailing zeros; units end at GB."""
 

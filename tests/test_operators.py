@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from tessera.functions import embedding, terms
 from tessera.functions import text as T
 from tessera.operators import answers, catalog, chunking, search
 from tessera.plans import registry
+from tessera.plans import sql as S
 from tessera.plans.registry import R, hybrid_retrieve
 from tessera.sources.layout import spread
 
@@ -28,6 +30,27 @@ def test_file_sizes(spark, n, shown):
     assert one(spark, T.format_file_size(F.col("n")), n=n) == shown
 
 
+@pytest.mark.parametrize("places", [2, 6])
+def test_numbers_are_printed_and_rounded_as_in_sql(spark, places):
+    r = random.Random(places)
+    numbers = [15.625, 40.625, 0.125, 2.675, 1.005, 0.1234565, 0.0078125, 0.0, 100.0, 1234.5, -0.375, *(r.randrange(2**20) / 2 ** r.randint(1, 20) for _ in range(500)), *(r.randrange(10**9) / 10 ** r.randint(3, 9) for _ in range(500))]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", T.printed(F.col("x"), places), T.rounded(F.col("x"), places)).collect()
+    assert [(x, a) for x, a, _ in got] == [(x, f"{x:.{places}f}") for x in numbers]
+    con = duckdb.connect()
+    assert [tuple(row) for row in got] == con.execute(f"SELECT x, printf('%.{places}f', x), round(x, {places}) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [numbers]).fetchall()
+
+
+def test_grades_of_a_share_on_a_half_are_those_of_sql(spark):
+    words = [f"w{i}" for i in range(640)]
+    rows = [(" ".join(words[:n]), " ".join(words[:common])) for common, n in ((5, 32), (13, 32), (9, 32), (1, 3), (0, 7), (1, 640))]
+    got = answers.grade(spark.createDataFrame(rows, "query string, content string")).select("query", "content", "is_relevant", "confidence", "reasoning")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE top (query TEXT, content TEXT)")
+    con.executemany("INSERT INTO top VALUES (?, ?)", rows)
+    want = con.execute(f"WITH {S.GRADED} SELECT query, content, is_relevant, confidence, reasoning FROM gr").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize(("n", "pieces"), [(5, 1), (6, 2), (10, 3), (0, 1)])
 def test_windows_cover_every_word(spark, n, pieces):
     text = " ".join(f"w{i}" for i in range(n))
