@@ -136,9 +136,16 @@ def _best(scores: np.ndarray, k: int | None) -> np.ndarray:
     return keep
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """To 6 places, halves away from zero as in SQL; in place. numpy's round takes halves to the even digit."""
+    scores *= 1e6
+    scores += np.copysign(0.5, scores)
+    return np.divide(np.trunc(scores, out=scores), 1e6, out=scores)
+
+
 def _cosines(queries: np.ndarray, norms: np.ndarray, m: np.ndarray) -> np.ndarray:
     length = norms[:, None] * np.sqrt((m * m).sum(axis=1))[None, :]
-    return np.round(np.divide(queries @ m.T, length, out=np.zeros(length.shape), where=length > 0), 6)
+    return _rounded(np.divide(queries @ m.T, length, out=np.zeros(length.shape), where=length > 0))
 
 
 def _hits(part: pa.RecordBatch, scores: np.ndarray, keep: np.ndarray, query_ids: list, id_col: str) -> pa.RecordBatch:
@@ -190,7 +197,7 @@ def pair_cosines(id_col: str):
         for batch in batches:
             q, m = (np.array(batch[c].to_pylist(), "f8").reshape(batch.num_rows, -1) for c in ("embedding", "vector"))
             length = np.sqrt((q * q).sum(axis=1)) * np.sqrt((m * m).sum(axis=1))
-            score = np.round(np.divide((q * m).sum(axis=1), length, out=np.zeros(len(q)), where=length > 0), 6)
+            score = _rounded(np.divide((q * m).sum(axis=1), length, out=np.zeros(len(q)), where=length > 0))
             yield pa.RecordBatch.from_arrays([batch["query_id"], batch[id_col], pa.array(score)], ["query_id", id_col, "score"])
 
     return run

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -123,7 +123,7 @@ def keyword_search(queries: DataFrame, pool: DataFrame, chunks: DataFrame, k: in
     asked = queries.where("query_id IS NOT NULL").select("query_id", T.tokens(F.col("query")).alias("tokens"))
     pairs = _held(pool, chunks).groupBy("query_id").cogroup(asked.groupBy("query_id"))
     found = pairs.applyInArrow(terms.pool_scores, f"query_id long, chunk_id {dict(pool.dtypes)['chunk_id']}, score double")
-    return top(found.withColumn("score", F.round("score", 6)).where(F.col("score") > least), k)
+    return top(found.withColumn("score", T.rounded(F.col("score"), 6)).where(F.col("score") > least), k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, weight: float = 0.7) -> DataFrame:
@@ -133,14 +133,21 @@ def fuse(vector: DataFrame, keyword: DataFrame, weight: float = 0.7) -> DataFram
     k = keyword.select("query_id", "chunk_id", F.col("score").alias("keyword_score"))
     both = v.join(k, ["query_id", "chunk_id"], "full_outer")
     fused = weight * F.coalesce("vector_score", F.lit(0.0)) + (1 - weight) * F.coalesce("keyword_score", F.lit(0.0))
-    return both.select("query_id", "chunk_id", F.round(fused, 9).alias("score"), "vector_score", "keyword_score")
+    return both.select("query_id", "chunk_id", T.rounded(fused, 9).alias("score"), "vector_score", "keyword_score")
 
 
 def rerank(hits: DataFrame) -> DataFrame:
     """hits with query, content, chunk_index and score get overlap_score and rerank_score: up to 20 % for common words, up to 10 % for an early chunk."""
     share = T.overlap_share(T.word_set(F.col("query")), T.word_set(F.col("content")))
     bonus = F.greatest(F.lit(0.0), 1.0 - F.col("chunk_index") * 0.01)
-    return hits.withColumn("overlap_score", F.round(share, 6)).withColumn("rerank_score", F.round(F.col("score") * (1 + F.col("overlap_score") * 0.2 + bonus * 0.1), 9))
+    return hits.withColumn("overlap_score", T.rounded(share, 6)).withColumn("rerank_score", T.rounded(F.col("score") * (1 + F.col("overlap_score") * 0.2 + bonus * 0.1), 9))
+
+
+def score_details() -> Column:
+    """The scores of a reranked hit by their names, with six decimals; those that it has."""
+    names = ("keyword_score", "overlap_score", "rerank_score", "vector_score")
+    shown = F.array(*[F.struct(F.lit(n).alias("key"), T.printed(F.col(n), 6).alias("value")) for n in names])
+    return F.map_from_entries(F.filter(shown, lambda e: e["value"].isNotNull()))
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:

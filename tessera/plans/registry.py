@@ -608,9 +608,7 @@ def prompt_assembly(spark, d):
 
 @query(f"WITH {_RR} SELECT query_id, chunk_id, concat_ws(',', 'keyword_score=' || printf('%.6f', keyword_score), 'overlap_score=' || printf('%.6f', overlap_score), 'rerank_score=' || printf('%.6f', rerank_score), 'vector_score=' || printf('%.6f', vector_score)) AS metadata FROM rr")
 def metadata_merge(spark, d):
-    names = ("keyword_score", "overlap_score", "rerank_score", "vector_score")
-    made = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.format_string("%.6f", n).alias("value")) for n in names]), lambda e: e["value"] != "null"))
-    rows = _reranked(spark, d).withColumn("metadata", made)
+    rows = _reranked(spark, d).withColumn("metadata", search.score_details())
     return rows.select("query_id", "chunk_id", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("metadata"))
 
 

@@ -51,6 +51,36 @@ def test_grades_of_a_share_on_a_half_are_those_of_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_score_details_are_those_of_sql(spark):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(640)]
+    lists = [(i, f"c{i}", r.randrange(100000, 900000) / 1e6, r.randrange(100000, 900000) / 1e6, *r.choice([(33, 0), (44, 33), (18, 18), (640, 1), (48, r.randrange(49))]), r.randrange(7)) for i in range(4000)]
+    lists += [(4000, "c4000", 0.45228, 0.578739, 33, 0, 5), (4001, "c4001", 0.543645, 0.278526, 44, 33, 5), (4002, "c4002", 0.798151, 0.53843, 18, 18, 5)]
+    con = duckdb.connect()
+    frames = {}
+    for name, columns, rows in (
+        ("vt", "query_id BIGINT, chunk_id STRING, score DOUBLE, rank BIGINT", [(i, c, v, 1) for i, c, v, *_ in lists if i % 5]),
+        ("kt", "query_id BIGINT, chunk_id STRING, score DOUBLE, rank BIGINT", [(i, c, k, 1) for i, c, _, k, *_ in lists if i % 5 != 1]),
+        ("ch", "chunk_id STRING, doc_id BIGINT, page_number BIGINT, chunk_index BIGINT, content STRING", [(c, i, 1, at, " ".join(words[:common]) + " x") for i, c, _, _, _, common, at in lists]),
+        ("q", "query_id BIGINT, query STRING", [(i, " ".join(words[:n])) for i, _, _, _, n, _, _ in lists]),
+    ):
+        frames[name] = spark.createDataFrame(rows, columns)
+        arrow = frames[name].toArrow()
+        con.register(name, arrow)
+    shown = [f"'{n}=' || printf('%.6f', {n})" for n in ("keyword_score", "overlap_score", "rerank_score", "vector_score")]
+    want = con.execute(f"WITH {S.fused().format(two_k=1)}, {S.RERANKED} SELECT query_id, rerank_score, concat_ws(',', {', '.join(shown)}) FROM rr").fetchall()
+    hits = search.rerank(search.with_chunks(search.fuse(frames["vt"], frames["kt"]), frames["ch"], frames["q"]))
+    got = hits.select("query_id", "rerank_score", search.score_details().alias("details")).collect()
+    assert sorted((i, score, ",".join(f"{k}={v}" for k, v in sorted(details.items()))) for i, score, details in got) == sorted(want)
+
+
+def test_a_cosine_on_a_half_is_rounded_away_from_zero(spark):
+    rows = spark.createDataFrame([(1, [9.0, 127.0, 1.0, 2.0, 13.0]), (2, [-9.0, 127.0, 1.0, 2.0, 13.0])], "vec_id long, embedding array<double>")  # of length 128
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    want = duckdb.connect().execute("SELECT round(9 / 128::DOUBLE, 6), round(-9 / 128::DOUBLE, 6)").fetchone()
+    assert tuple(r["score"] for r in search.vector_search_given(asked, rows, "vec_id", 2).orderBy("vec_id").collect()) == want
+
+
 @pytest.mark.parametrize(("n", "pieces"), [(5, 1), (6, 2), (10, 3), (0, 1)])
 def test_windows_cover_every_word(spark, n, pieces):
     text = " ".join(f"w{i}" for i in range(n))
