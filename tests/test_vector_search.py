@@ -1,6 +1,10 @@
 """The grid of query blocks and row shards, deny lists, and the stored inverted file."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +75,46 @@ def test_all_cells_give_the_exact_result(spark, clustered):
     assert pick(ivf.search_ivf(spark, queries, index, 10, probes=16)) == pick(exact)
 
 
+def test_common_vectors_and_repeated_ids_give_the_exact_result(spark, clustered, monkeypatch):
+    monkeypatch.setattr(ivf, "SHARD", 300)
+    vectors = np.concatenate([np.repeat(clustered[:1], 1500, axis=0), clustered[:500]])
+    rows = spark.createDataFrame([(i - i % 2 * (i > 1700), v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = ivf.build_ivf(rows, "vec_id", cells=16, parts=4)
+    assert max(index.shards) >= 5  # a cell is dealt by its own size
+    assert pick(ivf.search_ivf(spark, queries, index, 10, probes=16)) == pick(search.vector_search_given(queries, rows, "vec_id", 10))
+
+
+def test_a_task_holds_tiles_and_gives_k_rows_a_query():
+    r = np.random.default_rng(4)
+    n, dims = ivf.SHARD, 16
+    vectors, centre = r.standard_normal((n, dims)), r.standard_normal((1, dims))
+    vectors[n // 2 :] = vectors[0]  # one of many copies: all pairs of these tie
+    queries = np.concatenate([vectors[: ivf.BLOCK // 2], np.repeat(vectors[:1], ivf.BLOCK // 2, axis=0)])
+    unit = ivf._unit(vectors)
+    books = np.stack([ivf._means((unit - centre)[:, p * 4 : p * 4 + 4], ivf.WORDS, 2, r, False) for p in range(4)])
+    codes = ivf._encode(unit - centre, books)
+    off = unit - centre - ivf._decode(codes, books)
+    column = lambda m: pa.array(list(m), pa.list_(pa.float64()))
+    rows = pa.table({"row": np.arange(n), "vec_id": np.arange(n), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "off": np.sqrt((off * off).sum(axis=1)), "vector": column(vectors), **{c: pa.array(np.zeros(n, "i4")) for c in ("cell", "shard", "block")}})
+    asked = pa.table({"query_id": np.arange(len(queries)), "embedding": column(queries), "least": np.full(len(queries), 0.5)})
+    tracemalloc.start()
+    low = ivf._first_pass("vec_id", centre, books, 10, True)(asked, rows)
+    wanted = ivf._wanted(centre, books)(asked, rows)
+    best = ivf._scored("vec_id", 10)(asked, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(queries) * n * 8 / 2  # half of one matrix of all pairs
+    assert len(low) == 10 * len(queries) and len(wanted) <= n and len(best) <= 10 * len(queries)
+    for q in (0, 1, 500, len(queries) - 1):
+        score = np.round(unit @ ivf._unit(queries[q : q + 1])[0], 6)
+        want = [i for i in np.lexsort((np.arange(n), -score))[:10] if score[i] >= 0.5]
+        mine = best.filter(pa.compute.equal(best["query_id"], q))
+        assert sorted(mine["vec_id"].to_pylist()) == sorted(want)
+        bounds = low.filter(pa.compute.equal(low["query_id"], q)).to_pydict()
+        assert all(lo <= score[i] <= hi for i, lo, hi in zip(bounds["vec_id"], bounds["low"], bounds["high"], strict=True))
+
+
 def test_two_cells_a_vector_are_enough_for_vectors_that_have_structure(spark, clustered):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered)], "vec_id long, embedding array<double>")
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
